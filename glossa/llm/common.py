@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -44,6 +45,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def result_schema(kept: StructType, added: str) -> StructType:
+    """The fields of ``kept`` and then those of the DDL string ``added``, all nullable."""
+    fields = [*kept.fields, *StructType.fromDDL(added).fields]
+    return StructType([StructField(f.name, f.dataType, True) for f in fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import held_out, labelled_sample, lower_bytes, raw, span_hashes, string_blocks, word_spans
+from glossa.llm.common import held_out, labelled_sample, lower_bytes, raw, result_schema, span_hashes, string_blocks, word_spans
 
 MAX_LABELLED = 6000
 N_TREES, DEPTH, BINS, RATE, L2 = 50, 4, 48, 0.2, 2.0
@@ -168,8 +168,7 @@ def score(docs: DataFrame, forest: Forest, columns: list[str] | None = None) ->
                 scores = forest.predict(document_features(*raw(arr)).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(a, b - a), pa.array(scores)], names=["_row", "_score"])
 
-    schema = base.select("_row", F.lit(0.0).alias("_score")).schema
-    return base.mapInArrow(run, schema).select("_row.*", "_score")
+    return base.mapInArrow(run, result_schema(base.select("_row").schema, "_score double")).select("_row.*", "_score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
