@@ -209,14 +209,31 @@ def _pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return raw(pa.array(texts, pa.string()))
 
 
-def _log_odds(ids: np.ndarray, owner_doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def _presence(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(2, WORDS) and (2, GRAMS) counts of the texts of class 0 and 1 that have each hashed word and n-gram, BATCH texts at a time."""
+    words, grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
+    for i in range(0, len(texts), BATCH):
+        t = Tokens(*_pack(texts[i : i + BATCH]))
+        label = y[i : i + BATCH]
+        doc, word = t.text.repeat(WINDOW), t.window.ravel()
+        pairs = np.unique(doc[word < t.n].astype(np.int64) * (t.n + 1) + word[word < t.n])
+        doc, word = pairs // (t.n + 1), pairs % (t.n + 1)
+        counts = np.bincount(t.owner, minlength=t.n)
+        first = np.cumsum(counts) - counts
+        reps = counts[word]
+        at = np.repeat(first[word], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        for out, ids, owner in ((words, t.word[word], doc), (grams, t.gram[at], np.repeat(doc, reps))):
+            size = out.shape[1]
+            pairs = np.unique(owner * size + ids)
+            np.add.at(out, (label[pairs // size], pairs % size), 1)
+    return words, grams
+
+
+def _log_odds(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Smoothed log-odds of each hashed feature's presence in texts of class 1 against class 0."""
-    pairs = np.unique(owner_doc.astype(np.int64) * size + ids)
-    doc, feature = pairs // size, pairs % size
-    ones, zeros = np.bincount(feature[y[doc] == 1], minlength=size), np.bincount(feature[y[doc] == 0], minlength=size)
     n1, n0 = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
-    base = (ones + zeros + 1) / (n1 + n0)
-    return np.clip(np.log((ones + 3 * base) / (n1 + 3)) - np.log((zeros + 3 * base) / (n0 + 3)), -3, 3).astype(np.float32)
+    base = (counts.sum(axis=0) + 1) / (n1 + n0)
+    return np.clip(np.log((counts[1] + 3 * base) / (n1 + 3)) - np.log((counts[0] + 3 * base) / (n0 + 3)), -3, 3).astype(np.float32)
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
@@ -230,21 +247,11 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
     order = rng.permutation(len(y))
     half = order[: len(y) // 2] if len(y) >= 400 else order
     rest = order[len(y) // 2 :] if len(y) >= 400 else order
-    t = Tokens(*_pack([texts[i] for i in half]))
-    doc = t.text.repeat(WINDOW)
-    word = t.window.ravel()
-    real = word < t.n
-    doc, word = doc[real], word[real]
-    net.words[:, 0] = _log_odds(t.word[word], doc, y[half], WORDS)
-    pairs = np.unique(doc.astype(np.int64) * (t.n + 1) + word)
-    doc, word = pairs // (t.n + 1), pairs % (t.n + 1)
-    counts = np.bincount(t.owner, minlength=t.n)
-    first = np.cumsum(counts) - counts
-    reps = counts[word]
-    at = np.repeat(first[word], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    net.grams[:, 1] = _log_odds(t.gram[at], np.repeat(doc, reps), y[half], GRAMS)
-    net.words[:, 1] = 0
-    net.grams[:, 0] = 0
+    words, grams = _presence([texts[i] for i in half], y[half])
+    net.words[:, :2] = 0
+    net.grams[:, :2] = 0
+    net.words[:, 0] = _log_odds(words, y[half])
+    net.grams[:, 1] = _log_odds(grams, y[half])
     momentum = {k: [np.zeros_like(w), np.zeros_like(w)] for k, w in net.p.items()}
     spent = {"words": np.full(WORDS, 1e-3, np.float32), "grams": np.full(GRAMS, 1e-3, np.float32)}
     step = 0
@@ -290,9 +297,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     """Fit on at most ``limit`` labelled rows, gathered as slices of at most MAX_TRAIN_CHARS characters."""
     rows = labelled_sample(docs, labels, label, limit, each=True)
     begin = F.greatest((F.length("text") - MAX_TRAIN_CHARS) / 2, F.lit(0)).cast("int") + 1
-    table = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "y", F.substring("text", begin, F.lit(MAX_TRAIN_CHARS)).alias("text")).toPandas()
-    table = table.sort_values(["doc_id", "text"], kind="stable")
-    return fit(table["text"].tolist(), table["y"].to_numpy())
+    cut = rows.select(F.col("doc_id").cast("string"), "y", F.substring("text", begin, F.lit(MAX_TRAIN_CHARS)).alias("text"))
+    table = sorted(tuple(r) for r in cut.collect())
+    return fit([r[2] for r in table], np.array([r[1] for r in table], dtype=np.int64))
 
 
 def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> DataFrame:
