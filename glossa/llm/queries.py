@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, licenses, quality, toxicity
+from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents")).drop("label")
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarise(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_license_scans": op2_license_scans,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_formatting": op4_chat_formatting,
