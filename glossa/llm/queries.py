@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, quality, toxicity
+from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_html_extraction": op6_html_extraction,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
