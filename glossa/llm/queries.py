@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, packing, quality, toxicity
+from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, packing, quality, sentencepiece, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: Where the public vocabulary files are; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    words = sentencepiece.Vocabulary.load(vocabulary)
+    return sentencepiece.summarise(sentencepiece.encode(docs, words), words)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": op6_html_extraction,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 
