@@ -160,24 +160,40 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def space_words(text: str | bytes) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of one text, A-Z lower-cased."""
-    data = _LOWER[np.frombuffer(text.encode() if isinstance(text, str) else text, dtype=np.uint8)]
-    starts, ends = word_spans(~_SPACE[data], np.array([0, len(data)]))
-    return span_hashes(data, starts, ends)
-
-
-def shingle_set(text: str | bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``width``-word shingles.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
+    """For each text its sorted distinct 64-bit hashes of ``width``-word shingles, of words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
 
     Fewer words give one shingle of the whole sequence; no words give an empty set.
     """
-    words = space_words(text)
-    if not len(words):
-        return words
-    k = min(width, len(words))
-    h = np.full(len(words) - k + 1, k * 0x632BE59BD9B4E019 & (2**64 - 1), dtype=np.uint64)
+    data = _LOWER[data]
+    starts, ends = word_spans(~_SPACE[data], offsets)
+    if not len(starts):
+        return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
+    words = span_hashes(data, starts, ends)
+    first = np.searchsorted(starts, offsets)
+    whole = _combine(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= width:
+            h = np.sort(whole[a : b - width + 1])
+            fresh = np.empty(len(h), dtype=bool)
+            fresh[0] = True
+            np.not_equal(h[1:], h[:-1], out=fresh[1:])
+            out.append(h[fresh])
+        else:
+            out.append(_combine(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    return out
+
+
+def _combine(words: np.ndarray, k: int) -> np.ndarray:
+    h = np.full(len(words) - k + 1, int(k) * 0x632BE59BD9B4E019 % 2**64, dtype=np.uint64)
     for j in range(k):
         h *= np.uint64(0xD6E8FEB86659FD93)
         h += words[j : len(words) - k + 1 + j]
-    return np.unique(mix(h))
+    return mix(h)
+
+
+def shingle_set(text: str | bytes, width: int = 5) -> np.ndarray:
+    """The shingle set of one text."""
+    data = np.frombuffer(text.encode() if isinstance(text, str) else text, dtype=np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]), width)[0]

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from glossa.llm.common import mix, partitions, settle, shingle_set
+from glossa.llm.common import mix, partitions, raw, settle, shingle_set, shingle_sets, string_blocks
 from glossa.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
 BUCKETS, CHUNK = 1 << 20, 1 << 13
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, SMALL = 1 << 20, 8
 SALT_PAIRS = 500
 FILTER_BITS = 1 << 24
 SEEN = 200_000
@@ -59,13 +59,13 @@ def window_size(n: int, percent: int = PERCENT) -> int:
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    for text in batch.column("_text"):
-        yield shingle_set(text.as_buffer(), width) if text.is_valid else np.zeros(0, np.uint64)
+    for _, _, arr in string_blocks(batch, "_text", 1 << 18):
+        yield from shingle_sets(*raw(arr), width)
 
 
 def _first_pass(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Rows (id, n, c) of each document, and rows (part, task, counts) of each task's sketch, in one written table."""
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, id_type, task = np.zeros(BUCKETS, dtype=np.uint32), set(), None, 0
@@ -130,13 +130,25 @@ def _commonness(first: DataFrame) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, text_col: str, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(key, c): each class in the regions of its home and boundary shingles."""
-    base = docs.select(F.col(text_col).cast("binary").alias("_text"))
+    """(key, c, n, r): each class in the regions of its home and boundary shingles.
+
+    ``n`` is the set's size, ``r`` how many of its shingles are no rarer than the key: if the key is the first that two sets
+    share, they share at most the lesser ``r`` of them.
+    """
+    base = docs.select(F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        lists = keys, owners, sizes, reaches = [], [], [], []
+
+        def rows_of() -> pa.RecordBatch:
+            cols = [pa.array(np.concatenate(x)) for x in lists]
+            for x in lists:
+                x.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["key", "c", "n", "r"])
+
         for batch in batches:
-            keys, owners, size = [], [], 0
+            size = 0
             for s in _sets(batch, width):
                 c = digest(s)
                 if not len(s) or c in seen:
@@ -144,19 +156,40 @@ def _regions(docs: DataFrame, text_col: str, width: int, percent: int, common: n
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(c)
-                k = window_size(len(s), percent)
+                n = len(s)
+                k = window_size(n, percent)
                 order = (common[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                part = s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s
+                near = np.argpartition(order, k - 1)[:k] if k < n else np.arange(n)
+                part = s[near[np.argsort(order[near], kind="stable")]]
                 keys.append(part.astype(np.int64))
-                owners.append(np.full(len(part), c, dtype=np.int64))
-                size += len(part)
-                if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "c"])
-                    keys, owners, size = [], [], 0
+                owners.append(np.full(k, c, dtype=np.int64))
+                sizes.append(np.full(k, n, dtype=np.int32))
+                reaches.append(np.arange(n, n - k, -1, dtype=np.int32))
+                size += k
+                if size > 300_000:
+                    yield rows_of()
+                    size = 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "c"])
+                yield rows_of()
+
+    return base.mapInArrow(run, "key long, c long, n int, r int")
 
-    return base.mapInArrow(run, "key long, c long")
+
+def _cells(regions: DataFrame, percent: int) -> DataFrame:
+    """(key, k, m, mn, mr, c, n, r): the regions of several classes, cut where sizes leave a gap that no link can cross.
+
+    ``k`` is the cell's number of rows; ``m`` is the pivot, its least class, and ``mn`` and ``mr`` are its size and reach.
+    """
+    by_key = Window.partitionBy("key").orderBy("n", "c")
+    apart = lambda small, large: F.col(small) * 100 < F.col(large) * percent
+    rows = regions.withColumn("a", F.lag("n").over(by_key)).withColumn("b", F.lead("n").over(by_key))
+    rows = rows.withColumn("starts", F.col("a").isNull() | apart("a", "n")).withColumn("ends", F.col("b").isNull() | apart("n", "b"))
+    rows = rows.where("not (starts and ends)").select("key", "c", "n", "r", "starts")
+    rows = rows.withColumn("cell", F.sum(F.col("starts").cast("int")).over(by_key))
+    # Cells are regions of their own from here on: the key takes the cell's number in.
+    rows = rows.withColumn("key", F.xxhash64("key", "cell")).withColumn("p", F.min(F.struct("c", "n", "r")).over(Window.partitionBy("key", "cell")))
+    rows = rows.withColumn("k", F.count("*").over(Window.partitionBy("key", "cell")))
+    return rows.where("c <> p.c or n <> p.n").select("key", "k", F.col("p.c").alias("m"), F.col("p.n").alias("mn"), F.col("p.r").alias("mr"), "c", "n", "r")
 
 
 def _texts(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -166,7 +199,7 @@ def _texts(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Dat
     filters = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for row in maps.collect():  # FILTER_BITS bits at most
         filters[(row["k"] - 1) * 4096 : row["k"] * 4096] = np.frombuffer(row["m"], dtype=np.uint8)
-    base = docs.select(F.col(text_col).cast("binary").alias("_text"))
+    base = docs.select(F.col(text_col).alias("_text"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -178,7 +211,7 @@ def _texts(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> Dat
             keep = pa.array(fresh & _may_hold(filters, c))
             yield pa.RecordBatch.from_arrays([pa.array(c), batch.column("_text")], names=["c", "text"]).filter(keep)
 
-    found = base.mapInArrow(digests, "c long, text binary").join(wanted, "c", "left_semi")
+    found = base.mapInArrow(digests, "c long, text string").join(wanted, "c", "left_semi")
     return found.groupBy("c").agg(F.first("text").alias("text"))
 
 
@@ -229,6 +262,11 @@ def _distances(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "m long, c long, inter long, size_m long, size_c long")
 
 
+def _candidate(percent: int):
+    """Whether sets of n and mn shingles that share a key first, with reaches r and mr, can be linked."""
+    return (100 + percent) * F.least("r", "mr") >= percent * (F.col("n") + F.col("mn"))
+
+
 def _linked(percent: int):
     return F.col("inter") * 100 >= percent * (F.col("size_m") + F.col("size_c") - F.col("inter"))
 
@@ -238,8 +276,9 @@ def _open_regions(region: DataFrame, done: DataFrame, labels: DataFrame) -> Data
 
     ``sim`` is the class's similarity to the region's pivot; ``outside`` marks the classes outside the region's largest component.
     """
+    # A pair that is no candidate in any region has no distance.
     near = done.select("m", "c", (F.col("inter") / (F.col("size_m") + F.col("size_c") - F.col("inter"))).alias("sim"))
-    named = region.distinct().join(near, ["m", "c"]).select("key", "c", "sim")
+    named = region.select("key", "m", "c").distinct().join(near, ["m", "c"], "left").select("key", "c", "sim")
     named = named.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     sign = F.sum(F.pmod(F.xxhash64("c"), F.lit(1 << 44)))
     groups = named.groupBy("key").agg(F.count("*").alias("k"), sign.alias("sign"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
@@ -265,7 +304,7 @@ def _inner_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -
     cols = ["key", "i", "j", "side", "c", "label", "sim", "text"]
     outer = rows.where("outside").withColumn("i", (at % F.col("ni")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).withColumn("side", F.lit(0))
     inner = rows.withColumn("j", (at % F.col("nj")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("side", F.lit(1))
-    dealt = outer.select(cols).unionByName(inner.select(cols)).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "sim")
+    dealt = outer.select(cols).unionByName(inner.select(cols)).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", F.asc_nulls_last("sim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
@@ -302,7 +341,7 @@ def _block_links(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     column = np.cumsum(counts > 1) - 1
     code, owner = column[code[shared]], owner[shared]
     n, width = len(outer), int(column[-1]) + 1 if len(column) else 0
-    sims = np.array([g[3] for g in inner])
+    sims = np.array([np.inf if g[3] is None else g[3] for g in inner])
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -317,23 +356,27 @@ def _block_links(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     code, owner = code[order], owner[order]
     for a in range(0, n, 256):
         b = min(a + 256, n)
-        lo = int(np.searchsorted(sims, outer[a][3] - slack, "left"))
-        hi = int(np.searchsorted(sims, outer[b - 1][3] + slack, "right"))
-        if lo >= hi:
+        known = [g[3] for g in outer[a:b] if g[3] is not None]
+        lo, hi = (int(np.searchsorted(sims, known[0] - slack, "left")), int(np.searchsorted(sims, known[-1] + slack, "right"))) if len(known) == b - a else (0, len(inner))
+        meet = np.concatenate((np.arange(lo, hi), np.arange(max(hi, int(np.searchsorted(sims, np.inf))), len(inner))))
+        if not len(meet):
             continue
-        inter = np.zeros((b - a, hi - lo), dtype=np.float32)
+        place = np.full(len(inner), -1)
+        place[meet] = np.arange(len(meet))
+        inter = np.zeros((b - a, len(meet)), dtype=np.float32)
         for first in range(0, width, 2048):
             p, q = np.searchsorted(code, (first, first + 2048))
             who, col = owner[p:q], code[p:q] - first
-            left, right = np.zeros((b - a, 2048), np.float32), np.zeros((hi - lo, 2048), np.float32)
+            left, right = np.zeros((b - a, 2048), np.float32), np.zeros((len(meet), 2048), np.float32)
             mine = (who >= a) & (who < b)
             left[who[mine] - a, col[mine]] = 1
-            theirs = (who >= n + lo) & (who < n + hi)
-            right[who[theirs] - n - lo, col[theirs]] = 1
+            theirs = who >= n
+            theirs[theirs] = place[who[theirs] - n] >= 0
+            right[place[who[theirs] - n], col[theirs]] = 1
             inter += left @ right.T
-        union = sizes[a:b, None] + sizes[None, n + lo : n + hi] - inter
+        union = sizes[a:b, None] + sizes[None, n + meet] - inter
         for x, y in zip(*np.nonzero(inter.astype(np.float64) * 100 >= percent * union.astype(np.float64)), strict=True):
-            u, v = outer[a + int(x)], inner[lo + int(y)]
+            u, v = outer[a + int(x)], inner[int(meet[y])]
             ru, rv = find(u[2]), find(v[2])
             if ru != rv:
                 root[ru] = rv
@@ -345,15 +388,17 @@ def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, per
     """The classes' links that join their components, (u, v), and the labels of linked classes, (node, label)."""
     first = first if first is not None else _first_pass(docs, id_col, text_col, width)
     regions = _regions(docs, text_col, width, percent, _commonness(first))
-    pivot = F.min("c").over(Window.partitionBy("key"))
-    # Only regions of several classes are written: (key, m: pivot, c: another class).
-    region = settle(regions.withColumn("m", pivot).where("c <> m"), "jaccard-regions")
-    pairs = settle(region.select("m", "c").distinct(), "jaccard-pairs")
-    texts = settle(_texts(docs, text_col, width, pairs.select("c").unionByName(pairs.select(F.col("m").alias("c"))).distinct()), "jaccard-texts")
+    region = settle(_cells(regions, percent), "jaccard-regions")
+    small, other = F.col("k") <= SMALL, region.select("key", F.col("c").alias("m"), F.col("n").alias("mn"), F.col("r").alias("mr"), "k").where(F.col("k") <= SMALL).drop("k")
+    star = region.where(_candidate(percent)).select("m", "c")
+    inner = region.where(small).select("key", "c", "n", "r").join(other, "key").where(F.col("m") < F.col("c")).where(_candidate(percent)).select("m", "c")
+    pairs = settle(star.unionByName(inner).distinct(), "jaccard-pairs")
+    wanted = pairs.select("c").unionByName(pairs.select(F.col("m").alias("c"))).unionByName(region.where(~small).select("c")).distinct()
+    texts = settle(_texts(docs, text_col, width, wanted), "jaccard-texts")
     done = settle(_distances(pairs, texts, width), "jaccard-distances")
     links = done.where(_linked(percent)).select(F.col("m").alias("u"), F.col("c").alias("v"))
     labels = settle(connected_components(links), "jaccard-labels")
-    open_ = settle(_open_regions(region, done, labels), "jaccard-open")
+    open_ = settle(_open_regions(region.where(~small), done, labels), "jaccard-open")
     if open_.isEmpty():
         return links, labels
     links = links.unionByName(settle(_inner_links(open_, texts, width, percent), "jaccard-links"))
@@ -401,7 +446,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def _classed(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` (_row, _id, _text) with the class of each text."""
-    base = rows.select("_row", "_id", F.col("_text").cast("binary").alias("_text"))
+    base = rows.select("_row", "_id", F.col("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
