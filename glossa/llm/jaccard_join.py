@@ -38,7 +38,7 @@ from glossa.llm.common import mix, partitions, raw, settle, shingle_set, shingle
 from glossa.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
-BUCKETS, CHUNK = 1 << 20, 1 << 13
+BUCKETS, CHUNK = 1 << 22, 1 << 15
 BLOCK_BYTES, SMALL = 1 << 20, 8
 SALT_PAIRS = 500
 FILTER_BITS = 1 << 24
@@ -189,7 +189,9 @@ def _cells(regions: DataFrame, percent: int) -> DataFrame:
     # Cells are regions of their own from here on: the key takes the cell's number in.
     rows = rows.withColumn("key", F.xxhash64("key", "cell")).withColumn("p", F.min(F.struct("c", "n", "r")).over(Window.partitionBy("key", "cell")))
     rows = rows.withColumn("k", F.count("*").over(Window.partitionBy("key", "cell")))
-    return rows.where("c <> p.c or n <> p.n").select("key", "k", F.col("p.c").alias("m"), F.col("p.n").alias("mn"), F.col("p.r").alias("mr"), "c", "n", "r")
+    rows = rows.where("c <> p.c or n <> p.n").withColumn("mn", F.col("p.n")).withColumn("mr", F.col("p.r"))
+    # Most cells are two sets that share one shingle by chance: they go unless they can be linked.
+    return rows.where((F.col("k") > 2) | _candidate(percent)).select("key", "k", F.col("p.c").alias("m"), "mn", "mr", "c", "n", "r")
 
 
 def _texts(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -271,14 +273,17 @@ def _linked(percent: int):
     return F.col("inter") * 100 >= percent * (F.col("size_m") + F.col("size_c") - F.col("inter"))
 
 
-def _open_regions(region: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_regions(region: DataFrame, done: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(key, c, sim, label, outside): the regions that still hold classes of different components, one of each equal membership.
 
     ``sim`` is the class's similarity to the region's pivot; ``outside`` marks the classes outside the region's largest component.
     """
     # A pair that is no candidate in any region has no distance.
     near = done.select("m", "c", (F.col("inter") / (F.col("size_m") + F.col("size_c") - F.col("inter"))).alias("sim"))
-    named = region.select("key", "m", "c").distinct().join(near, ["m", "c"], "left").select("key", "c", "sim")
+    # A class whose reach is too small for a link with even the region's smallest set has nothing open here.
+    least = region.groupBy("key").agg(F.min("n").alias("n0"))
+    live = region.join(least, "key").where((100 + percent) * F.col("r") >= percent * (F.col("n") + F.col("n0")))
+    named = live.select("key", "m", "c").distinct().join(near, ["m", "c"], "left").select("key", "c", "sim")
     named = named.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     sign = F.sum(F.pmod(F.xxhash64("c"), F.lit(1 << 44)))
     groups = named.groupBy("key").agg(F.count("*").alias("k"), sign.alias("sign"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
@@ -296,15 +301,21 @@ def _inner_links(open_: DataFrame, texts: DataFrame, width: int, percent: int) -
     BLOCK_BYTES of text are cut into blocks, and each block of outside classes meets each block of all classes.
     """
     spark = open_.sparkSession
-    rows = open_.join(texts, "c")
-    size = F.octet_length("text") + 64
-    cuts = rows.groupBy("key").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("nj"), F.ceil(F.sum(F.when(F.col("outside"), size).otherwise(0)) / BLOCK_BYTES).cast("int").alias("ni"))
+    # Blocks are laid out by the texts' lengths alone; the texts join in once, at the end.
+    rows = open_.join(texts.select("c", (F.octet_length("text") + 64).alias("size")), "c")
+    cuts = rows.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("nj"), F.ceil(F.sum(F.when(F.col("outside"), F.col("size")).otherwise(0)) / BLOCK_BYTES).cast("int").alias("ni"))
     rows = rows.join(cuts, "key")
     at = F.pmod(F.xxhash64("c"), F.lit(1 << 30))
-    cols = ["key", "i", "j", "side", "c", "label", "sim", "text"]
+    cols = ["key", "i", "j", "side", "c", "label", "sim"]
     outer = rows.where("outside").withColumn("i", (at % F.col("ni")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).withColumn("side", F.lit(0))
-    inner = rows.withColumn("j", (at % F.col("nj")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("side", F.lit(1))
-    dealt = outer.select(cols).unionByName(inner.select(cols)).repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", F.asc_nulls_last("sim"))
+    inner = rows.withColumn("j", (at % F.col("nj")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("side", F.when(F.col("outside"), 2).otherwise(1))
+    # A block's outside classes that also stand among all classes of it come with their text once (side 3).
+    twice = F.when((F.col("side") == 2) & ((at % F.col("ni")).cast("int") == F.col("i")), True).otherwise(False)
+    outer = outer.where((at % F.col("nj")).cast("int") != F.col("j"))
+    inner = inner.withColumn("side", F.when(twice, 3).when(F.col("side") == 2, 1).otherwise(F.col("side")))
+    dealt = outer.select(cols).unionByName(inner.select(cols)).join(texts, "c").repartition(partitions(spark), "key", "i", "j")
+    dealt = dealt.sortWithinPartitions("key", "i", "j", F.asc_nulls_last("sim"))
+    cols = [*cols, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
@@ -328,8 +339,8 @@ def _block_links(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     Only shingles that stand in several sets can add to an intersection; their incidence is multiplied out in dense pieces. Both
     sides are in order of similarity to the pivot, so an outside class meets the window the triangle inequality leaves.
     """
-    outer = [g for g in group if g[0] == 0]
-    inner = [g for g in group if g[0] == 1]
+    outer = [g for g in group if g[0] in (0, 3)]
+    inner = [g for g in group if g[0] in (1, 3)]
     if not outer or not inner:
         return []
     sets = [g[4] for g in outer] + [g[4] for g in inner]
@@ -398,7 +409,7 @@ def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, per
     done = settle(_distances(pairs, texts, width), "jaccard-distances")
     links = done.where(_linked(percent)).select(F.col("m").alias("u"), F.col("c").alias("v"))
     labels = settle(connected_components(links), "jaccard-labels")
-    open_ = settle(_open_regions(region.where(~small), done, labels), "jaccard-open")
+    open_ = settle(_open_regions(region.where(~small), done, labels, percent), "jaccard-open")
     if open_.isEmpty():
         return links, labels
     links = links.unionByName(settle(_inner_links(open_, texts, width, percent), "jaccard-links"))
