@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import settle
+from glossa.llm.common import partitions, settle
 
 
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
 
 
+def _few(df: DataFrame, links: int) -> DataFrame:
+    """``df`` in as many tasks as ``links`` rows are worth: the graph shrinks while it is contracted."""
+    return df.coalesce(min(partitions(df.sparkSession), max(4, -(-links // 50_000))))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label): for each node of ``links`` (u, v: long) the least node that it can reach. Loops and repeats are harmless."""
     pairs = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -26,10 +31,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = settle(large, "links")
+        large = settle(_few(large, mark[0]), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        pairs = settle(_few(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), mark[0]), "links")
         now = _mark(pairs)
         if now == mark:
             break

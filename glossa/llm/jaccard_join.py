@@ -186,12 +186,12 @@ def _cells(regions: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("starts", F.col("a").isNull() | apart("a", "n")).withColumn("ends", F.col("b").isNull() | apart("n", "b"))
     rows = rows.where("not (starts and ends)").select("key", "c", "n", "r", "starts")
     rows = rows.withColumn("cell", F.sum(F.col("starts").cast("int")).over(by_key))
-    # Cells are regions of their own from here on: the key takes the cell's number in.
-    rows = rows.withColumn("key", F.xxhash64("key", "cell")).withColumn("p", F.min(F.struct("c", "n", "r")).over(Window.partitionBy("key", "cell")))
-    rows = rows.withColumn("k", F.count("*").over(Window.partitionBy("key", "cell")))
+    # Still dealt by key, so these windows need no further exchange.
+    in_cell = Window.partitionBy("key", "cell")
+    rows = rows.withColumn("p", F.min(F.struct("c", "n", "r")).over(in_cell)).withColumn("k", F.count("*").over(in_cell))
     rows = rows.where("c <> p.c or n <> p.n").withColumn("mn", F.col("p.n")).withColumn("mr", F.col("p.r"))
     # Most cells are two sets that share one shingle by chance: they go unless they can be linked.
-    return rows.where((F.col("k") > 2) | _candidate(percent)).select("key", "k", F.col("p.c").alias("m"), "mn", "mr", "c", "n", "r")
+    return rows.where((F.col("k") > 2) | _candidate(percent)).select(F.xxhash64("key", "cell").alias("key"), "k", F.col("p.c").alias("m"), "mn", "mr", "c", "n", "r")
 
 
 def _texts(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
