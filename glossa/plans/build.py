@@ -9,6 +9,7 @@ from glossa import dims
 from glossa.functions import text as X
 from glossa.functions import url as U
 from glossa.operators import cite, graph, html, layout, notes, scripture
+from glossa.sources.work import settle
 
 
 def documents(pages: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -29,17 +30,18 @@ def documents(pages: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def parse(pages: DataFrame) -> dict[str, DataFrame]:
     """documents (with footnote_count), citations and scripture of raw pages (doc_ord, is_source, url, html)."""
-    tokens = html.tokens(pages.select("url", "html")).persist()
-    docs = documents(pages, tokens)
-    found = notes.collect(pages.select("url", "html"), tokens)
+    tokens = settle(html.tokens(pages.select("url", "html")), "tokens")
+    docs = settle(documents(pages, tokens), "documents")
+    found = settle(notes.collect(pages.select("url", "html"), tokens), "notes")
     # All later rows carry the page's address until they take its document's key.
     ident = docs.select(F.col("source_url").alias("_page"), "doc_key", "doc_ord", "is_source")
-    feats = cite.note_features(notes.features(pages, found, tokens), F.col("url")).withColumnRenamed("url", "_page")
+    feats = settle(notes.features(pages, found, tokens), "features")
+    feats = settle(cite.note_features(feats, F.col("url")).withColumnRenamed("url", "_page"), "note-features")
     cites = cite.canonicalise(cite.fold(feats, "_page")).join(ident, "_page").drop("_page")
     refs = scripture.counts(scripture.references(html.page_text(tokens).withColumnRenamed("url", "_page"), "_page"), "_page")
     counts = found.groupBy(F.col("url").alias("source_url")).agg(F.count("*").cast("int").alias("footnote_count"))
     docs = docs.join(counts, "source_url", "left").withColumn("footnote_count", F.coalesce("footnote_count", F.lit(0)))
-    return {"documents": docs, "citations": cites, "scripture": refs.join(ident, "_page").drop("_page")}
+    return {"documents": docs, "citations": settle(cites, "citations"), "scripture": settle(refs.join(ident, "_page").drop("_page"), "scripture")}
 
 
 def build(documents_: DataFrame, citations: DataFrame, scripture_: DataFrame) -> dict[str, DataFrame]:
@@ -52,10 +54,9 @@ def build(documents_: DataFrame, citations: DataFrame, scripture_: DataFrame) ->
 
 def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = True) -> dict[str, DataFrame]:
     """The graph of raw pages, laid out, and the frontier of pages to bring next. Without ``recurse`` only seeds count."""
-    # Each parsed table feeds several aggregations: it is kept, in memory or on disk, rather than parsed again for each.
-    parsed = {k: v.persist() for k, v in parse(pages if recurse else pages.where("is_source")).items()}
+    parsed = parse(pages if recurse else pages.where("is_source"))
     out = build(parsed["documents"], parsed["citations"], parsed["scripture"])
-    out = {k: v.persist() for k, v in out.items()}
+    out = {k: settle(v, k) for k, v in out.items()}
     placed = layout.force_layout(out["nodes"].select("id", "first_seq"), graph.force_weights(out["edges"]), centre)
     at = layout.cross(placed.select("id", "px", "py", F.col("first_seq").alias("seq")), centre)
     out["nodes"] = out["nodes"].join(at.select("id", "x", "y"), "id")
