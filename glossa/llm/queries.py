@@ -57,7 +57,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     words = sentencepiece.Vocabulary.load(vocabulary)
-    return sentencepiece.summarise(sentencepiece.encode(docs, words), words)
+    return sentencepiece.summarise(docs, words)
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ total score (ties: the longer earlier piece), characters that no piece covers fa
 the text back exactly. A file of merge type holds ranks as scores; it is used with those scores, so its ids are those of the library
 run in unigram mode on it and not those of its merge procedure, which no scan over scores can reproduce.
 
-A piece with a space has it in front, so nothing crosses from a word to the next space: words are segmented once and remembered.
+Where two characters follow each other in no piece, no piece crosses: the text is cut there (before spaces, around most signs), and each
+segment is worked out once and remembered.
 A text over ``CHUNK`` characters is cut into chunks of that size, wherever the cuts fall, and its chunks are dealt to tasks:
 
 1. each chunk yields a transfer matrix: entry (s, t) is the best score of covering it when a piece from before takes its first
@@ -24,9 +25,9 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from glossa.llm.common import partitions, settle
 
 CHUNK = 1 << 15
 REMEMBER = 300_000
-_SEGMENT = re.compile(r" +[^ ]*|[^ ]+")
+PLAIN = 1024  # cuts are looked up for characters below this code point; others never end a segment
 NEVER = -np.inf
 
 
@@ -75,14 +76,13 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Vocabulary:
     """Pieces with scores; spaces stand for themselves."""
 
-    score: dict[str, float]
+    score: dict[str, float | None]  # pieces, and with None prefixes of pieces
     ids: dict[str, int]
     bytes_: list[int]  # the id of each byte piece
     text: list[bytes]  # what each id decodes to
     unknown: float
     longest: int
-    cuts: bool  # no piece goes on over a space after another character
-    prefixes: frozenset[str] = field(repr=False, default=frozenset())
+    cut: np.ndarray = field(repr=False)  # (PLAIN, PLAIN) whether no piece holds the two characters in a row
     memory: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -111,14 +111,33 @@ class Vocabulary:
             if kind in (1, 4):
                 ids[out] = i
                 score[out] = s if kind == 1 else len(out) * high - 0.1
-        prefixes = frozenset(p[:k] for p in score for k in range(1, len(p) + 1))
-        cuts = not any(re.search(r"[^ ] ", p) for p in score)
-        return cls(score, ids, raw_bytes, text, low - 10, max((len(p) for p in score), default=1), cuts, prefixes)
+        # Prefixes of pieces that are no pieces themselves have no score.
+        table: dict[str, float | None] = {p[:k]: None for p in score for k in range(1, len(p))}
+        table |= score
+        cut = np.ones((PLAIN, PLAIN), dtype=bool)
+        for p in score:
+            for x, y in zip(p, p[1:], strict=False):
+                if ord(x) < PLAIN and ord(y) < PLAIN:
+                    cut[ord(x), ord(y)] = False
+        return cls(table, ids, raw_bytes, text, low - 10, max((len(p) for p in score), default=1), cut)
+
+    @cached_property
+    def is_byte(self) -> np.ndarray:
+        found = np.zeros(len(self.text), dtype=bool)
+        found[self.bytes_] = bool(max(self.bytes_))
+        return found
 
     def __getstate__(self):
         return self.__dict__ | {"memory": {}}
 
-    def best(self, text: str, stop: int | None = None, entry: int = 0) -> tuple[np.ndarray, list[int]]:
+    def cuts(self, text: str) -> list[int]:
+        """The places between characters of ``text`` that no piece crosses."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        a, b = codes[:-1], codes[1:]
+        found = self.cut[np.minimum(a, PLAIN - 1), np.minimum(b, PLAIN - 1)] & (a < PLAIN) & (b < PLAIN)
+        return (np.flatnonzero(found) + 1).tolist()
+
+    def best(self, text: str, stop: int | None = None, entry: int = 0) -> tuple[list[float], list[int]]:
         """Best scores of covering ``text`` from ``entry`` to each place, and where the last piece starts.
 
         Pieces may start before ``stop`` only; places beyond it are states of the next chunk.
@@ -127,24 +146,30 @@ class Vocabulary:
         stop = n if stop is None else stop
         value, back = [NEVER] * (n + 1), [-1] * (n + 1)
         value[entry] = 0.0
-        score, prefixes, unknown = self.score, self.prefixes, self.unknown
+        score, unknown, longest, none = self.score, self.unknown, self.longest, NEVER
         for i in range(entry, stop):
             v = value[i]
-            if v == NEVER:
+            if v == none:
                 continue
-            single = False
-            for j in range(i + 1, min(i + self.longest, n) + 1):
-                piece = text[i:j]
-                if piece not in prefixes:
+            j, last = i + 1, min(i + longest, n)
+            s = score.get(text[i:j], none)
+            if s is none or s is None:
+                if v + unknown > value[j]:
+                    value[j], back[j] = v + unknown, i
+                if s is none:
+                    continue
+            elif v + s > value[j]:
+                value[j], back[j] = v + s, i
+            while j < last:
+                j += 1
+                s = score.get(text[i:j], none)
+                if s is None:
+                    continue
+                if s is none:
                     break
-                s = score.get(piece)
-                if s is not None:
-                    single |= j == i + 1
-                    if v + s > value[j]:
-                        value[j], back[j] = v + s, i
-            if not single and v + unknown > value[i + 1]:
-                value[i + 1], back[i + 1] = v + unknown, i
-        return np.array(value), back
+                if v + s > value[j]:
+                    value[j], back[j] = v + s, i
+        return value, back
 
     def piece_ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
@@ -170,7 +195,7 @@ class Vocabulary:
                 at = back[at]
             if len(self.memory) >= REMEMBER:
                 self.memory.clear()
-            found = float(value[-1]), [i for p in reversed(pieces) for i in self.piece_ids(p)]
+            found = value[-1], [i for p in reversed(pieces) for i in self.piece_ids(p)]
             if len(word) <= 64:
                 self.memory[word] = found
         return found
@@ -179,13 +204,18 @@ class Vocabulary:
         """Ids of a whole text, in one go."""
         if not text:
             return []
-        if not self.cuts:
-            return self.trace(" " + text, 0, len(text) + 1)
-        memory, out = self.memory, []
-        for w in _SEGMENT.findall(" " + text):
+        text = " " + text
+        memory, out, a = self.memory, [], 0
+        for b in [*self.cuts(text), len(text)]:
+            w = text[a:b]
             out += (memory.get(w) or self.word(w))[1]
+            a = b
         return out
 
+    def _segments(self, text: str) -> list[str]:
+        places = [0, *self.cuts(text), len(text)]
+        return [text[a:b] for a, b in zip(places[:-1], places[1:], strict=True)] if text else []
+
     def decode_bytes(self, ids) -> bytes:
         """The bytes that ids stand for, with the leading space that encoding added."""
         text = self.text
@@ -196,9 +226,7 @@ class Vocabulary:
 
     def _middle(self, chunk: str, size: int) -> tuple[int, int]:
         """First and last cut of the chunk's first ``size`` characters, or (-1, -1)."""
-        if not self.cuts:
-            return -1, -1
-        places = [m.start() + 1 for m in re.finditer(r"[^ ] ", chunk[:size])]
+        places = self.cuts(chunk[:size])
         return (places[0], places[-1]) if places else (-1, -1)
 
     def transfer(self, chunk: str, size: int) -> np.ndarray:
@@ -212,8 +240,8 @@ class Vocabulary:
             for s in range(size + 1, min(self.longest, len(chunk) + 1)):  # a piece that spans the whole chunk
                 m[s, s - size] = 0.0
             return m
-        middle = sum(self.word(w)[0] for w in _SEGMENT.findall(chunk[first:last]))
-        tail = self.best(chunk[last:], size - last)[0][size - last : size - last + exits]
+        middle = sum(self.word(w)[0] for w in self._segments(chunk[first:last]))
+        tail = np.array(self.best(chunk[last:], size - last)[0][size - last : size - last + exits])
         for s in range(min(self.longest, first + 1)):
             m[s, :exits] = self.best(chunk[:first], None, s)[0][first] + middle + tail
         return m
@@ -261,7 +289,7 @@ class Vocabulary:
         if first < entry or first < 0:
             return self.trace(chunk, entry, size + leave, size)
         out = self.trace(chunk[:first], entry, first)
-        for w in _SEGMENT.findall(chunk[first:last]):
+        for w in self._segments(chunk[first:last]):
             out += self.word(w)[1]
         return out + self.trace(chunk[last:], 0, size - last + leave, size - last)
 
@@ -298,15 +326,25 @@ def compose(maps: list[list[int]]) -> list[int]:
 def _digest_row(ids: list[int], v: Vocabulary) -> tuple[int, int, str, str]:
     packed = np.array(ids, dtype="<i4")
     text = v.decode_bytes(ids)[1:] if len(ids) else b""
-    return len(ids), int(np.isin(packed, v.bytes_).sum()), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
+    return len(ids), int(v.is_byte[packed].sum()), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(``id_col``, row, chunk, ids) of every document: one row, or one for each chunk of a giant one; ``row`` tells repeated ids apart."""
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    id_field = StructField(id_col, docs.schema[id_col].dataType)
-    v, ahead = vocabulary, vocabulary.longest - 1
+    """(``id_col``, row, chunk, ids) of every document: one row (``row`` 0), or one for each chunk of a giant one (``row`` tells giants apart)."""
+    return encode_small(docs, vocabulary, id_col, text_col, chunk).unionByName(encode_giant(docs, vocabulary, id_col, text_col, chunk))
+
 
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+
+def _coded(docs: DataFrame, id_col: str) -> StructType:
+    return StructType([StructField(id_col, docs.schema[id_col].dataType), *StructType.fromDDL("row long, chunk long, ids array<int>").fields])
+
+
+def encode_small(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """``encode`` of the documents below ``chunk`` characters."""
+    base, v = _base(docs, id_col, text_col), vocabulary
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
@@ -318,9 +356,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([batch.column("_id").slice(rows[0], len(rows)), zero, zero, pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "row", "chunk", "ids"])
                     ids, rows = [], []
 
-    out_type = StructType([id_field, *StructType.fromDDL("row long, chunk long, ids array<int>").fields])
-    small = base.where(F.length("_text") < chunk).mapInArrow(whole, out_type)
+    return base.where(F.length("_text") < chunk).mapInArrow(whole, _coded(docs, id_col))
+
 
+def encode_giant(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """``encode`` of the documents of ``chunk`` characters and more, by the parallel scan."""
+    base, v, ahead = _base(docs, id_col, text_col), vocabulary, vocabulary.longest - 1
     # Giant texts: chunks with a look-ahead, of the text with its leading space.
     spaced = F.concat(F.lit(" "), F.col("_text"))
     giant = base.where(F.length("_text") >= chunk).withColumn("row", F.monotonically_increasing_id() + 1)
@@ -379,20 +420,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     found = found.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(reached, "row long, chunk long, before binary")
     found = giant.join(found, ["row", "chunk"]).select("row", "chunk", "part", "size", "before").mapInArrow(origins, "row long, chunk long, origin array<int>")
     found = found.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(borders, "row long, chunk long, entry int, leave int")
-    large = giant.join(found, ["row", "chunk"]).select("_id", "row", "chunk", "part", "size", "entry", "leave").mapInArrow(traced, out_type)
-    return small.unionByName(large)
+    return giant.join(found, ["row", "chunk"]).select("_id", "row", "chunk", "part", "size", "entry", "leave").mapInArrow(traced, _coded(docs, id_col))
 
 
-def summarise(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of ``encode``'s result: ``id_col``, n_tokens, n_byte_tokens, ids_sha256 (32-bit little-endian ids), decoded_sha256."""
+def summarise(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Encode, decode and sum up: ``id_col``, n_tokens, n_byte_tokens, ids_sha256 (32-bit little-endian ids), decoded_sha256 of each document."""
     v = vocabulary
-    out_type = StructType([encoded.schema[id_col], *StructType.fromDDL("n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string").fields])
+    out_type = StructType([StructField(id_col, docs.schema[id_col].dataType), *StructType.fromDDL("n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string").fields])
     names = [id_col, "n_tokens", "n_byte_tokens", "ids_sha256", "decoded_sha256"]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_digest_row(x.values.to_numpy() if x.is_valid else [], v) for x in batch.column("ids")] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=names)
+            out = [_digest_row(v.encode(x.as_py()), v) for x in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=names)
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, id_type = None, None, pa.int64()
@@ -410,7 +450,7 @@ def summarise(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
                     key, state = r, [i, 0, 0, hashlib.sha256(), hashlib.sha256(), True]
                 packed = ids.values.to_numpy().astype("<i4")
                 state[1] += len(packed)
-                state[2] += int(np.isin(packed, v.bytes_).sum())
+                state[2] += int(v.is_byte[packed].sum())
                 state[3].update(packed.tobytes())
                 text = v.decode_bytes(packed)
                 state[4].update(text[1:] if state[5] and len(text) else text)
@@ -418,9 +458,9 @@ def summarise(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         if state:
             yield row()
 
-    small = encoded.where("row = 0").mapInArrow(one, out_type)
-    large = encoded.where("row > 0").repartition(partitions(encoded.sparkSession), "row").sortWithinPartitions("row", "chunk").mapInArrow(many, out_type)
-    return small.unionByName(large)
+    small = _base(docs, id_col, text_col).where(F.length("_text") < chunk).mapInArrow(one, out_type)
+    giant = encode_giant(docs, v, id_col, text_col, chunk)
+    return small.unionByName(giant.repartition(partitions(docs.sparkSession), "row").sortWithinPartitions("row", "chunk").mapInArrow(many, out_type))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id") -> DataFrame:
