@@ -139,13 +139,13 @@ def _regions(docs: DataFrame, text_col: str, width: int, percent: int, common: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        lists = keys, owners, sizes, reaches = [], [], [], []
+        lists = keys, owners, sizes = [], [], []
 
         def rows_of() -> pa.RecordBatch:
             cols = [pa.array(np.concatenate(x)) for x in lists]
             for x in lists:
                 x.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["key", "c", "n", "r"])
+            return pa.RecordBatch.from_arrays(cols, names=["key", "c", "nr"])
 
         for batch in batches:
             size = 0
@@ -161,10 +161,9 @@ def _regions(docs: DataFrame, text_col: str, width: int, percent: int, common: n
                 order = (common[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 near = np.argpartition(order, k - 1)[:k] if k < n else np.arange(n)
                 part = s[near[np.argsort(order[near], kind="stable")]]
-                keys.append(part.astype(np.int64))
+                keys.append((part >> np.uint64(16)).astype(np.int64))
                 owners.append(np.full(k, c, dtype=np.int64))
-                sizes.append(np.full(k, n, dtype=np.int32))
-                reaches.append(np.arange(n, n - k, -1, dtype=np.int32))
+                sizes.append((n << 32) + np.arange(n, n - k, -1, dtype=np.int64))
                 size += k
                 if size > 300_000:
                     yield rows_of()
@@ -172,7 +171,9 @@ def _regions(docs: DataFrame, text_col: str, width: int, percent: int, common: n
             if keys:
                 yield rows_of()
 
-    return base.mapInArrow(run, "key long, c long, n int, r int")
+    # Rows cross the exchange packed: 48 bits of the shingle (more sets may meet for it, none fewer), and n and r as one number.
+    dealt = base.mapInArrow(run, "key long, c long, nr long").repartition(partitions(docs.sparkSession), "key")
+    return dealt.select("key", "c", F.shiftright("nr", 32).cast("int").alias("n"), F.col("nr").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("r"))
 
 
 def _cells(regions: DataFrame, percent: int) -> DataFrame:

@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 
 
 def score(docs: DataFrame, forest: Forest, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of every row of ``docs`` (its id by default) and its score from 0 to 1 under ``_score``."""
+    """(_row, _score) of every row of ``docs``: a struct of ``columns`` (its id by default), whatever their names, and a score from 0 to 1."""
     columns = columns or ["doc_id"]
     base = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_text"))
 
@@ -168,18 +168,18 @@ def score(docs: DataFrame, forest: Forest, columns: list[str] | None = None) ->
                 scores = forest.predict(document_features(*raw(arr)).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(a, b - a), pa.array(scores)], names=["_row", "_score"])
 
-    return base.mapInArrow(run, result_schema(base.select("_row").schema, "_score double")).select("_row.*", "_score")
+    return base.mapInArrow(run, result_schema(base.select("_row").schema, "_score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     forest = train(docs, labels, "quality", limit)
     return score(docs, forest).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")
+        "_row.doc_id", held_out(F.col("_row.doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with all their columns."""
     forest = train(docs, labels, "quality", limit)
-    return score(docs, forest, docs.columns).where(F.col("_score") >= threshold).drop("_score")
+    return score(docs, forest, docs.columns).where(F.col("_score") >= threshold).select("_row.*")

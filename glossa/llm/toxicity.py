@@ -303,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 
 
 def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of every row of ``docs`` (its id by default) and its score from 0 to 1 under ``_score``."""
+    """(_row, _score) of every row of ``docs``: a struct of ``columns`` (its id by default), whatever their names, and a score from 0 to 1."""
     base = docs.select(F.struct(*(columns or ["doc_id"])).alias("_row"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,16 +311,16 @@ def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> Da
             for a, b, arr in string_blocks(batch, "_text", 1 << 21):
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(a, b - a), pa.array(net.text_scores(*raw(arr)))], names=["_row", "_score"])
 
-    return base.mapInArrow(run, result_schema(base.select("_row").schema, "_score double")).select("_row.*", "_score")
+    return base.mapInArrow(run, result_schema(base.select("_row").schema, "_score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     return score(docs, train(docs, labels, "toxic", limit)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")
+        "_row.doc_id", held_out(F.col("_row.doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` whose score stays below ``threshold``, with all their columns."""
-    return score(docs, train(docs, labels, "toxic", limit), docs.columns).where(F.col("_score") < threshold).drop("_score")
+    return score(docs, train(docs, labels, "toxic", limit), docs.columns).where(F.col("_score") < threshold).select("_row.*")
