@@ -133,3 +133,16 @@ def test_first_fit_lanes(spark):
 def test_text_functions_keep_nulls(spark):
     row = spark.createDataFrame([(None,)], "t string").select(X.norm_title(F.col("t")).alias("a"), X.author_key(F.col("t")).alias("b"), X.recase_name(F.col("t")).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == ("", None, None)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from glossa.__main__ import main
+
+    spark.createDataFrame([(0, True, BASE, PAGE)], DOCS).write.parquet(str(tmp_path / "pages"))
+    assert main(["build", str(tmp_path / "pages"), str(tmp_path / "graph")], spark) == 0
+    assert main(["search", str(tmp_path / "graph"), "deus"], spark) == 0
+    assert main(["frontier", str(tmp_path / "pages")], spark) == 0
+    (tmp_path / "index.html").write_text('<a href="/holy-father/leone-xiv.html">')
+    assert main(["validate", str(tmp_path / "index.html")], spark) == 1
+    out = capsys.readouterr().out
+    assert "1 in_corpus" in out and "Deus Caritas Est" in out and DEUS in out and "pio-x" in out
