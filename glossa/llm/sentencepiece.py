@@ -28,7 +28,9 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ from pyspark.sql.types import StructField, StructType
 from glossa.llm.common import partitions, settle
 
 CHUNK = 1 << 15
-REMEMBER = 300_000
+REMEMBER = 400_000
 PLAIN = 1024  # cuts are looked up for characters below this code point; others never end a segment
 NEVER = -np.inf
 
@@ -72,6 +74,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             yield tag >> 3, data[at : (at := at + 4)]
 
 
+class _Memory(dict):
+    """What a function gives for segments, remembered up to REMEMBER of them."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, segment: str):
+        found = self.function(segment)
+        if len(segment) <= 64:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[segment] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """Pieces with scores; spaces stand for themselves."""
@@ -83,7 +101,6 @@ class Vocabulary:
     unknown: float
     longest: int
     cut: np.ndarray = field(repr=False)  # (PLAIN, PLAIN) whether no piece holds the two characters in a row
-    memory: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -127,8 +144,21 @@ class Vocabulary:
         found[self.bytes_] = bool(max(self.bytes_))
         return found
 
+    @cached_property
+    def singles(self) -> frozenset[str]:
+        return frozenset(p for p, s in self.score.items() if s is not None and len(p) == 1)
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
+        for p, s in self.score.items():
+            if s is not None:
+                found.add_word(p, (len(p), s, self.ids[p]))
+        found.make_automaton()
+        return found
+
     def __getstate__(self):
-        return self.__dict__ | {"memory": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("automaton", "singles", "is_byte", "memory", "scores")}
 
     def cuts(self, text: str) -> list[int]:
         """The places between characters of ``text`` that no piece crosses."""
@@ -184,37 +214,54 @@ class Vocabulary:
             at = back[at]
         return [i for p in reversed(pieces) for i in self.piece_ids(p)]
 
+    def _fast(self, word: str) -> tuple[float, list[int]]:
+        """``word`` for known characters only: an automaton yields the pieces by their ends, the longest first."""
+        n = len(word) + 1
+        value, back, via = [NEVER] * n, [0] * n, [0] * n
+        value[0] = 0.0
+        for end, (size, s, i) in self.automaton.iter(word):
+            end += 1
+            start = end - size
+            v = value[start] + s
+            if v > value[end]:
+                value[end], back[end], via[end] = v, start, i
+        out, at = [], n - 1
+        while at:
+            out.append(via[at])
+            at = back[at]
+        out.reverse()
+        return value[-1], out
+
     def word(self, word: str) -> tuple[float, list[int]]:
-        """Score and ids of a segment between cuts, remembered."""
-        found = self.memory.get(word)
-        if found is None:
-            value, back = self.best(word)
-            pieces, at = [], len(word)
-            while at > 0:
-                pieces.append(word[back[at] : at])
-                at = back[at]
-            if len(self.memory) >= REMEMBER:
-                self.memory.clear()
-            found = value[-1], [i for p in reversed(pieces) for i in self.piece_ids(p)]
-            if len(word) <= 64:
-                self.memory[word] = found
-        return found
+        """Score and ids of a segment between cuts."""
+        if self.singles.issuperset(word):
+            return self._fast(word)
+        value, back = self.best(word)
+        pieces, at = [], len(word)
+        while at > 0:
+            pieces.append(word[back[at] : at])
+            at = back[at]
+        return value[-1], [i for p in reversed(pieces) for i in self.piece_ids(p)]
+
+    @cached_property
+    def memory(self) -> dict[str, list[int]]:
+        return _Memory(lambda w: self.word(w)[1])
+
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        return _Memory(lambda w: self.word(w)[0])
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, in one go."""
         if not text:
             return []
-        text = " " + text
-        memory, out, a = self.memory, [], 0
-        for b in [*self.cuts(text), len(text)]:
-            w = text[a:b]
-            out += (memory.get(w) or self.word(w))[1]
-            a = b
-        return out
+        return list(chain.from_iterable(map(self.memory.__getitem__, self._segments(" " + text))))
 
     def _segments(self, text: str) -> list[str]:
-        places = [0, *self.cuts(text), len(text)]
-        return [text[a:b] for a, b in zip(places[:-1], places[1:], strict=True)] if text else []
+        if not text:
+            return []
+        places = self.cuts(text)
+        return [text[a:b] for a, b in zip([0, *places], [*places, len(text)], strict=True)]
 
     def decode_bytes(self, ids) -> bytes:
         """The bytes that ids stand for, with the leading space that encoding added."""
@@ -240,7 +287,7 @@ class Vocabulary:
             for s in range(size + 1, min(self.longest, len(chunk) + 1)):  # a piece that spans the whole chunk
                 m[s, s - size] = 0.0
             return m
-        middle = sum(self.word(w)[0] for w in self._segments(chunk[first:last]))
+        middle = sum(self.scores[w] for w in self._segments(chunk[first:last]))
         tail = np.array(self.best(chunk[last:], size - last)[0][size - last : size - last + exits])
         for s in range(min(self.longest, first + 1)):
             m[s, :exits] = self.best(chunk[:first], None, s)[0][first] + middle + tail
@@ -290,7 +337,7 @@ class Vocabulary:
             return self.trace(chunk, entry, size + leave, size)
         out = self.trace(chunk[:first], entry, first)
         for w in self._segments(chunk[first:last]):
-            out += self.word(w)[1]
+            out += self.memory[w]
         return out + self.trace(chunk[last:], 0, size - last + leave, size - last)
 
 
