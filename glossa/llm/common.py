@@ -83,7 +83,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     else:
         ids = usable.orderBy(*order).limit(limit)
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    return text.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+    # Of an id with many rows one text counts, the least: the sample stays within its limit whatever the ids repeat.
+    return text.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def string_blocks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:

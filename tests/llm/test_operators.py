@@ -251,6 +251,15 @@ def test_labels_of_held_out_rows_never_count(spark):
     assert score(marks) == score(flipped)
 
 
+def test_sample_keeps_its_limit_when_ids_repeat(spark):
+    from glossa.llm.common import labelled_sample
+
+    docs = spark.range(3000).select((F.col("id") % 7).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    marks = spark.range(7).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert labelled_sample(docs, marks, "toxic", 4).count() <= 4
+    assert labelled_sample(docs, marks, "toxic", 4, each=True).count() <= 4
+
+
 def test_forest_traversal_matches_walking_each_tree():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 5))
