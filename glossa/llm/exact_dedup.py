@@ -103,41 +103,28 @@ class LsmIndex:
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256_digest) -> DataFrame:
-    """One row per input row: ``id_col``, keep_id, group_size, kept, digest (binary), first.
+    """One row per input row: ``id_col``, keep_id, group_size, kept, digest (binary).
 
-    ``kept`` marks rows with the identifier and text that stay; where several rows share both, ``first`` is true for
-    one of them only, else for each kept row.
+    ``kept`` marks the rows with the identifier and text that stay; rows that share both are marked alike (``deduplicate`` keeps one of them).
     """
     index = LsmIndex(docs.sparkSession, id_col, text_col, keep, digest)
     rows = index.flush(docs)
     level = index.compact()
     odd = settle(index.collisions(docs, level), "lsm-collisions")
-    if odd.isEmpty():
-        found = rows.join(level, "_digest")
-    else:
-        found = _with_collisions(index, docs, level, odd, keep)
+    found = rows.join(level, "_digest") if odd.isEmpty() else _with_collisions(index, docs, rows, level, odd, keep)
     same = F.col("_id").eqNullSafe(F.col("_keep"))
-    out = found.select(
-        F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_rows").alias("group_size"), same.alias("kept"),
-        F.col("_digest").alias("digest"), F.col("_same").alias("_same"),
-    )
-    once = out.where("not kept or _same = 1").withColumn("first", F.col("kept"))
-    again = out.where("kept and _same > 1").groupBy(id_col, "keep_id", "group_size", "kept", "digest", "_same")
-    again = again.agg(F.count("*").alias("_n")).withColumn("_k", F.explode(F.expr("sequence(1, _n)"))).withColumn("first", F.col("_k") == 1)
-    return once.unionByName(again.select(once.columns)).drop("_same")
+    return found.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_rows").alias("group_size"), same.alias("kept"), F.col("_digest").alias("digest"))
 
 
-def _with_collisions(index: LsmIndex, docs: DataFrame, level: DataFrame, odd: DataFrame, keep: str) -> DataFrame:
+def _with_collisions(index: LsmIndex, docs: DataFrame, rows: DataFrame, level: DataFrame, odd: DataFrame, keep: str) -> DataFrame:
     """The rows with their groups when digests collide: colliding texts form groups of their own by whole text."""
     best = F.min if keep == "smallest" else F.max
     hit = odd.select("_digest").distinct()
-    calm = index.spark.read.parquet(*index.runs).join(hit, "_digest", "left_anti").join(level, "_digest")
+    calm = rows.join(hit, "_digest", "left_anti").join(level, "_digest")
     texts = index._keyed(docs).join(hit, "_digest", "left_semi")
-    by_id = texts.groupBy("_digest", "_norm", "_id").agg(F.count("*").alias("_same"))
-    groups = by_id.groupBy("_digest", "_norm").agg(best("_id").alias("_keep"), F.sum("_same").alias("_rows"))
-    rows = by_id.join(groups, ["_digest", "_norm"])
-    rows = rows.withColumn("_k", F.explode(F.expr("sequence(1, _same)")))
-    return calm.select("_digest", "_id", "_keep", "_rows", "_same").unionByName(rows.select("_digest", "_id", "_keep", "_rows", "_same"))
+    groups = texts.groupBy("_digest", "_norm").agg(best("_id").alias("_keep"), F.count("*").alias("_rows"))
+    clash = texts.join(groups, ["_digest", "_norm"])
+    return calm.select("_digest", "_id", "_keep", "_rows").unionByName(clash.select("_digest", "_id", "_keep", "_rows"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256_digest) -> DataFrame:

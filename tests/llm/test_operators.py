@@ -54,7 +54,6 @@ def test_exact_dedup(spark, edge, keep, weak):
         found = exact_dedup.verdicts(docs, keep=keep, digest=digest)
         got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found.collect())
         assert got == Counter((i, best[t], len(groups[t]), i == best[t]) for i, t in rows)
-        assert found.where("first").count() == len(groups)
         stay = exact_dedup.deduplicate(docs, keep=keep, digest=digest)
         assert stay.columns == docs.columns
         assert Counter((r["doc_id"], (r["text"] or "").translate(LOWER)) for r in stay.collect()) == Counter((best[t], t) for t in groups)
