@@ -399,8 +399,9 @@ def _block_links(group: list[tuple], percent: int) -> list[tuple[int, int]]:
 def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, first: DataFrame | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The classes' links that join their components, (u, v), and the labels of linked classes, (node, label)."""
     first = first if first is not None else _first_pass(docs, id_col, text_col, width)
-    regions = _regions(docs, text_col, width, percent, _commonness(first))
-    region = settle(_cells(regions, percent), "jaccard-regions")
+    common = _commonness(first)
+    # No name is kept for what was written: Spark drops the exchange's files once nothing refers to them.
+    region = settle(_cells(_regions(docs, text_col, width, percent, common), percent), "jaccard-regions")
     small, other = F.col("k") <= SMALL, region.select("key", F.col("c").alias("m"), F.col("n").alias("mn"), F.col("r").alias("mr"), "k").where(F.col("k") <= SMALL).drop("k")
     star = region.where(_candidate(percent)).select("m", "c")
     inner = region.where(small).select("key", "c", "n", "r").join(other, "key").where(F.col("m") < F.col("c")).where(_candidate(percent)).select("m", "c")
