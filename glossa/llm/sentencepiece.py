@@ -40,7 +40,7 @@ from pyspark.sql.types import StructField, StructType
 from glossa.llm.common import partitions, settle
 
 CHUNK = 1 << 15
-REMEMBER = 400_000
+REMEMBER = 150_000
 PLAIN = 1024  # cuts are looked up for characters below this code point; others never end a segment
 NEVER = -np.inf
 
