@@ -40,7 +40,7 @@ from pyspark.sql.types import StructField, StructType
 from glossa.llm.common import partitions, settle
 
 CHUNK = 1 << 15
-REMEMBER = 150_000
+REMEMBER, SCORES = 300_000, 30_000
 PLAIN = 1024  # cuts are looked up for characters below this code point; others never end a segment
 NEVER = -np.inf
 
@@ -75,16 +75,16 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Memory(dict):
-    """What a function gives for segments, remembered up to REMEMBER of them."""
+    """What a function gives for segments, remembered up to ``limit`` of them."""
 
-    def __init__(self, function):
+    def __init__(self, function, limit: int):
         super().__init__()
-        self.function = function
+        self.function, self.limit = function, limit
 
     def __missing__(self, segment: str):
         found = self.function(segment)
         if len(segment) <= 64:
-            if len(self) >= REMEMBER:
+            if len(self) >= self.limit:
                 self.clear()
             self[segment] = found
         return found
@@ -245,11 +245,11 @@ class Vocabulary:
 
     @cached_property
     def memory(self) -> dict[str, list[int]]:
-        return _Memory(lambda w: self.word(w)[1])
+        return _Memory(lambda w: self.word(w)[1], REMEMBER)
 
     @cached_property
     def scores(self) -> dict[str, float]:
-        return _Memory(lambda w: self.word(w)[0])
+        return _Memory(lambda w: self.word(w)[0], SCORES)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, in one go."""
