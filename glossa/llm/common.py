@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from glossa.sources.work import settle, shared_path  # noqa: F401  used by the operators
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,25 +26,6 @@ _POW = np.ones(1, dtype=np.uint64)
 _INV = np.ones(1, dtype=np.uint64)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names no folder (tests, one machine) is a temporary one used.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"{tempfile.gettempdir()}/glossa-shared"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def result_schema(kept: StructType, added: str) -> StructType:
     """The fields of ``kept`` and then those of the DDL string ``added``, all nullable."""
     fields = [*kept.fields, *StructType.fromDDL(added).fields]
