@@ -1,11 +1,11 @@
 """Document fingerprints: order MinHash, sensitive to edit distance.
 
 A text's k-mers (``K`` bytes of UTF-8; a shorter text is one k-mer) are numbered by occurrence, so the second "the"
-differs from the first. Their hashes' ``SAMPLE`` smallest are the text's sample. For each of ``SKETCHES`` hash
-functions the ``TUPLE`` minimal k-mers of the sample are taken, put back into text order and hashed together: a text
-with the same k-mers in another order gets other tuples. The fingerprint is the hex of 16 bits a sketch; the likeness of
-two fingerprints is the share of equal sketches, brought to the scale of one k-mer (power 1 / TUPLE). The sample only saves
-time: it is the whole text up to SAMPLE k-mers and a bottom-k sample of all its k-mers beyond.
+differs from the first. For each of ``SKETCHES`` hash functions (an odd multiple of the numbered k-mer's mixed hash) the
+``TUPLE`` minimal k-mers of the whole text are taken, put back into text order and hashed together: a text with the same
+k-mers in another order gets other tuples. The fingerprint is the hex of 16 bits a sketch; the likeness of two
+fingerprints is the share of equal sketches, brought to the scale of one k-mer (power 1 / TUPLE). The k-mers pass in
+blocks of ``BLOCK`` with running minima, which bounds the memory and leaves the values as they are.
 
 ``with_next`` pairs each document with the next one by id without gathering the table: ids are cut at quantiles into
 ranges, each range is one task, and the first row of a range is also sent to the range before.
@@ -28,11 +28,39 @@ from pyspark.sql.types import StructType
 
 from glossa.llm.common import mix, partitions, result_schema, span_hashes
 
-K, TUPLE, SKETCHES, SAMPLE = 8, 2, 64, 192
-_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+K, TUPLE, SKETCHES, BLOCK = 8, 2, 64, 1024
+_FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ROOM = np.empty(SKETCHES * BLOCK, dtype=np.uint64)  # one block's hashes; a fresh array each time would cost more than the hashing
 _PLACE = np.uint64(24)
 
 
+def _two(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the TUPLE least entries of each row, in order; ``table`` is overwritten."""
+    rows = np.arange(len(table))
+    at, least = [], []
+    for _ in range(min(TUPLE, table.shape[1])):
+        at.append(table.argmin(axis=1))
+        least.append(table[rows, at[-1]])
+        table[rows, at[-1]] = np.uint64(2**64 - 1)
+    return np.stack(at, axis=1), np.stack(least, axis=1)
+
+
+def minima(value: np.ndarray) -> np.ndarray:
+    """For each sketch the indices of the TUPLE values with the smallest hashes, in order of hash."""
+    best = least = None
+    for start in range(0, len(value), BLOCK):
+        part = value[start : start + BLOCK]
+        room = _ROOM[: SKETCHES * len(part)].reshape(SKETCHES, len(part))
+        at, low = _two(np.multiply(part[None, :], _FACTORS[:, None], out=room))
+        if best is None:
+            best, least = at, low
+            continue
+        both = np.concatenate([best, at + start], axis=1)
+        order, least = _two(np.concatenate([least, low], axis=1))
+        best = np.take_along_axis(both, order, axis=1)
+    return best
+
+
 def order_minhash(text: str) -> np.ndarray:
     """The SKETCHES 16-bit values of one text."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -54,19 +82,9 @@ def order_minhash(text: str) -> np.ndarray:
     run = np.flatnonzero(fresh)
     number = np.arange(len(value)) - np.repeat(run, np.diff(np.append(run, len(value))))
     value = mix(value * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
-    if len(value) > SAMPLE:
-        least = np.argpartition(value, SAMPLE)[:SAMPLE]
-        value, place = value[least], place[least]
-    table = mix(value[None, :] ^ _SEEDS[:, None])
-    rows = np.arange(SKETCHES)
-    chosen = []
-    for _ in range(min(TUPLE, len(value))):
-        least = table.argmin(axis=1)
-        table[rows, least] = np.uint64(2**64 - 1)
-        chosen.append(least)
-    picked = np.stack(chosen, axis=1)
+    picked = minima(value)
     picked = np.take_along_axis(picked, place[picked].argsort(axis=1, kind="stable"), axis=1)
-    out = np.full(SKETCHES, len(chosen), dtype=np.uint64)
+    out = np.full(SKETCHES, picked.shape[1], dtype=np.uint64)
     for j in range(picked.shape[1]):
         out = mix(out * np.uint64(0x100000001B3) + value[picked[:, j]])
     return np.maximum(out >> np.uint64(48), np.uint64(1)).astype(np.uint16)

@@ -472,6 +472,30 @@ def test_fingerprints(spark, edge):
     assert added.columns == [*edge.columns, "fingerprint"] and added.count() == len(TEXTS)
 
 
+def test_fingerprints_take_minima_over_all_kmers_of_a_text():
+    rng = random.Random(3)
+    wrap = lambda x: x & (2**64 - 1)
+    mixed = lambda x: int(fingerprint.mix(np.array([wrap(x)], dtype=np.uint64))[0])
+    factors = [mixed(s * 0x9E3779B97F4A7C15) | 1 for s in range(1, fingerprint.SKETCHES + 1)]
+    for n in (5, 8, 9, 150, 600, 3000):
+        data = np.frombuffer("".join(rng.choice("ab c") for _ in range(n)).encode(), dtype=np.uint8)
+        k = min(fingerprint.K, n)
+        starts = np.arange(n - k + 1)
+        seen, grams = Counter(), []
+        for place, h in enumerate(fingerprint.span_hashes(data, starts, starts + k).tolist()):
+            h >>= 24
+            grams.append((mixed(h * 0x9E3779B97F4A7C15 + seen[h] * 0xC2B2AE3D27D4EB4F + 1), place))
+            seen[h] += 1
+        expected = []
+        for f in factors:
+            least = sorted(grams, key=lambda g: wrap(g[0] * f))[: fingerprint.TUPLE]
+            out = len(least)
+            for value, _ in sorted(least, key=lambda g: g[1]):
+                out = mixed(out * 0x100000001B3 + value)
+            expected.append(max(out >> 48, 1))
+        assert fingerprint.order_minhash(data.tobytes().decode()).tolist() == expected
+
+
 def test_fingerprints_follow_order():
     rng = random.Random(2)
     words = [f"{rng.randrange(10**6)}" for _ in range(200)]
