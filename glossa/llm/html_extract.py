@@ -6,22 +6,25 @@ notices, adverts, forms, comments, scripts, styles), or undecided.
 
 The token streams of a host's pages are concatenated, with a separator of its own after every page. Prefix doubling
 gives every place its rank in the suffix array as far as its first ``REPEAT`` tokens; equal neighbours are
-substrings of that length, and those that stand on ``PAGES`` distinct pages cover their tokens. In blocks that the
+substrings of that length, and those that stand on ``PAGES`` distinct pages of the host cover their tokens. In blocks that the
 markup does not decide, covered runs are boilerplate: they go and the unique runs stay. Where a page marks its article,
 the article is the main text and stays whole, repeats included: the result must drop or cap nothing else.
 
-Hosts are dealt to tasks; a host with more than a task's share of all bytes is split by a hash of the page id (at most as
-many hosts as tasks can be that large). Within a task, pages pass in shards of about ``SHARD_CHARS``, so memory is bounded.
+A host above ``SHARD_CHARS`` is cut into parts of about that size by a hash of the page's content, and each part has its
+array. Repeats are found over the whole host: the parts deal the hashes of their runs out by hash, with the number of
+pages each stands on there, and get back the counts of those that other parts hold too. Pages of equal text blocks are
+one page, are in one part, and count once.
 
 Defined cases: a null or empty page gives an empty text; broken markup is lexed leniently (unclosed elements end
 with their parent, an unclosed comment or script runs to the page's end); pages without a host share the host '';
-repeated rows are extracted each (a page repeated under one id counts as one page); an empty table gives an empty result.
+repeated rows are extracted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import partitions, result_schema
+from glossa.llm.common import partitions, result_schema, span_hashes
 
 REPEAT, PAGES, SHARD_CHARS = 8, 2, 4_000_000
 
@@ -133,12 +136,20 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
+def spread(start: np.ndarray, n: int) -> np.ndarray:
+    """True for the REPEAT tokens from each start on."""
+    level = np.zeros(n + REPEAT + 1, dtype=np.int64)
+    level[:n] += start
+    level[REPEAT : n + REPEAT] -= start
+    return np.cumsum(level)[:n] > 0
+
+
 @dataclass
 class Shard:
-    """Pages of one host whose token streams share a suffix array."""
+    """Pages of one host whose token streams share a suffix array, and what is known of their runs in other shards."""
 
     rows: list[tuple] = field(default_factory=list)  # page id, url, blocks
-    chars: int = 0
+    known: tuple[np.ndarray, np.ndarray] | None = None  # hashes of runs, sorted, and on how many pages of the host each stands
 
     def ranks(self) -> tuple[np.ndarray, np.ndarray]:
         """Each place's class among the substrings of REPEAT tokens, and its page (-1 for separators)."""
@@ -146,8 +157,8 @@ class Shard:
         tokens: list[int] = []
         pages: list[int] = []
         seen: dict = {}
-        for i, (page, _, found) in enumerate(self.rows):
-            number = seen.setdefault(page, i)
+        for i, (_, _, found) in enumerate(self.rows):
+            number = seen.setdefault(tuple(text for _, text in found), i)
             for _, text in found:
                 ids = [words.setdefault(w, len(words)) for w in text.split(" ")]
                 tokens.extend(ids)
@@ -164,20 +175,52 @@ class Shard:
             width += step
         return rank, np.array(pages, dtype=np.int64)
 
-    def covered(self) -> np.ndarray:
-        """True for each token of the stream that lies in a substring of REPEAT tokens on PAGES distinct pages."""
+    def hashes(self) -> np.ndarray:
+        """A hash of the bytes of the REPEAT tokens from each place on; 0 where the page ends before."""
+        parts = []
+        for _, _, found in self.rows:
+            data = np.frombuffer(" ".join(text for _, text in found).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            gaps = np.flatnonzero(data == 32)
+            starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
+            own = np.zeros(len(starts) + 1 if len(data) else 1, dtype=np.uint64)
+            if len(data) and len(starts) >= REPEAT:
+                own[: len(starts) - REPEAT + 1] = span_hashes(data, starts[: len(starts) - REPEAT + 1], ends[REPEAT - 1 :])
+            parts.append(own)
+        return np.concatenate(parts)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where runs of REPEAT tokens start, each one's class, and by class on how many distinct pages it stands."""
         rank, page = self.ranks()
         n = len(rank)
         gaps = np.cumsum(page < 0)
         end = np.minimum(np.arange(n) + REPEAT - 1, n - 1)
-        whole = (page >= 0) & (gaps[end] == gaps) & (np.arange(n) + REPEAT <= n)
-        pairs = np.unique(np.stack([rank[whole], page[whole]], axis=1), axis=0) if whole.any() else np.zeros((0, 2), np.int64)
-        often = np.bincount(pairs[:, 0], minlength=n) >= PAGES if len(pairs) else np.zeros(n, dtype=bool)
-        start = whole & often[rank]
-        level = np.zeros(n + REPEAT + 1, dtype=np.int64)
-        level[:n] += start
-        level[REPEAT : n + REPEAT] -= start
-        return np.cumsum(level)[:n] > 0
+        whole = np.flatnonzero((page >= 0) & (gaps[end] == gaps) & (np.arange(n) + REPEAT <= n))
+        pairs = np.unique(np.stack([rank[whole], page[whole]], axis=1), axis=0) if len(whole) else np.zeros((0, 2), np.int64)
+        return whole, rank, np.bincount(pairs[:, 0], minlength=n)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted hashes of the shard's runs, and on how many of its pages each stands."""
+        whole, rank, count = self.runs()
+        first = whole[np.unique(rank[whole], return_index=True)[1]]
+        h = self.hashes()[first]
+        order = np.argsort(h)
+        return h[order], count[rank[first]][order]
+
+    def counts(self) -> tuple[np.ndarray, int]:
+        """For each place on how many distinct pages of the host its run stands (0 where none starts), and the tokens."""
+        whole, rank, count = self.runs()
+        out = np.zeros(len(rank), dtype=np.int64)
+        out[whole] = count[rank[whole]]
+        if self.known is not None and len(self.known[0]):
+            h = self.hashes()[whole]
+            at = np.minimum(np.searchsorted(self.known[0], h), len(self.known[0]) - 1)
+            out[whole] = np.where(self.known[0][at] == h, self.known[1][at], out[whole])
+        return out, len(rank)
+
+    def covered(self) -> np.ndarray:
+        """True for each token of the stream that lies in a substring of REPEAT tokens on PAGES distinct pages."""
+        count, n = self.counts()
+        return spread(count >= PAGES, n)
 
     def texts(self) -> Iterator[tuple]:
         """Page id, url, main text, tokens covered by repeats."""
@@ -213,37 +256,71 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: ``id_col``, ``url_col``, text, n_chars (code points), n_repeated (tokens in repeats of the host)."""
     n = partitions(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"), host_of(F.col(url_col)).alias("_host"))
-    size = F.sum(F.octet_length("_html") + 1)
-    total = rows.agg(size.alias("b")).first()["b"] or 1
-    share = total / n
-    # Fewer than n hosts can be over an n-th of all bytes, so this list is no longer than there are tasks.
-    # No cut is smaller than a shard, so a host's repeats are seen together wherever memory allows.
-    part = max(share / 4, SHARD_CHARS)
-    large = rows.groupBy("_host").agg(size.alias("b")).where(F.col("b") > max(share, part)).select("_host", F.ceil(F.col("b") / part).cast("int").alias("_cuts"))
-    rows = rows.join(F.broadcast(large), "_host", "left")
-    rows = rows.withColumn("_cut", F.pmod(F.xxhash64("_id"), F.coalesce("_cuts", F.lit(1))).cast("int"))
-    rows = rows.select("_host", "_cut", "_id", "_url", "_html").repartition(n, "_host", "_cut").sortWithinPartitions("_host", "_cut", "_id", "_url")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, key = Shard(), None
-
-        def flush() -> pa.RecordBatch:
-            out = list(shard.texts())
-            cols = [pa.array([x[0] for x in out], id_type), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([len(x[2]) for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())], names=["_id", "_url", "text", "n_chars", "n_repeated"])
-
-        id_type = pa.int64()
+    sizes = rows.groupBy("_host").agg(F.sum(F.octet_length("_html") + 1).alias("b"))
+    all_hosts = sizes.agg(F.sum("b").alias("total"), F.max("b").alias("most")).first()
+    large = sizes.where(F.col("b") > SHARD_CHARS).select("_host", F.ceil(F.col("b") / SHARD_CHARS).cast("int").alias("_cuts"))
+    # So many hosts at most are large; a longer list is joined by a shuffle.
+    rows = rows.join(F.broadcast(large) if (all_hosts["total"] or 0) / SHARD_CHARS < 50_000 else large, "_host", "left")
+    rows = rows.select("_host", F.coalesce("_cuts", F.lit(1)).alias("_cuts"), "_id", "_url", "_html")
+    kept = rows.drop("_html").schema
+
+    def lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type = batch.schema.field("_id").type
-            for host, cut, i, url, text in zip(*(batch.column(c).to_pylist() for c in ("_host", "_cut", "_id", "_url", "_html")), strict=True):
-                if (host, cut) != key or shard.chars > SHARD_CHARS:
-                    if shard.rows:
-                        yield flush()
-                    shard, key = Shard(), (host, cut)
-                shard.rows.append((i, url, blocks(text)))
-                shard.chars += len(text)
-        if shard.rows:
-            yield flush()
+            cut, places, texts = [], [], []
+            for cuts, text in zip(batch.column("_cuts").to_pylist(), batch.column("_html").to_pylist(), strict=True):
+                found = blocks(text)
+                texts.append("\n".join(t for _, t in found))  # white space within a block is single blanks
+                places.append(bytes(p for p, _ in found))
+                cut.append(zlib.crc32(texts[-1].encode("utf-8", "surrogatepass")) % cuts)
+            cols = [*(batch.column(c) for c in kept.names), pa.array(cut, pa.int32()), pa.array(places, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept.names, "_cut", "_places", "_texts"])
+
+    def shard_of(table: pa.Table) -> Shard:
+        cols = (table.column(c).to_pylist() for c in ("_id", "_url", "_places", "_texts"))
+        return Shard([(i, url, list(zip(places, texts.split("\n"), strict=True)) if places else []) for i, url, places, texts in zip(*cols, strict=True)])
+
+    def count(table: pa.Table) -> pa.Table:
+        host, cut, cuts = (table.column(c)[0].as_py() for c in ("_host", "_cut", "_cuts"))
+        out = []
+        if cuts > 1:
+            h, pages = shard_of(table).counted()
+            buckets = -(-cuts // 8)
+            edges = np.searchsorted(h, np.array([i * 2**64 // buckets for i in range(1, buckets)], dtype=np.uint64))
+            for i, (x, y) in enumerate(zip(np.split(h, edges), np.split(pages, edges), strict=True)):
+                out.append({"_host": host, "_cut": cut, "_bucket": i, "_runs": x.tobytes(), "_pages": y.astype(np.uint32).tobytes()})
+        return pa.Table.from_pylist(out, schema=counted_fields)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("_runs").to_pylist()]
+        pages = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("_pages").to_pylist()]).astype(np.int64)
+        values, number, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        total = np.bincount(number, weights=pages, minlength=len(values)).astype(np.uint32)
+        out, at = [], 0
+        for row, x in zip(table.select(["_host", "_cut", "_bucket"]).to_pylist(), parts, strict=True):
+            own = number[at : at + len(x)]
+            own = own[times[own] > 1]
+            at += len(x)
+            out.append(row | {"_runs": values[own].tobytes(), "_pages": total[own].tobytes()})
+        return pa.Table.from_pylist(out, schema=counted_fields)
+
+    def finish(table: pa.Table, told: pa.Table) -> pa.Table:
+        shard = shard_of(table)
+        if told.num_rows:
+            h, pages = (np.concatenate([np.frombuffer(x, t) for x in told.column(c).to_pylist()]) for c, t in (("_runs", np.uint64), ("_pages", np.uint32)))
+            order = np.argsort(h)
+            shard.known = h[order], pages[order].astype(np.int64)
+        out = list(shard.texts())
+        cols = [pa.array([x[0] for x in out], table.schema.field("_id").type), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
+        return pa.Table.from_arrays([*cols, pa.array([len(x[2]) for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())], names=["_id", "_url", "text", "n_chars", "n_repeated"])
 
+    counted_fields = pa.schema([("_host", pa.string()), ("_cut", pa.int32()), ("_bucket", pa.int32()), ("_runs", pa.binary()), ("_pages", pa.binary())])
+    counted = "_host string, _cut int, _bucket int, _runs binary, _pages binary"
     schema = result_schema(rows.select("_id", "_url").schema, "text string, n_chars long, n_repeated long")
-    return rows.mapInArrow(run, schema).withColumnsRenamed({"_id": id_col, "_url": url_col})
+    # Both passes over the pages read one exchange.
+    dealt = rows.mapInArrow(lex, result_schema(kept, "_cut int, _places binary, _texts string")).repartition(n, "_host", "_cut")
+    if (all_hosts["most"] or 0) > SHARD_CHARS:
+        told = dealt.groupBy("_host", "_cut").applyInArrow(count, counted).groupBy("_host", "_bucket").applyInArrow(add_up, counted)
+        done = dealt.groupBy("_host", "_cut").cogroup(told.groupBy("_host", "_cut")).applyInArrow(finish, schema)
+    else:
+        done = dealt.groupBy("_host", "_cut").applyInArrow(lambda table: finish(table, table.slice(0, 0)), schema)
+    return done.withColumnsRenamed({"_id": id_col, "_url": url_col})

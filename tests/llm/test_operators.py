@@ -349,6 +349,19 @@ def test_suffix_array_covers_what_brute_force_finds():
     assert shard.covered().tolist() == expected
 
 
+def test_html_repeats_are_found_over_the_whole_of_a_large_host(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdef", k=6))
+    notice = " ".join(word() for _ in range(12))
+    own = {i: " ".join(word() for _ in range(30)) for i in range(60)}
+    rows = [(i, f"https://h.org/{i}", f"<div>{own[i]}</div>" + (f"<div>{notice}</div>" if i % 4 == 0 else "")) for i in own]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1_000_000, 500):
+        monkeypatch.setattr(html_extract, "SHARD_CHARS", size)
+        found = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_extract.extract(docs).collect()}
+        assert found == {i: (own[i], 12 if i % 4 == 0 else 0) for i in own}
+
+
 # --- packing -------------------------------------------------------------------------------------------------------------------
 
 
