@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import partitions, result_schema, span_hashes
 
 REPEAT, PAGES, SHARD_CHARS = 8, 2, 4_000_000
+LEAST, SHARE = 3, 0.2
 
 _LEX = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -150,6 +151,7 @@ class Shard:
 
     rows: list[tuple] = field(default_factory=list)  # page id, url, blocks
     known: tuple[np.ndarray, np.ndarray] | None = None  # hashes of runs, sorted, and on how many pages of the host each stands
+    contents: int = 0  # distinct pages of the host; 0: those of this shard
 
     def ranks(self) -> tuple[np.ndarray, np.ndarray]:
         """Each place's class among the substrings of REPEAT tokens, and its page (-1 for separators)."""
@@ -175,6 +177,10 @@ class Shard:
             width += step
         return rank, np.array(pages, dtype=np.int64)
 
+    def distinct(self) -> int:
+        """Pages of distinct content in this shard."""
+        return len({tuple(text for _, text in found) for _, _, found in self.rows})
+
     def hashes(self) -> np.ndarray:
         """A hash of the bytes of the REPEAT tokens from each place on; 0 where the page ends before."""
         parts = []
@@ -224,16 +230,20 @@ class Shard:
 
     def texts(self) -> Iterator[tuple]:
         """Page id, url, main text, tokens covered by repeats."""
-        covered = self.covered() if self.rows else np.zeros(0, bool)
+        if not self.rows:
+            return
+        count, n = self.counts()
+        covered = spread(count >= PAGES, n)
+        common = spread(count >= max(LEAST, SHARE * (self.contents or self.distinct())), n)
         at = 0
         for page, url, found in self.rows:
             top = max((p for p, _ in found), default=UNDECIDED)
             kept, repeats = [], 0
             for place, text in found:
                 words = text.split(" ")
-                cover = covered[at : at + len(words)]
+                repeats += int(covered[at : at + len(words)].sum())
+                cover = common[at : at + len(words)]
                 at += len(words)
-                repeats += int(cover.sum())
                 if place == NEVER:
                     continue
                 if top >= MAIN:
@@ -283,11 +293,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         host, cut, cuts = (table.column(c)[0].as_py() for c in ("_host", "_cut", "_cuts"))
         out = []
         if cuts > 1:
-            h, pages = shard_of(table).counted()
+            shard = shard_of(table)
+            h, pages = shard.counted()
+            distinct = shard.distinct()
             buckets = -(-cuts // 8)
             edges = np.searchsorted(h, np.array([i * 2**64 // buckets for i in range(1, buckets)], dtype=np.uint64))
             for i, (x, y) in enumerate(zip(np.split(h, edges), np.split(pages, edges), strict=True)):
-                out.append({"_host": host, "_cut": cut, "_bucket": i, "_runs": x.tobytes(), "_pages": y.astype(np.uint32).tobytes()})
+                out.append({"_host": host, "_cut": cut, "_bucket": i, "_contents": distinct, "_runs": x.tobytes(), "_pages": y.astype(np.uint32).tobytes()})
         return pa.Table.from_pylist(out, schema=counted_fields)
 
     def add_up(table: pa.Table) -> pa.Table:
@@ -295,12 +307,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         pages = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("_pages").to_pylist()]).astype(np.int64)
         values, number, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         total = np.bincount(number, weights=pages, minlength=len(values)).astype(np.uint32)
+        contents = sum(table.column("_contents").to_pylist())  # each part of the host has a row for each bucket
         out, at = [], 0
         for row, x in zip(table.select(["_host", "_cut", "_bucket"]).to_pylist(), parts, strict=True):
             own = number[at : at + len(x)]
             own = own[times[own] > 1]
             at += len(x)
-            out.append(row | {"_runs": values[own].tobytes(), "_pages": total[own].tobytes()})
+            out.append(row | {"_contents": contents, "_runs": values[own].tobytes(), "_pages": total[own].tobytes()})
         return pa.Table.from_pylist(out, schema=counted_fields)
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -308,13 +321,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if told.num_rows:
             h, pages = (np.concatenate([np.frombuffer(x, t) for x in told.column(c).to_pylist()]) for c, t in (("_runs", np.uint64), ("_pages", np.uint32)))
             order = np.argsort(h)
+            shard.contents = told.column("_contents")[0].as_py()
             shard.known = h[order], pages[order].astype(np.int64)
         out = list(shard.texts())
         cols = [pa.array([x[0] for x in out], table.schema.field("_id").type), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
         return pa.Table.from_arrays([*cols, pa.array([len(x[2]) for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())], names=["_id", "_url", "text", "n_chars", "n_repeated"])
 
-    counted_fields = pa.schema([("_host", pa.string()), ("_cut", pa.int32()), ("_bucket", pa.int32()), ("_runs", pa.binary()), ("_pages", pa.binary())])
-    counted = "_host string, _cut int, _bucket int, _runs binary, _pages binary"
+    counted_fields = pa.schema([("_host", pa.string()), ("_cut", pa.int32()), ("_bucket", pa.int32()), ("_contents", pa.int64()), ("_runs", pa.binary()), ("_pages", pa.binary())])
+    counted = "_host string, _cut int, _bucket int, _contents long, _runs binary, _pages binary"
     schema = result_schema(rows.select("_id", "_url").schema, "text string, n_chars long, n_repeated long")
     # Both passes over the pages read one exchange.
     dealt = rows.mapInArrow(lex, result_schema(kept, "_cut int, _places binary, _texts string")).repartition(n, "_host", "_cut")

@@ -362,6 +362,23 @@ def test_html_repeats_are_found_over_the_whole_of_a_large_host(spark, monkeypatc
         assert found == {i: (own[i], 12 if i % 4 == 0 else 0) for i in own}
 
 
+def test_html_keeps_copied_pages_and_shared_quotations(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdef", k=6))
+    banner, quote = (" ".join(word() for _ in range(12)) for _ in range(2))
+    own = {i: " ".join(word() for _ in range(30)) + (f" {quote}" if i < 2 else "") for i in range(40)}
+    own |= {i: own[i - 40] for i in range(45, 50)}  # copies under other ids
+    rows = [(i, f"https://h.org/{i}", f"<div>{banner}</div><p>{own[i]}</p>") for i in own]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pair = spark.createDataFrame([(i, "https://two.org/", f"<p>{own[9]}</p>") for i in (1, 2)], docs.schema)
+    for size in (1_000_000, 500):
+        monkeypatch.setattr(html_extract, "SHARD_CHARS", size)
+        found = html_extract.extract(docs).collect()
+        assert {r["page_id"]: r["text"] for r in found} == own
+        assert {r["page_id"]: r["n_repeated"] for r in found} == {i: 24 if i < 2 else 12 for i in own}
+        assert [r["text"] for r in html_extract.extract(pair).collect()] == [own[9]] * 2
+
+
 # --- packing -------------------------------------------------------------------------------------------------------------------
 
 
