@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a metric-space join on the Jaccard distance of word-shingle sets, recursive and exact.
+"""N-gram Jaccard join: a metric-space join on the Jaccard distance of word-shingle sets, exact in its components.
 
 Documents whose sets are equal form one class; classes are joined. The distance 1 - J is a metric, but documents that share
 nothing all lie at distance 1 from each other, so pivots drawn from the documents alone would send every document to
@@ -15,7 +15,9 @@ every region. The join therefore has two levels of pivots:
    outside the largest component meets the classes whose distance to the pivot differs from its own by at most the
    threshold (triangle inequality); regions over BLOCK_BYTES of text are cut into blocks that meet pairwise.
 
-No region's pairs are ever expanded for copies or for near copies that a pivot links, and no pair that could be a link is left out.
+No region's pairs are ever expanded for copies or for near copies that a pivot links, and no component is split for it.
+The links are a spanning set of each component, not all of its links, so they give no number of links by document.
+Nothing recurses: an oversize region is cut into blocks once.
 Shingles and sets are compared by 64-bit digests (two different ones share a digest with probability 2**-64 a pair).
 
 Defined cases: a null text or one without words has an empty set, is linked with nothing and is its own component; fewer words than
