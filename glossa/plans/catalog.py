@@ -514,7 +514,7 @@ def force_layout(spark, sf):
     b = n.select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b"), F.lit(0.4).alias("w"))
     forces = a.unionByName(b)
     nodes = forces.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return layout.cross(layout.force_layout(nodes, forces, iterations=60).withColumn("seq", F.col("id"))).select("id", "x", "y")
+    return layout.cross(layout.force_layout(nodes, forces).withColumn("seq", F.col("id"))).select("id", "x", "y")
 
 
 # --- views --------------------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as X
 from glossa.operators import graph, layout, notes, views
-from glossa.plans import build
+from glossa.plans import build, catalog
 from glossa.sources import pages as sources
 from glossa.streaming import incremental
 
@@ -146,3 +146,10 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["validate", str(tmp_path / "index.html")], spark) == 1
     out = capsys.readouterr().out
     assert "1 in_corpus" in out and "Deus Caritas Est" in out and DEUS in out and "pio-x" in out
+
+
+def test_force_layout_query_runs_the_whole_simulation(spark, monkeypatch):
+    runs, spring = [], layout.spring
+    monkeypatch.setattr(layout, "spring", lambda *a: runs.append(a[5]) or spring(*a))
+    assert catalog.QUERIES["force_layout"](spark, "/root/testdata/sf0.001").count() > 0
+    assert runs == [300]
