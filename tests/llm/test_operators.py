@@ -328,25 +328,101 @@ def test_html_repeats_of_a_host_go_where_markup_does_not_decide(spark):
     assert {r["page_id"]: r["text"] for r in found.collect()} == own
 
 
-def test_suffix_array_covers_what_brute_force_finds():
-    rng = random.Random(3)
-    shard = html_extract.Shard()
-    for i in range(12):
-        shard.rows.append((i, None, [(1, " ".join(rng.choices("ab", k=rng.randint(0, 40))) or "a")]))
-    streams = [r[2][0][1].split(" ") for r in shard.rows]
-    n = html_extract.REPEAT
-    where = defaultdict(set)
-    for p, s in enumerate(streams):
+def brute_cover(texts, least, share):
+    """For each token of each page (text blocks, a line each) whether a run common on enough distinct pages covers it."""
+    n, where = html_extract.REPEAT, defaultdict(set)
+    streams = [t.split() for t in texts]
+    for text, s in zip(texts, streams, strict=True):
         for k in range(len(s) - n + 1):
-            where[tuple(s[k : k + n])].add(p)
-    expected = []
+            where[tuple(s[k : k + n])].add(text)
+    out = []
     for s in streams:
         cover = [False] * len(s)
         for k in range(len(s) - n + 1):
-            if len(where[tuple(s[k : k + n])]) >= html_extract.PAGES:
+            if len(where[tuple(s[k : k + n])]) >= max(least, share * len(set(texts))):
                 cover[k : k + n] = [True] * n
-        expected += [*cover, False]
-    assert shard.covered().tolist() == expected
+        out.append(cover)
+    return out
+
+
+def test_suffix_array_covers_what_brute_force_finds(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(0, 40))) or "a" for _ in range(30)]
+    texts += ["\n".join(rng.choices(["a b a b a", "b b b b b b b b b", "x"], k=3)) for _ in range(9)] + texts[:3] + [""]
+    for least, share in ((2, 0.0), (3, 0.2), (4, 0.4)):
+        monkeypatch.setattr(html_extract, "LEAST", least)
+        monkeypatch.setattr(html_extract, "SHARE", share)
+        shard = html_extract.Shard(list(range(len(texts))), texts, [b""] * len(texts), texts)
+        assert shard.boilerplate()[0].tolist() == sum(brute_cover(texts, least, share), [])
+
+
+def test_suffix_ranks_are_those_of_the_sorted_prefixes():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 2, 400)
+    ranks = html_extract.suffix_ranks(tokens)
+    prefixes = [tuple(tokens[i : i + html_extract.REPEAT]) for i in range(len(tokens))]
+    order = {p: i for i, p in enumerate(sorted(set(prefixes)))}
+    assert ranks.tolist() == [order[p] for p in prefixes]
+
+
+def test_html_of_the_pages_table_by_brute_force(spark, monkeypatch):
+    """All pages, by the markup as it stands and with every block undecided, in one part a host and in many, for few and many partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = docs.collect()
+    articles = {r["page_id"]: re.sub(r"\s+", " ", html_of(re.search(r"<article>(.*)</article>", r["html"], re.S)[1])).strip() for r in rows}
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(docs).collect()} == articles
+    bare = docs.withColumn("html", F.regexp_replace("html", "</?(article|nav|footer|div)[^>]*>", "<p>"))
+    bare = bare.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>Subscribe to our letter and never miss any of our stories again</p>"))).otherwise(F.col("html")))
+    pages = [(r["page_id"], r["url"].split("/")[2].lower(), html_extract.blocks(r["html"])) for r in bare.collect()]
+    expected = {}
+    for host in {h for _, h, _ in pages}:
+        own = [(i, found) for i, h, found in pages if h == host]
+        for (i, found), cover in zip(own, brute_cover(["\n".join(t for _, t in f) for _, f in own], html_extract.LEAST, html_extract.SHARE), strict=True):
+            words = [(w, p) for p, t in found for w in t.split(" ")]
+            expected[i] = " ".join(w for (w, p), c in zip(words, cover, strict=True) if p and not c), sum(cover)
+    for size, partitions in ((4_000_000, 4), (20_000, 4), (20_000, 64)):
+        monkeypatch.setattr(html_extract, "SHARD_CHARS", size)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            assert {r["page_id"]: (r["text"], r["n_repeated"]) for r in html_extract.extract(bare).collect()} == expected
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def html_of(article):
+    """The text of an article whose tags are plain: block tags part words, others do not."""
+    import html
+
+    return html.unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*>", " ", article)))
+
+
+def test_html_what_nearly_every_page_says_is_not_the_article(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdef", k=6))
+    letter, licence = (" ".join(word() for _ in range(12)) for _ in range(2))
+    own = {i: " ".join(word() for _ in range(30)) for i in range(40)}
+    rows = [(i, f"https://h.org/{i}", f"<article><p>{own[i]}</p><p>{letter}</p>" + f"<p>{licence}</p>" * (i % 2) + "</article>") for i in own]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1_000_000, 500):
+        monkeypatch.setattr(html_extract, "SHARD_CHARS", size)
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(docs).collect()} == {i: own[i] + f" {licence}" * (i % 2) for i in own}
+
+
+def test_html_lexing_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for n in (60, 100_000):
+        for page in ("<p>x</p><a " + '"' * (n + 1) + "> text", '<a href="' * n + ">", "<a b='" * n + "> y", "<" * n, "<p" * n, "<!" * n, "<!--" * n, "<script" * n, "<script>" * n, "<p><b>" * n, '<div class="' + "1" * n + 'x">', "&" * n, "</p>" * n):
+            html_extract.blocks(page)
+    assert time.perf_counter() - began < 30
+    assert html_extract.blocks('<p>a</p><p title="x>b</p><p>c</p>') == [(1, "a"), (1, "b"), (1, "c")]
+    assert html_extract.blocks("a<!-- > b") == [(1, "a")] and html_extract.blocks("a > b < c") == [(1, "a > b < c")]
+
+
+def test_html_main_text_outside_the_article_and_whole_names_only():
+    page = '<main><h1>Title</h1><article class="post"><p class="social-science">a</p><p class="legal-history">b</p><div id="search-results">c</div><header class="article-header">d</header><div class="cookie-banner">no</div><div class="nav-menu">no</div><section id="comments">no</section></article></main><div class="header">no</div>'
+    assert [t for p, t in html_extract.blocks(page) if p >= html_extract.MAIN] == ["Title", "a", "b", "c", "d"]
 
 
 def test_html_repeats_are_found_over_the_whole_of_a_large_host(spark, monkeypatch):
@@ -375,7 +451,7 @@ def test_html_keeps_copied_pages_and_shared_quotations(spark, monkeypatch):
         monkeypatch.setattr(html_extract, "SHARD_CHARS", size)
         found = html_extract.extract(docs).collect()
         assert {r["page_id"]: r["text"] for r in found} == own
-        assert {r["page_id"]: r["n_repeated"] for r in found} == {i: 24 if i < 2 else 12 for i in own}
+        assert {r["n_repeated"] for r in found} == {12}  # the quotation stands on two pages only
         assert [r["text"] for r in html_extract.extract(pair).collect()] == [own[9]] * 2
 
 
