@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,9 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_KEY = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RNG.integers(1, 2**62, dtype=np.uint64)) * 2 + 1
-_POW = np.ones(1, dtype=np.uint64)
-_INV = np.ones(1, dtype=np.uint64)
+_KEY = _RNG.integers(1, 2**63, dtype=np.uint64)
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LONG_SPAN = 128
 
 
 def result_schema(kept: StructType, added: str) -> StructType:
@@ -102,26 +102,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 1 << 16)
-        step = np.full(size, _BASE & (2**64 - 1), dtype=np.uint64)
-        step[0] = 1
-        _POW = np.multiply.accumulate(step)
-        step[1:] = pow(_BASE, -1, 2**64)
-        _INV = np.multiply.accumulate(step)
-    return _POW[:n], _INV[:n]
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``data``; equal bytes give equal hashes wherever they stand."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_KEY[data] * power[:-1], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(h)
+    """64-bit hashes of the byte spans [start, end) of ``data``; equal bytes give equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed in by a keyed bijection, so spans that differ in one block of eight never collide and others do
+    by chance only. Spans over LONG_SPAN bytes go through BLAKE2b.
+    """
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _KEY)
+    if not len(size):
+        return h
+    h ^= eight[starts] & _MASK[np.minimum(size, 8)]
+    mix(h)
+    more = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    done = 8
+    while len(more):
+        part = (h[more] * np.uint64(0xD6E8FEB86659FD93)) ^ (eight[starts[more] + done] & _MASK[np.minimum(size[more] - done, 8)])
+        h[more] = mix(part)
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
