@@ -5,17 +5,23 @@ vectors of its character n-grams (bytes of ``^word$``). Two gated recurrent laye
 from either side, attention pools their states, and a logistic unit scores the window. Every text is cut into all
 windows that overlap by half; the text's score is that of its worst window, so one insult in a long text counts.
 
-Training (``train``) takes at most ``MAX_LABELLED`` labelled rows, half of either class, and of texts over
-``MAX_TRAIN_CHARS`` characters one slice: documented bounds of the fit alone. One half of those rows gives the
-first two coordinates of the vectors (log-odds of words and n-grams), the other half trains the network, with each text's
-worst window carrying the gradient. Scoring reads every text whole.
-
-Defined cases: a null or empty text, or one without tokens, is a window of padding and gets that score (near 0); repeated
-rows are scored each; without labels of both classes every score is the share of ones; other columns are not read.
+Training (``train``) takes at most ``MAX_LABELLED`` labelled rows, half of either class: a documented bound of the fit alone.
+Their texts count whole, and each text's worst window carries the gradient: ``ROUNDS`` times the worst windows are looked for (first by the
+log-odds below, then by the network as far as trained), and then trained on for ``EPOCHS`` epochs. The first two coordinates of the vectors
+start as log-odds of words and n-grams, counted crosswise: the rows are dealt into two halves at random, and a text is trained
+with the log-odds of the other half, so no text sees its own label in its input; scoring takes those of both. The fit runs in one
+executor task, over BLOCK bytes of text at a time; only the parameters come to the driver.
+
+Defined cases: a null or empty text, or one without tokens, is a window of padding and gets that score (near 0); a very long text
+is all its windows, whatever its length, in training and scoring; texts of equal worst windows have equal scores, and of equally
+bad windows of a text the first carries the gradient; repeated rows are scored each; without labels of both classes every score is
+the share of ones; an empty table gives an empty result; other columns are not read and may have any names.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +32,11 @@ from pyspark.sql import functions as F
 from glossa.llm.common import held_out, labelled_sample, lower_bytes, raw, result_schema, span_hashes, string_blocks, word_spans
 
 MAX_LABELLED = 5000
-MAX_TRAIN_CHARS = 16000
 THRESHOLD = 0.5
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM, ATTENTION = 8, 16, 8
 WORDS, GRAMS, SIZES = 1 << 14, 1 << 16, (4, 6)
-EPOCHS, BATCH, LANES = 8, 64, 2048
+ROUNDS, EPOCHS, BATCH, LANES, BLOCK = 3, 3, 64, 2048, 1 << 21
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -50,22 +55,29 @@ class Tokens:
     """The tokens of a block of texts: distinct words with their n-grams, and windows of indexes into them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = lower_bytes(data)
-        starts, ends = word_spans(_LETTER[data], offsets)
+        self.data = data = lower_bytes(data)
+        self.starts, self.ends = starts, ends = word_spans(_LETTER[data], offsets)
         hashes = span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         uniq, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         self.word = np.append((uniq % np.uint64(WORDS)).astype(np.int64), 0)
         self.gram, self.owner = self._grams(data, starts[at], ends[at])
         self.n = len(uniq)  # the index after the last word is padding
-        first = np.searchsorted(starts, offsets)
+        self.first = first = np.searchsorted(starts, offsets)
         self.counts = np.diff(first)
-        self.text, begin = windows(self.counts)
+        self.text, self.begin = windows(self.counts)
+        begin = self.begin
         index = begin[:, None] + np.arange(WINDOW)
         inside = index < self.counts[self.text][:, None]
         padded = np.append(inverse, self.n)
         index = np.where(inside, index + first[self.text][:, None], len(inverse))
         self.window = padded[index].astype(np.int32)  # (windows, WINDOW)
 
+    def spell(self, k: int) -> bytes:
+        """The tokens of window ``k`` with blanks between."""
+        a = self.first[self.text[k]] + self.begin[k]
+        b = min(a + WINDOW, self.first[self.text[k] + 1])
+        return b" ".join(self.data[x:y].tobytes() for x, y in zip(self.starts[a:b], self.ends[a:b], strict=True))
+
     @staticmethod
     def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts + 2
@@ -205,18 +217,35 @@ class Network:
         return 1 / (1 + np.exp(-worst.astype(np.float64)))
 
 
-def _pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return raw(pa.array(texts, pa.string()))
+def _pack(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    return raw(pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary()))
+
+
+def _blocks(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts of BLOCK bytes, or of one longer text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > BLOCK:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def _presence(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(2, WORDS) and (2, GRAMS) counts of the texts of class 0 and 1 that have each hashed word and n-gram, BATCH texts at a time."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _presence(texts: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(2, WORDS) and (2, GRAMS) counts of the texts of class 0 and 1 that have each hashed word and n-gram."""
     words, grams = np.zeros((2, WORDS)), np.zeros((2, GRAMS))
-    for i in range(0, len(texts), BATCH):
-        t = Tokens(*_pack(texts[i : i + BATCH]))
-        label = y[i : i + BATCH]
+    for i, j in _blocks(texts):
+        t = Tokens(*_pack(texts[i:j]))
+        label = y[i:j]
         doc, word = t.text.repeat(WINDOW), t.window.ravel()
-        pairs = np.unique(doc[word < t.n].astype(np.int64) * (t.n + 1) + word[word < t.n])
+        pairs = _distinct(doc[word < t.n].astype(np.int64) * (t.n + 1) + word[word < t.n])
         doc, word = pairs // (t.n + 1), pairs % (t.n + 1)
         counts = np.bincount(t.owner, minlength=t.n)
         first = np.cumsum(counts) - counts
@@ -224,8 +253,8 @@ def _presence(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.repeat(first[word], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         for out, ids, owner in ((words, t.word[word], doc), (grams, t.gram[at], np.repeat(doc, reps))):
             size = out.shape[1]
-            pairs = np.unique(owner * size + ids)
-            np.add.at(out, (label[pairs // size], pairs % size), 1)
+            pairs = _distinct(owner * size + ids)
+            out += np.bincount(label[pairs // size] * size + pairs % size, minlength=2 * size).reshape(2, size)
     return words, grams
 
 
@@ -236,8 +265,19 @@ def _log_odds(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip(np.log((counts[1] + 3 * base) / (n1 + 3)) - np.log((counts[0] + 3 * base) / (n0 + 3)), -3, 3).astype(np.float32)
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
-    """Train on texts with labels 0 and 1, in the given order."""
+def _worst(net: Network, texts: list, trained: bool) -> list[bytes]:
+    """The worst window of each text, spelled out; before the network is trained, that of the largest log-odds."""
+    out = []
+    for i, j in _blocks(texts):
+        t = Tokens(*_pack(texts[i:j]))
+        logit = net.window_scores(t) if trained else net.embed(t)[0][:, :2].sum(axis=1)[t.window].sum(axis=1)
+        edge = np.searchsorted(t.text, np.arange(j - i + 1))
+        out += [t.spell(a + int(logit[a:b].argmax())) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return out
+
+
+def fit(texts: list, y: np.ndarray, rounds: int = ROUNDS, epochs: int = EPOCHS, seed: int = 11) -> Network:
+    """Train on texts (strings or UTF-8 bytes) with labels 0 and 1, in the given order."""
     net = Network(seed)
     y = np.asarray(y, dtype=np.int64)
     if not len(y) or y.min() == y.max():
@@ -245,34 +285,43 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
         return net
     rng = np.random.Generator(np.random.PCG64(seed))
     order = rng.permutation(len(y))
-    half = order[: len(y) // 2] if len(y) >= 400 else order
-    rest = order[len(y) // 2 :] if len(y) >= 400 else order
-    words, grams = _presence([texts[i] for i in half], y[half])
+    halves = [order[::2], order[1::2]]
+    counts = [_presence([texts[i] for i in h], y[h]) for h in halves]
+    # What a text of either half sees (the log-odds of the other one), and at last those of both.
+    sees = [[_log_odds(counts[1 - f][k], y[halves[1 - f]]) for k in (0, 1)] for f in (0, 1)]
+    sees.append([_log_odds(counts[0][k] + counts[1][k], y) for k in (0, 1)])
     net.words[:, :2] = 0
     net.grams[:, :2] = 0
-    net.words[:, 0] = _log_odds(words, y[half])
-    net.grams[:, 1] = _log_odds(grams, y[half])
+    net.words[:, 0], net.grams[:, 1] = sees[0]
+    now = 0
+
+    def see(f: int) -> None:
+        nonlocal now
+        net.words[:, 0] += sees[f][0] - sees[now][0]
+        net.grams[:, 1] += sees[f][1] - sees[now][1]
+        now = f
+
     momentum = {k: [np.zeros_like(w), np.zeros_like(w)] for k, w in net.p.items()}
     spent = {"words": np.full(WORDS, 1e-3, np.float32), "grams": np.full(GRAMS, 1e-3, np.float32)}
-    step = 0
-    for epoch in range(epochs):
-        rng.shuffle(rest)
-        rate = 0.02 * (1 - 0.8 * epoch / max(epochs - 1, 1))
-        for i in range(0, len(rest), BATCH):
-            rows = rest[i : i + BATCH]
-            t = Tokens(*_pack([texts[k] for k in rows]))
+    step, steps = 0, rounds * epochs
+    windows_of: dict[int, bytes] = {}
+    for epoch in range(steps):
+        if epoch % epochs == 0:
+            for f in (0, 1):
+                see(f)
+                windows_of |= zip(halves[f].tolist(), _worst(net, [texts[k] for k in halves[f]], epoch > 0), strict=True)
+        rate = 0.02 * (1 - 0.8 * epoch / max(steps - 1, 1))
+        batches = [(f, rows[i : i + BATCH]) for f in (0, 1) for rows in [rng.permutation(halves[f])] for i in range(0, len(rows), BATCH)]
+        for b in rng.permutation(len(batches)):
+            f, rows = batches[b]
+            see(f)
+            t = Tokens(*_pack([windows_of[k] for k in rows.tolist()]))
             e, scale = net.embed(t)
-            x = net.inputs(e)
-            logit = np.concatenate([net.forward(x, t.window[k : k + LANES]) for k in range(0, len(t.window), LANES)])
-            begin = np.searchsorted(t.text, np.arange(len(rows)))
-            stop = np.append(begin[1:], len(t.text))
-            pick = np.array([a + int(logit[a:b].argmax()) for a, b in zip(begin, stop, strict=True)])
-            window = t.window[pick]
-            out, saved = net.forward(x, window, keep=True)
+            out, saved = net.forward(net.inputs(e), t.window, keep=True)
             prob = 1 / (1 + np.exp(-out))
             weight = np.where(y[rows] == 1, 1.0, 1.5).astype(np.float32)
             d_out = ((prob - y[rows]) * weight / len(rows)).astype(np.float32)
-            g, d_x = net.backward(window, saved, d_out, t.n + 1)
+            g, d_x = net.backward(t.window, saved, d_out, t.n + 1)
             d_in = d_x.transpose(1, 0, 2).reshape(t.n + 1, -1)
             g["wx"], g["bx"] = e.T @ d_in, d_in.sum(axis=0)
             d_e = (d_in @ net.p["wx"].T)[: t.n]
@@ -282,24 +331,28 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
                 m += 0.1 * (g[k] - m)
                 v += 0.005 * (g[k] ** 2 - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.995**step)) + 1e-8)
-            touched = np.flatnonzero(np.abs(d_e).sum(axis=1) > 0)
-            for table, ids, grad in (
-                ("words", t.word[touched], d_e[touched]),
-                *([("grams", t.gram[sel := np.isin(t.owner, touched)], d_e[t.owner[sel]] / scale[t.owner[sel], None])] if len(touched) else []),
-            ):
-                rows_of = getattr(net, table)
-                np.add.at(spent[table], ids, (grad**2).mean(axis=1))
-                np.add.at(rows_of, ids, -0.05 * grad / np.sqrt(spent[table][ids])[:, None])
+            for table, ids, grad in (("words", t.word[: t.n], d_e), ("grams", t.gram, d_e[t.owner] / scale[t.owner, None])):
+                if len(ids):
+                    order = np.argsort(ids, kind="stable")
+                    edge = np.flatnonzero(np.append(True, np.diff(ids[order])))
+                    ids, grad = ids[order][edge], np.add.reduceat(grad[order], edge, axis=0)
+                    spent[table][ids] += (grad**2).mean(axis=1)
+                    getattr(net, table)[ids] -= 0.05 * grad / np.sqrt(spent[table][ids])[:, None]
+    see(2)
     return net
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> Network:
-    """Fit on at most ``limit`` labelled rows, gathered as slices of at most MAX_TRAIN_CHARS characters."""
-    rows = labelled_sample(docs, labels, label, limit, each=True)
-    begin = F.greatest((F.length("text") - MAX_TRAIN_CHARS) / 2, F.lit(0)).cast("int") + 1
-    cut = rows.select(F.col("doc_id").cast("string"), "y", F.substring("text", begin, F.lit(MAX_TRAIN_CHARS)).alias("text"))
-    table = sorted(tuple(r) for r in cut.collect())
-    return fit([r[2] for r in table], np.array([r[1] for r in table], dtype=np.int64))
+    """Fit on at most ``limit`` labelled rows, in one executor task; the parameters alone come to the driver."""
+    rows = labelled_sample(docs, labels, label, limit, each=True).select(F.col("doc_id").cast("string").alias("doc_id"), "y", F.col("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sorted((i, t, y) for b in batches for i, y, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True))
+        net = fit([t for _, t, _ in table], np.array([y for _, _, y in table], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(net), 1)], pa.binary())], names=["net"])
+
+    found = rows.repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(zlib.decompress(found["net"])) if found else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, net: Network, columns: list[str] | None = None) -> DataFrame:
