@@ -5,13 +5,15 @@ grows complete trees of a fixed depth on binned features with logistic loss; the
 order (children of node i: 2i+1, 2i+2), and ``Forest.predict`` walks all trees of all rows at once by numpy indexing.
 
 Training takes at most ``MAX_LABELLED`` labelled rows, chosen by a hash of doc_id (a documented bound); every text is
-scored. Defined cases: a null or empty text has all statistics 0 and gets a score like any other; repeated rows are
-scored each; without any usable label every score is 0.5; an empty table gives an empty result; other columns are
-not read.
+scored whole. Defined cases: a null or empty text has all statistics 0 and gets a score like any other; a very long text is one
+row of statistics like any other, in memory by itself; a value equal to a split's threshold goes left, and of equally good splits the
+first feature and cut wins; repeated rows are scored each; without any usable label every score is 0.5; an empty table
+gives an empty result; other columns are not read and may have any names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,20 +143,25 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = N_TREES, depth: int = DEPTH,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> Forest:
-    """Fit on at most ``limit`` labelled rows; only their statistics come to the driver."""
+    """Fit on at most ``limit`` labelled rows: statistics where the texts are, trees in one executor task, the trees to the driver."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, arr in string_blocks(batch, "text"):
                 x = document_features(*raw(arr))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["doc_id", "y", "x"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "x", "y")), strict=True))
+        x = np.frombuffer(b"".join(v for _, v, _ in table), dtype="<f4").reshape(len(table), N_FEATURES)
+        forest = fit(x.astype(np.float64), np.array([y for _, _, y in table], dtype=np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(forest)], pa.binary())], names=["forest"])
 
     rows = labelled_sample(docs, labels, label, limit)
-    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text").mapInArrow(featurise, "doc_id string, y int, x array<float>")
-    table = rows.toPandas().sort_values("doc_id", kind="stable")
-    x = np.stack(table["x"].to_list()) if len(table) else np.zeros((0, N_FEATURES), np.float32)
-    return fit(x.astype(np.float64), table["y"].to_numpy(dtype=np.float64).clip(0, 1))
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text").mapInArrow(featurise, "doc_id string, y int, x binary")
+    found = rows.repartition(1).mapInArrow(grow, "forest binary").first()
+    return pickle.loads(found["forest"]) if found else fit(np.zeros((0, N_FEATURES)), np.zeros(0))
 
 
 def score(docs: DataFrame, forest: Forest, columns: list[str] | None = None) -> DataFrame:
