@@ -7,18 +7,54 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[str, list[str]] = {}  # by application
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by ``spark.checkpoint.dir``; only where none is named (tests) in a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A fresh path in the folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a local session (one machine, as in tests) gets a temporary folder; on a cluster that is an error,
+    since executors would each write to a disk of their own.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = f"{tempfile.gettempdir()}/glossa-shared"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="glossa-")
+        context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(context.applicationId, []).append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: plans stay short, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of settled ``frames`` that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_settled_at", None)
+        if path:
+            _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [path]).remove(path)
+            _delete(df.sparkSession, path)
+            df._settled_at = None
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all intermediates this session has written, once its results are stored elsewhere; returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
