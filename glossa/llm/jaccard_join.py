@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from glossa.llm.common import mix, partitions, raw, settle, shingle_set, shingle_sets, string_blocks
+from glossa.llm.common import forget, mix, partitions, raw, settle, shingle_set, shingle_sets, string_blocks
 from glossa.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
@@ -97,14 +97,15 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     return settle(base.mapInArrow(run, StructType(fields)), "jaccard-sets")
 
 
-def _add_up(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """The sum of the sketches of equal ``keys``, one chunk in memory at a time."""
+def _add_up(sketches: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
+    """The sum of the sketches of equal ``keys``, one chunk in memory at a time; of the ``last`` sums a byte of their logarithms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "task", "counts"])
+            out = np.minimum(np.log2(total + 1.0) * 7, 255).astype(np.uint8) if last else total
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["part", "task", "counts"])
 
         for batch in batches:
             for part, task, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "task", "counts")), strict=True):
@@ -125,10 +126,10 @@ def _add_up(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def _commonness(first: DataFrame) -> np.ndarray:
     """For each of BUCKETS shingle buckets a byte that grows with the logarithm of its count: a fixed size at any scale."""
     sketches = first.where(F.col("part").isNotNull()).select("part", "task", "counts")
-    out = np.zeros(BUCKETS, dtype=np.uint32)
-    for row in _add_up(_add_up(sketches, ["part", "task"]), ["part"]).collect():
-        out[row["part"] * CHUNK : (row["part"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint32)
-    return np.minimum(np.log2(out + 1.0) * 7, 255).astype(np.uint8)
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    for row in _add_up(_add_up(sketches, ["part", "task"]), ["part"], last=True).collect():  # BUCKETS bytes
+        out[row["part"] * CHUNK : (row["part"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint8)
+    return out
 
 
 def _regions(docs: DataFrame, text_col: str, width: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -414,10 +415,12 @@ def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, per
     links = done.where(_linked(percent)).select(F.col("m").alias("u"), F.col("c").alias("v"))
     labels = settle(connected_components(links), "jaccard-labels")
     open_ = settle(_open_regions(region.where(~small), done, labels, percent), "jaccard-open")
-    if open_.isEmpty():
-        return links, labels
-    links = links.unionByName(settle(_inner_links(open_, texts, width, percent), "jaccard-links"))
-    return links, settle(connected_components(links), "jaccard-labels")
+    if not open_.isEmpty():
+        links = links.unionByName(settle(_inner_links(open_, texts, width, percent), "jaccard-links"))
+        forget(labels)
+        labels = settle(connected_components(links), "jaccard-labels")
+    forget(region, pairs, texts, open_)
+    return links, labels
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

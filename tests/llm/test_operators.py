@@ -63,8 +63,9 @@ def test_exact_dedup(spark, edge, keep, weak):
 
 
 def brute_components(rows, percent=75):
-    """Component of each row by comparing all pairs of sets; rows of empty sets are alone."""
-    sets = [set(shingle_set(t or "").tolist()) for _, t in rows]
+    """Component of each row by comparing all pairs of sets of words themselves; rows of empty sets are alone."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
     root = list(range(len(rows)))
 
     def find(x):
@@ -138,7 +139,9 @@ def test_shingles():
         assert (a == shingle_set(t)).all()
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("hub", [100_000, 3])
+def test_connected_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(components, "HUB", hub)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(90)] + [(7, 7)]
     found = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
