@@ -6,7 +6,6 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from glossa import dims
 from glossa.operators import graph, views
@@ -27,6 +26,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         c.add_argument("out" if name != "frontier" else "--out", default=None)
         if name == "build":
             c.add_argument("--no-recurse", action="store_true", help="seeds only")
+            c.add_argument("--no-layout", action="store_true", help="nodes without places")
             c.add_argument("--centre", default=None, help="the node in the middle")
     c = commands.add_parser("validate", help="curated pontiffs that an index page doesn't link to")
     c.add_argument("index")
@@ -37,8 +37,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("glossa").getOrCreate()
     if args.command == "build":
-        out = build.build_graph(spark.read.parquet(args.pages), args.centre, not args.no_recurse)
+        out = build.build_graph(spark.read.parquet(args.pages), args.centre, not args.no_recurse, not args.no_layout)
+        for r in out["skipped"].limit(100).collect():
+            print(f"[skip] {r['url']}: {r['error']}", file=sys.stderr)
         sources.write_graph({k: out[k] for k in ("nodes", "edges", "meta")}, args.out)
+        sources.write_document(out, f"{args.out}/graph.json")
         print(_report(out["meta"].first()))
     elif args.command == "parse":
         for name, df in build.parse(spark.read.parquet(args.pages)).items():
@@ -57,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("\n".join(missing))
         return int(bool(missing))
     else:
-        nodes = spark.read.parquet(f"{args.graph}/nodes.parquet").withColumn("first_seq", F.monotonically_increasing_id())
+        nodes = spark.read.parquet(f"{args.graph}/nodes.parquet")
         for r in views.search(nodes, args.query).collect():
             print(f"{r['id']}\t{r['label']}")
     return 0

@@ -129,7 +129,7 @@ def permalink(view: Column, ids: Column, x: Column, y: Column, scale: Column) ->
         coded = (lambda f, code, mark: lambda i: F.replace(f(i), F.lit(code), F.lit(mark)))(coded, code, mark)
     shown = F.when(view != "explore", F.concat(F.lit("view="), view))
     chosen = F.when(F.size(ids) > 0, F.concat(F.lit("sel="), F.array_join(F.transform(ids, coded), ",")))
-    return F.concat(F.lit("#"), F.concat_ws("&", shown, chosen, F.format_string("cam=%.1f,%.1f,%.3f", x, y, scale)))
+    return F.concat(F.lit("#"), F.concat_ws("&", shown, chosen, F.format_string("cam=%.1f,%.1f,%.3f", x + F.lit(0.0), y + F.lit(0.0), scale)))
 
 
 def permalink_part(link: Column, name: str) -> Column:

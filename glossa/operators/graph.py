@@ -1,7 +1,8 @@
 """The citation graph from an event log: one row per touch of a node or edge, with its place in reading order.
 
 Merging is aggregation over that log, so any number of documents and of events per node runs in parallel: sums and first-by-order
-minima combine map-side, and hub nodes need no single task.
+minima combine map-side. The one join by node is with the last parse of parsed documents, which a much cited one's events meet in one
+task unless adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ from glossa.functions import url as U
 FIELDS = ["label", "title", "author", "author_key", "doc_type", "url", "date"]
 
 
-def given(value: Column) -> Column:
-    """Missing, empty and zero values count as not given."""
-    return value.isNotNull() & (value.cast("string") != "") & (value.cast("string") != "0")
+NUMERIC = {"ord"}
+
+
+def given(name: str) -> Column:
+    """Missing values, empty texts and zero numbers count as not given; the text "0" is one."""
+    return F.col(name).isNotNull() & (F.col(name) != F.lit(0) if name in NUMERIC else F.col(name) != "")
 
 
 def title_index(documents: DataFrame, citations: DataFrame) -> DataFrame:
-    """(norm_title, target): of documents the last with the title, else of citations with a URL the first."""
-    own = documents.groupBy(X.norm_title(F.col("title")).alias("norm_title")).agg(F.max_by("doc_key", "doc_ord").alias("own"))
-    cited = citations.where(F.coalesce("url", F.lit("")) != "").groupBy(X.norm_title(F.col("title")).alias("norm_title")).agg(F.min_by("target_key", F.struct("doc_ord", "cite_seq")).alias("cited"))
+    """(norm_title, target): of documents the last with the title, else of citations with a URL the first; seeds are read before other documents."""
+    phase = F.when(F.col("is_source"), 0).otherwise(1)
+    own = documents.groupBy(X.norm_title(F.col("title")).alias("norm_title")).agg(F.max_by("doc_key", F.struct(phase, "doc_ord")).alias("own"))
+    cited = citations.where(F.coalesce("url", F.lit("")) != "").groupBy(X.norm_title(F.col("title")).alias("norm_title")).agg(F.min_by("target_key", F.struct(phase, "doc_ord", "cite_seq")).alias("cited"))
     return own.join(cited, "norm_title", "full").select("norm_title", F.coalesce("own", "cited").alias("target"))
 
 
@@ -48,7 +53,7 @@ def node_events(documents: DataFrame, citations: DataFrame, scripture: DataFrame
         F.col("doc_key").alias("id"), F.lit("document").alias("type"), _seq(phase, F.col("doc_ord"), 0, zero, 0).alias("seq"), F.lit(True).alias("parsed"), "is_source",
         F.col("title").alias("label"), "title", "author", "author_key", "doc_type", "url", "date", *no_book,
     )
-    person = lambda rows, part, item, sub: rows.where(given(F.col("author_key"))).select(
+    person = lambda rows, part, item, sub: rows.where(given("author_key")).select(
         F.concat(F.lit("author:"), "author_key").alias("id"), F.lit("author").alias("type"), _seq(phase, F.col("doc_ord"), part, item, sub).alias("seq"), F.lit(False).alias("parsed"), F.lit(False).alias("is_source"),
         F.col("author").alias("label"), *null(*FIELDS[1:]), *no_book,
     )
@@ -68,7 +73,7 @@ def merge_nodes(events: DataFrame) -> DataFrame:
     last = events.where("parsed").groupBy("id").agg(F.max("seq").alias("_last"))
     rows = events.join(last, "id", "left")
     fresh = F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))
-    first = lambda name, cond: F.min_by(F.when(cond & given(F.col(name)), F.col(name)), F.when(cond & given(F.col(name)), F.col("seq"))).alias(name)
+    first = lambda name, cond: F.min_by(F.when(cond & given(name), F.col(name)), F.when(cond & given(name), F.col("seq"))).alias(name)
     always = F.lit(True)
     out = rows.groupBy("id").agg(
         F.min_by("type", "seq").alias("type"), *[first(f, fresh) for f in FIELDS], F.max("parsed").alias("in_corpus"), F.max("is_source").alias("is_source"),
@@ -82,9 +87,9 @@ def edge_events(documents: DataFrame, citations: DataFrame, scripture: DataFrame
     """(source, target, type, n, seq): every touch of an edge."""
     phase, one = F.when(F.col("is_source"), 0).otherwise(1), F.lit(1).cast("long").alias("n")
     author = F.concat(F.lit("author:"), "author_key").alias("target")
-    a = documents.where(given(F.col("author_key"))).select(F.col("doc_key").alias("source"), author, F.lit("authored_by").alias("type"), one, _seq(phase, F.col("doc_ord"), 1, F.lit(0), 0).alias("seq"))
+    a = documents.where(given("author_key")).select(F.col("doc_key").alias("source"), author, F.lit("authored_by").alias("type"), one, _seq(phase, F.col("doc_ord"), 1, F.lit(0), 0).alias("seq"))
     b = citations.select(F.col("doc_key").alias("source"), F.col("target_key").alias("target"), F.lit("cites").alias("type"), one, _seq(phase, F.col("doc_ord"), 2, F.col("cite_seq"), 0).alias("seq"))
-    c = citations.where(given(F.col("author_key"))).select(F.col("target_key").alias("source"), author, F.lit("authored_by").alias("type"), one, _seq(phase, F.col("doc_ord"), 2, F.col("cite_seq"), 1).alias("seq"))
+    c = citations.where(given("author_key")).select(F.col("target_key").alias("source"), author, F.lit("authored_by").alias("type"), one, _seq(phase, F.col("doc_ord"), 2, F.col("cite_seq"), 1).alias("seq"))
     d = scripture.select(F.col("doc_key").alias("source"), F.col("id").alias("target"), F.lit("cites_scripture").alias("type"), F.col("cnt").cast("long").alias("n"), _seq(phase, F.col("doc_ord"), 3, F.col("ref_seq"), 0).alias("seq"))
     return a.unionByName(b).unionByName(c).unionByName(d)
 

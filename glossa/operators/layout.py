@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.sources.work import forget, settle
+
 HALF_WIDTH = 0.28
 KINDS = {"cites": 1.0, "authored_by": 0.4, "cites_scripture": 0.3}
 
@@ -95,15 +97,57 @@ def spring(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, fixed: int | Non
     return pos
 
 
+def spread(nodes: DataFrame, forces: DataFrame, centre: str | None = None, rounds: int = 12, cells: int = 16) -> DataFrame:
+    """``nodes`` (id, ...) with px, py for graphs of any size: all steps are joins and aggregations over the nodes.
+
+    A round pulls each node towards the weighted mean of its neighbours, then pushes it away from the middles of the ``cells`` x ``cells``
+    fields of the frame, by how many nodes each holds: that table has a fixed size. Places start from a hash of the id.
+    """
+    unit = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5
+    near = forces.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(forces.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
+    at = settle(nodes.select("id", unit(1).alias("px"), unit(2).alias("py")), "places")
+    for r in range(rounds):
+        frame = at.agg(F.avg("px"), F.avg("py"), F.stddev_pop("px"), F.stddev_pop("py")).first()
+        mx, my, sx, sy = (v or 0.0 for v in frame)
+        sx, sy = max(sx, 1e-9), max(sy, 1e-9)
+        # The frame keeps its size whatever the pull: two deviations either way.
+        at_unit = at.select("id", ((F.col("px") - mx) / (4 * sx)).alias("px"), ((F.col("py") - my) / (4 * sy)).alias("py"))
+        field = lambda c: F.least(F.greatest(F.floor((F.col(c) + 0.5) * cells), F.lit(0)), F.lit(cells - 1))
+        full = at_unit.groupBy(field("px").alias("i"), field("py").alias("j")).agg(F.count("*").alias("n"), F.avg("px").alias("x"), F.avg("py").alias("y")).collect()
+        total = sum(f["n"] for f in full)
+        middles = F.array(*[F.struct(F.lit(f["x"]).alias("x"), F.lit(f["y"]).alias("y"), F.lit(f["n"] / total).alias("w")) for f in full])
+        step = 0.05 * (1 - r / rounds)
+
+        def push(own: str) -> Column:
+            def one(acc: Column, m: Column) -> Column:
+                dx, dy = F.col("px") - m["x"], F.col("py") - m["y"]
+                return acc + m["w"] * (dx if own == "px" else dy) / (dx * dx + dy * dy + 0.01)
+
+            return F.aggregate(middles, F.lit(0.0), one)
+
+        pulls = near.join(at_unit.select(F.col("id").alias("other"), "px", "py"), "other").groupBy("id").agg(
+            (F.sum(F.col("px") * F.col("w")) / F.sum("w")).alias("qx"), (F.sum(F.col("py") * F.col("w")) / F.sum("w")).alias("qy")
+        )
+        moved = at_unit.join(pulls, "id", "left").select(
+            "id", (F.col("px") + 0.5 * F.coalesce(F.col("qx") - F.col("px"), F.lit(0.0)) + step * push("px")).alias("px"),
+            (F.col("py") + 0.5 * F.coalesce(F.col("qy") - F.col("py"), F.lit(0.0)) + step * push("py")).alias("py"),
+        )
+        before, at = at, settle(moved, "places")
+        forget(before)
+    if centre is not None:
+        at = at.withColumns({c: F.when(F.col("id") == centre, 0.0).otherwise(F.col(c)) for c in ("px", "py")})
+    return nodes.join(at, "id")
+
+
 def force_layout(nodes: DataFrame, forces: DataFrame, centre: str | None = None, iterations: int = 300, seed: int = 7, largest: int = 20_000) -> DataFrame:
     """``nodes`` (id, ...) with px, py of the simulation over ``forces`` (a, b, w).
 
-    The simulation is for graphs a page can show: over ``largest`` nodes it is refused, as it runs in one process.
+    The simulation runs in one process, for graphs a page can show: over ``largest`` nodes it is refused, and ``spread`` is the way.
     """
     spark = nodes.sparkSession
     ids = [r["id"] for r in nodes.select("id").orderBy("id").limit(largest + 1).collect()]
     if len(ids) > largest:
-        raise ValueError(f"a drawing of over {largest} nodes; give positions of your own to cross()")
+        raise ValueError(f"a drawing of over {largest} nodes; spread() places any number")
     at = {v: i for i, v in enumerate(ids)}
     rows = [(at[r["a"]], at[r["b"]], r["w"]) for r in forces.orderBy("a", "b").collect() if r["a"] in at and r["b"] in at]
     table = np.array(rows, dtype=np.float64).reshape(-1, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa import dims
@@ -12,15 +12,17 @@ from glossa.operators import cite, graph, html, layout, notes, scripture
 from glossa.sources.work import settle
 
 
+def body_of(url: Column) -> Column:
+    """The body that issued a page: the first entry of its slug without a date or begun by the file's date; null where there is none."""
+    slug, date = U.body_slug(url), U.file_date(url)
+    return F.coalesce(*[F.when((slug == s) & (F.lit(not d) | (date >= d)), F.lit(n)) for s, d, n in dims.records(dims.BODIES)])
+
+
 def documents(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_ord, is_source, source_url, url, doc_key, title, raw_title, author, author_key, doc_type, date) of each page."""
     rows = pages.select("doc_ord", "is_source", F.col("url").alias("source_url")).join(html.meta(tokens).withColumnRenamed("url", "source_url"), "source_url", "left")
     rows = rows.withColumn("url", html.canonical_url(F.col("canonical"), F.col("og_url"), F.col("source_url"))).withColumn("raw_title", F.coalesce("raw_title", F.lit("")))
-    slug, date = U.body_slug(F.col("url")), U.file_date(F.col("url"))
-    # The body in force on the file's date: the first entry of the slug without a date or begun by then, else the last.
-    entries = dims.records(dims.BODIES)
-    body = F.coalesce(*[F.when((slug == s) & (F.lit(not d) | (date >= d)), F.lit(n)) for s, d, n in entries])
-    raw = F.coalesce(body, U.pope_name(U.author_slug(F.col("url"))))
+    raw = F.coalesce(body_of(F.col("url")), U.pope_name(U.author_slug(F.col("url"))))
     rows = rows.withColumn("author", X.author_display(raw)).withColumn("author_key", X.author_key(raw))
     return rows.select(
         "doc_ord", "is_source", "source_url", "url", U.doc_key(F.col("url")).alias("doc_key"), X.clean_title(F.col("raw_title"), F.col("author")).alias("title"), "raw_title",
@@ -52,15 +54,35 @@ def build(documents_: DataFrame, citations: DataFrame, scripture_: DataFrame) ->
     return {"nodes": nodes, "edges": edges, "meta": graph.meta(nodes, edges)}
 
 
-def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = True) -> dict[str, DataFrame]:
-    """The graph of raw pages, laid out, and the frontier of pages to bring next. Without ``recurse`` only seeds count."""
-    parsed = parse(pages if recurse else pages.where("is_source"))
+def bad_pages(pages: DataFrame) -> DataFrame:
+    """(doc_ord, is_source, url, error): pages that cannot be parsed into a document."""
+    empty = F.trim(F.coalesce("html", F.lit(""))) == ""
+    error = F.when(F.coalesce("url", F.lit("")) == "", "no address").when(empty, "no content").when(~F.col("html").contains("<"), "no markup")
+    return pages.select("doc_ord", "is_source", "url", error.alias("error")).where("error is not null")
+
+
+def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = True, placed: bool = True, largest: int = 20_000) -> dict[str, DataFrame]:
+    """The graph of raw pages, laid out, and the frontier of pages to bring next. Without ``recurse`` only seeds count.
+
+    A seed that cannot be parsed is an error; other such pages are left out and listed under ``skipped``. Graphs of up to ``largest`` nodes are
+    placed by the force simulation, larger ones by ``layout.spread``; without ``placed`` nodes have no places.
+    """
+    pages = pages if recurse else pages.where("is_source")
+    skipped = settle(bad_pages(pages), "skipped")
+    seeds = [f"{r['url']}: {r['error']}" for r in skipped.where("is_source").limit(10).collect()]
+    if seeds:
+        raise ValueError("seeds that cannot be parsed: " + "; ".join(seeds))
+    parsed = parse(pages.join(skipped.select("doc_ord"), "doc_ord", "left_anti"))
     out = build(parsed["documents"], parsed["citations"], parsed["scripture"])
     out = {k: settle(v, k) for k, v in out.items()}
-    placed = layout.force_layout(out["nodes"].select("id", "first_seq"), graph.force_weights(out["edges"]), centre)
-    at = layout.cross(placed.select("id", "px", "py", F.col("first_seq").alias("seq")), centre)
-    out["nodes"] = out["nodes"].join(at.select("id", "x", "y"), "id")
+    if placed:
+        nodes, forces = out["nodes"].select("id", "first_seq"), graph.force_weights(out["edges"])
+        small = out["nodes"].limit(largest + 1).count() <= largest
+        found = layout.force_layout(nodes, forces, centre, largest=largest) if small else layout.spread(nodes, settle(forces, "forces"), centre)
+        at = layout.cross(found.select("id", "px", "py", F.col("first_seq").alias("seq")), centre)
+        out["nodes"] = out["nodes"].join(at.select("id", "x", "y"), "id")
     out["frontier"] = graph.frontier(parsed["documents"], parsed["citations"])
+    out["skipped"] = skipped
     return out
 
 
@@ -72,3 +94,15 @@ def snapshot(parsed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     scalars = docs.join(n_cites, "doc_key", "left").join(n_refs, "doc_key", "left").na.fill(0, ["citation_count", "scripture_count"])
     authors = cites.groupBy("doc_key", F.coalesce("author_key", F.lit("<none>")).alias("author_key")).agg(F.count("*").alias("n"))
     return {"documents": scalars, "authors": authors, "scripture": refs.select("doc_key", "book", "cite", "cnt"), "citations": cites}
+
+
+def differences(before: dict[str, DataFrame], now: dict[str, DataFrame]) -> DataFrame:
+    """(part, change, row): what two snapshots do not share, as JSON; rows of ``before`` are ``gone``, rows of ``now`` are ``new``."""
+    out = None
+    for name in sorted(set(before) & set(now)):
+        shared = [c for c in before[name].columns if c in now[name].columns]
+        old, new = (s[name].select(F.to_json(F.struct(*shared)).alias("row")) for s in (before, now))
+        for change, rows in (("gone", old.exceptAll(new)), ("new", new.exceptAll(old))):
+            part = rows.select(F.lit(name).alias("part"), F.lit(change).alias("change"), "row")
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -344,6 +344,265 @@ def canonical_work(spark, sf):
     return table(spark, sf, "part").select("p_partkey", cite.lookup_work(title)["work_title"].alias("work"))
 
 
+# --- the rules of URLs, titles and authors over tables: rows are composed, and SQL states what the rule must give -----------------
+
+_CAP = "array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+
+
+@query(f"SELECT p_partkey, {_CAP.format(chr(34) + 'n' + chr(34))} AS title FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part)")
+def slug_titles(spark, sf):
+    key = F.concat(F.lit("doc:hf_enc_19651207_"), X.slug(F.col("p_name")))
+    return table(spark, sf, "part").select("p_partkey", U.slug_title(key).alias("title"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS lead FROM part")
+def leads(spark, sf):
+    """A reference word, a quoted phrase and a reference word again stand before each name."""
+    k = F.col("p_partkey") % 5
+    lead = F.when(k == 0, "Cf. ").when(k == 1, "cfr.").when(k == 2, " See “a phrase, of it”, (cf. ").when(k == 3, '"q" ').otherwise("«x y», see ")
+    return table(spark, sf, "part").select("p_partkey", X.clean_lead(F.concat(lead, F.trim(F.col("p_name")))).alias("lead"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS note FROM part")
+def note_markers(spark, sf):
+    k, n = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    marked = F.when(k == 0, F.concat(F.lit("["), n, F.lit("] "))).when(k == 1, F.concat(n, F.lit("]"))).when(k == 2, F.concat(F.lit("("), n, F.lit("). "))).otherwise(F.concat(n, F.lit(". ")))
+    return table(spark, sf, "part").select("p_partkey", X.strip_marker(F.concat(marked, F.trim(F.col("p_name"))), F.col("p_partkey")).alias("note"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey || ':' || l_linenumber || '-' || (l_linenumber + 2) || ';' || l_suppkey || ':1' AS locator FROM lineitem")
+def locators(spark, sf):
+    n, blank = F.col("l_linenumber"), F.lit(" ")
+    raw = F.concat(blank, F.col("l_partkey"), F.lit(" : "), n, F.lit(" – "), n + 2, F.lit(" ; "), F.col("l_suppkey"), F.lit(":1. ,"))
+    return table(spark, sf, "lineitem").select("l_orderkey", n, X.locator(raw).alias("locator"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey || ':' || l_linenumber AS locator FROM lineitem")
+def locator_slices(spark, sf):
+    place = F.concat_ws(":", "l_partkey", "l_linenumber")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.locator_of(F.concat(F.lit("1 Corinthians "), place), F.lit("1 Corinthians")).alias("locator"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate) || '–' || CASE WHEN o_orderkey % 3 = 0 THEN 'present' ELSE (year(o_orderdate) + 7)::VARCHAR END AS reign FROM orders")
+def reigns(spark, sf):
+    year = F.year("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", X.reign_label(year, F.when(F.col("o_orderkey") % 3 != 0, year + 7)).alias("reign"))
+
+
+@query("SELECT p_partkey, format('{:,}', p_partkey) || ' work' || CASE WHEN p_partkey = 1 THEN '' ELSE 's' END AS label FROM part")
+def counted_works(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.counted(F.col("p_partkey").cast("long"), F.lit("work")).alias("label"))
+
+
+@query(rf"""
+    WITH p AS (SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS u, url FROM pages),
+    q AS (SELECT *, regexp_extract(u, '^[a-z]+://[^/]*', 0) AS o, regexp_replace(regexp_extract(u, '^[a-z]+://[^/]*(/.*)?$', 1), '[^/]*$', '') AS f FROM p)
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN o || '/c/' || page_id || '.html' WHEN 1 THEN o || f || 'd' || page_id || '.html#x' WHEN 2 THEN split_part(url, '#', 1) || '#n' WHEN 3 THEN 'http://h/' || page_id
+        ELSE o || regexp_replace(f, '[^/]+/$', '') || 'e.html' END AS url FROM q""")
+def resolved_urls(spark, sf):
+    i = F.col("page_id").cast("string")
+    k = F.col("page_id") % 5
+    rel = F.when(k == 0, F.concat(F.lit("/c/"), i, F.lit(".html"))).when(k == 1, F.concat(F.lit("d"), i, F.lit(".html#x"))).when(k == 2, "#n").when(k == 3, F.concat(F.lit("http://h/"), i)).otherwise("../e.html")
+    return table(spark, sf, "pages").select("page_id", U.resolve(F.col("url"), rel).alias("url"))
+
+
+_KINDS = ["/documents/", "/archive/", "/x_enc_", "/other/"]
+
+
+@query("SELECT page_id, page_id % 4 <> 3 AND page_id % 3 <> 0 AND page_id % 7 <> 0 AS doc FROM pages")
+def document_urls(spark, sf):
+    """By the kind of folder, the file's ending and the host."""
+    i = F.col("page_id")
+    host = F.when(i % 7 == 0, "https://example.org").when(i % 7 == 1, "").otherwise("https://www.vatican.va")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (i % 4 + 1).cast("int"))
+    end = F.when(i % 3 == 0, ".pdf").when(i % 3 == 1, ".HTM").otherwise(".html?x=1")
+    return table(spark, sf, "pages").select("page_id", U.is_document(F.concat(host, F.lit("/a"), kind, i.cast("string"), end)).alias("doc"))
+
+
+_LAYER2 = ", ".join(f"'{k}'" for k in dims.LAYER2_KINDS)
+
+
+@query(f"""
+    WITH k AS (SELECT page_id, (['encyclicals', 'homilies', 'letters', 'apost_exhortations', 'speeches', 'x'])[page_id % 6 + 1] AS kind FROM pages)
+    SELECT page_id, CASE WHEN page_id % 5 = 0 THEN true WHEN page_id % 5 = 1 THEN false ELSE kind IN ({_LAYER2}) END AS second FROM k""")
+def second_layer(spark, sf):
+    i = F.col("page_id")
+    kind = F.element_at(F.array(*map(F.lit, ["encyclicals", "homilies", "letters", "apost_exhortations", "speeches", "x"])), (i % 6 + 1).cast("int"))
+    usual = F.concat(F.lit("https://www.vatican.va/content/leo/en/"), kind, F.lit("/documents/"), i.cast("string"), F.lit(".html"))
+    url = F.when(i % 5 == 0, "https://www.vatican.va/roman_curia/c/b/documents/x.html").when(i % 5 == 1, F.concat(F.lit("https://h/"), kind, F.lit("/documents/x.html"))).otherwise(usual)
+    return table(spark, sf, "pages").select("page_id", U.is_layer2(url).alias("second"))
+
+
+@query("SELECT s_suppkey, 'Pius ' || (['I', 'IV', 'IX', 'XII', 'VIII'])[s_suppkey % 5 + 1] AS pope, lower(regexp_replace(s_name, '[^A-Za-z]+', '-', 'g')) AS slug FROM supplier")
+def pope_slugs(spark, sf):
+    k = F.col("s_suppkey")
+    slug = F.concat(F.lit("pius-"), F.element_at(F.array(*map(F.lit, ["i", "iv", "ix", "xii", "viii"])), (k % 5 + 1).cast("int")))
+    folder = F.lower(F.regexp_replace("s_name", "[^A-Za-z]+", "-"))
+    url = F.when(k % 2 == 0, F.concat(F.lit("https://www.vatican.va/content/"), folder, F.lit("/en/x.html"))).otherwise(F.concat(F.lit("/holy_father/"), folder, F.lit("/enc_x/documents/a.html")))
+    return table(spark, sf, "supplier").select("s_suppkey", U.pope_name(slug).alias("pope"), U.author_slug(url).alias("slug"))
+
+
+@query(f"""
+    WITH b(slug, since, body, rank) AS (VALUES {', '.join(f"({_literal(s)}, {_literal(d or None)}, {_literal(n)}, {i})" for i, (s, d, n) in enumerate(dims.records(dims.BODIES)))}),
+    o AS (SELECT o_orderkey, strftime(o_orderdate + INTERVAL 30 YEAR, '%Y%m%d') AS day, (SELECT list(DISTINCT slug ORDER BY slug) FROM b) AS slugs FROM orders),
+    s AS (SELECT o_orderkey, day, slugs[o_orderkey % (len(slugs) + 1) + 1] AS slug FROM o)
+    SELECT o_orderkey, (SELECT arg_min(body, rank) FROM b WHERE b.slug = s.slug AND (b.since IS NULL OR s.day >= b.since)) AS body FROM s""")
+def bodies_asof(spark, sf):
+    """The issuing body in force on a file's date, through the documents' own plan."""
+    slugs = sorted({s for s, _, _ in dims.records(dims.BODIES)})
+    key = F.col("o_orderkey")
+    slug = F.try_element_at(F.array(*map(F.lit, slugs)), (key % (len(slugs) + 1) + 1).cast("int"))
+    day = F.date_format(F.add_months("o_orderdate", 360), "yyyyMMdd")
+    url = F.concat(F.lit("https://www.vatican.va/roman_curia/c/"), F.coalesce(slug, F.lit("nobody")), F.lit("/rc_doc_"), day, F.lit("_x.html"))
+    return table(spark, sf, "orders").select("o_orderkey", build.body_of(url).alias("body"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS a, CASE WHEN day(o_orderdate) > 21 THEN NULL ELSE 1 END AS whole, year(o_orderdate)::INTEGER AS c FROM orders")
+def issue_years(spark, sf):
+    """Years from dates, from blocks of URLs with the year first or last, and from folders."""
+    day = F.col("o_orderdate")
+    none = F.lit(None).cast("string")
+    last = X.year_of(none, F.concat(F.lit("/hf_"), F.date_format(day, "ddMMyyyy"), F.lit("_x.html")))
+    # Day and month may look like a year after 1500: only days up to the 14th cannot.
+    whole = F.when(F.dayofmonth(day) > 21, None).otherwise(F.when((F.dayofmonth(day) > 14) | (last == F.year(day)), 1).otherwise(0)).cast("int")
+    return table(spark, sf, "orders").select("o_orderkey", X.year_of(none, F.concat(F.lit("/hf_"), F.date_format(day, "yyyyMMdd"), F.lit("_x.html"))).alias("a"), whole.alias("whole"), X.year_of(none, F.concat(F.lit("/a/"), F.year(day), F.lit("/x.html"))).alias("c"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN day(o_orderdate) || ' ' || strftime(o_orderdate, '%B %Y') END AS date, 'Clerk No ' || o_custkey AS title,
+           CASE o_orderkey % 3 WHEN 0 THEN 'Encyclical' WHEN 1 THEN 'Apostolic Exhortation' END AS kind FROM orders""")
+def page_titles(spark, sf):
+    """Dates in brackets, leading types and a preamble come off a page's title."""
+    k = F.col("o_orderkey") % 3
+    before = F.when(k == 0, "Encyclical Letter ").when(k == 1, "Apostolic Exhortation of His Holiness Leo XIV ").otherwise("")
+    raw = F.concat(before, F.lit("Clerk No "), "o_custkey", F.when(k < 2, F.concat(F.lit(" ("), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(") "))).otherwise(""))
+    return table(spark, sf, "orders").select("o_orderkey", X.title_date(raw).alias("date"), X.clean_title(raw, F.lit("Leo XIV")).alias("title"), X.document_type(raw, F.lit(None).cast("string")).alias("kind"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Encyclical' ELSE 'Decree' END AS kind FROM orders")
+def types_of_descriptions(spark, sf):
+    """Where the title names no type the description in capitals does."""
+    text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "ENCYCLICAL LETTER OF ").otherwise("DECREE OF "), F.col("o_custkey").cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", X.document_type(F.col("o_orderpriority"), text).alias("kind"))
+
+
+@query(r"""
+    SELECT c_custkey, upper(c_name[1]) || lower(c_name[2:]) || ' of the Maas-Waal' AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9 ]', '', 'g')) || ' of maaswaal' AS author_key FROM customer""")
+def people(spark, sf):
+    """Names in capitals are written as names, and honorifics are no part of a key."""
+    k = F.col("c_custkey") % 3
+    honour = F.when(k == 0, "Saint ").when(k == 1, "St. ").otherwise("Pope ")
+    return table(spark, sf, "customer").select("c_custkey", X.recase_name(F.upper(F.concat("c_name", F.lit(" of the Maas-Waal")))).alias("name"), X.author_key(F.concat(honour, "c_name", F.lit(" of Maas-Waal,"))).alias("author_key"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS author, CASE p_partkey % 4 WHEN 0 THEN 'Encyclical' WHEN 1 THEN NULL WHEN 2 THEN 'Message' ELSE NULL END AS kind FROM part")
+def authors_and_types(spark, sf):
+    k = F.col("p_partkey") % 4
+    tail = F.when(k == 0, ", Encyclical Letter ").when(k == 1, ", AAS 23 (1931) 221").when(k == 2, ", Radio Message, ").otherwise("; Origen, In Joh")
+    found = X.author_type(F.concat(F.lit("Cf. "), F.trim(F.col("p_name")), tail))
+    return table(spark, sf, "part").select("p_partkey", found.alias("f")).select("p_partkey", F.col("f.author").alias("author"), F.col("f.doc_type").alias("kind"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS title, p_partkey % 2 = 0 AS book FROM part")
+def italic_titles(spark, sf):
+    """Apparatus and sigils of books are passed over; lost spaces come back and end signs go."""
+    italics = F.array(F.lit(","), F.when(F.col("p_partkey") % 3 == 0, "Ibid").when(F.col("p_partkey") % 3 == 1, "op. cit").otherwise("Ep. 204"), F.lit("Pt"), F.concat(F.trim(F.col("p_name")), F.lit(".;")))
+    return table(spark, sf, "part").select("p_partkey", X.first_title(italics).alias("title"), X.is_book(F.when(F.col("p_partkey") % 2 == 0, "Gen.").otherwise(F.col("p_name"))).alias("book"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Encyclical' WHEN 1 THEN 'Pontiff' WHEN 2 THEN p_type WHEN 3 THEN 'Scripture' ELSE 'Author' END AS kind FROM part")
+def kinds(spark, sf):
+    k = F.col("p_partkey") % 5
+    type_ = F.when(k == 2, "document").when(k == 3, "scripture").when(k == 0, "document").otherwise("author")
+    return table(spark, sf, "part").select("p_partkey", X.kind_label(k == 0, k == 1, type_, F.col("p_type")).alias("kind"))
+
+
+@query("SELECT s_suppkey, '#' || CASE WHEN s_suppkey % 2 = 0 THEN 'view=timeline&' ELSE '' END || 'sel=doc%3A' || s_suppkey || '%20b,author%3Ac&cam=' || printf('%.1f', s_suppkey * 0.5) || ',' || printf('%.1f', s_suppkey * -2.0) || ',1.500' AS link, 'doc:' || s_suppkey || ' b|author:c' AS ids FROM supplier")
+def permalinks(spark, sf):
+    k = F.col("s_suppkey")
+    ids = F.array(F.concat(F.lit("doc:"), k.cast("string"), F.lit(" b")), F.lit("author:c"))
+    link = U.permalink(F.when(k % 2 == 0, "timeline").otherwise("explore"), ids, k * 0.5, k * -2.0, F.lit(1.5))
+    return table(spark, sf, "supplier").select("s_suppkey", link.alias("link"), F.array_join(U.permalink_ids(link), "|").alias("ids"))
+
+
+@query("""
+    SELECT o_orderkey, 'scripture:' || r.b || '|' || r.l AS id, r.n AS cnt FROM orders, LATERAL (VALUES
+        ('Proverbs', (o_orderkey % 31 + 1) || ':' || (o_orderkey % 9 + 1), 2), ('John', (o_orderkey % 21 + 1) || ':3-5', 1), ('1 Corinthians', '13:' || (o_orderkey % 13 + 1), 1)) AS r(b, l, n)""")
+def passages(spark, sf):
+    """References in running text, counted by document and passage."""
+    k = F.col("o_orderkey")
+    prov = F.concat(F.lit("Prov "), k % 31 + 1, F.lit(":"), k % 9 + 1)
+    text = F.concat(F.lit("Cf. "), prov, F.lit(" and then is 5 am; Jn. "), k % 21 + 1, F.lit(":3 – 5. See "), prov, F.lit(" but 1 Cor 13:"), k % 13 + 1, F.lit(" job 7"))
+    refs = scripture.references(table(spark, sf, "orders").select("o_orderkey", text.alias("text")), "o_orderkey")
+    return scripture.counts(refs, "o_orderkey").select("o_orderkey", "id", F.col("cnt").cast("int").alias("cnt"))
+
+
+def _note_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each order with its line items as notes, in the shapes of four eras."""
+    k, n = F.col("l_orderkey"), F.col("n")
+    items = table(spark, sf, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    body = F.concat_ws(" ", F.lit("Author, Work"), "l_partkey")
+    note = (
+        F.when(k % 4 == 0, F.concat(F.lit('<p><a name="_ftn'), n, F.lit('" href="#_ftnref'), n, F.lit('">['), n, F.lit("]</a> "), body, F.lit("</p>")))
+        .when(k % 4 == 1, F.concat(F.lit("<p>"), n, F.lit(". "), body, F.lit("</p>"))).when(k % 4 == 2, F.concat(F.lit("<p>["), n, F.lit("] "), body, F.lit("</p>"))).otherwise(F.concat(F.lit("<br>("), n, F.lit(") "), body))
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", note.alias("h")))), lambda x: x["h"]), "")
+    rows = items.groupBy("l_orderkey").agg(joined.alias("h"))
+    head = F.when(k % 4 == 1, "<p>N O T E S</p>").when(k % 4 == 3, "<hr>").otherwise("")
+    return rows.select(k.cast("string").alias("url"), F.concat(F.lit("<p>Text 5 of it.</p>"), head, "h").alias("html"))
+
+
+_NOTES_SQL = "SELECT l_orderkey::VARCHAR AS url, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INTEGER AS number FROM lineitem WHERE l_orderkey % 4 = "
+
+
+@query(_NOTES_SQL + "0")
+def anchor_notes(spark, sf):
+    tokens = html.tokens(_note_pages(spark, sf).where("cast(url as long) % 4 = 0"))
+    return notes.anchor_notes(html.links(tokens)).select("url", "number")
+
+
+@query(_NOTES_SQL + "1")
+def section_notes(spark, sf):
+    tokens = html.tokens(_note_pages(spark, sf).where("cast(url as long) % 4 = 1"))
+    return notes.section_notes(html.block_text(tokens)).select("url", "number")
+
+
+@query(f"SELECT * FROM ({_NOTES_SQL}2) WHERE url IN (SELECT l_orderkey::VARCHAR FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3)")
+def bracket_notes(spark, sf):
+    tokens = html.tokens(_note_pages(spark, sf).where("cast(url as long) % 4 = 2"))
+    return notes.bracket_notes(html.block_text(tokens), least=3).select("url", "number")
+
+
+@query("SELECT l_orderkey::VARCHAR AS url, n AS number, 'Author, Work ' || l_partkey AS note FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INTEGER AS n FROM lineitem) WHERE l_orderkey % 4 = 3")
+def old_notes(spark, sf):
+    found = notes.legacy_notes(_note_pages(spark, sf).where("cast(url as long) % 4 = 3"))
+    return found.select("url", "number", F.trim(F.regexp_replace("note_html", "<br>", "")).alias("note"))
+
+
+@query("SELECT o_orderkey, 'o' || o_orderkey AS id, o_orderkey % 2 = 0 AS in_corpus, year(o_orderdate)::INTEGER AS year FROM orders")
+def node_years(spark, sf):
+    """Flags and years of document nodes."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("o"), key).alias("id"), key, F.lit("document").alias("type"), F.lit("t").alias("label"), F.when(key % 2 == 0, True).alias("in_corpus"), F.lit(None).cast("boolean").alias("is_source"),
+        F.when(key % 3 > 0, F.date_format("o_orderdate", "d MMMM yyyy")).alias("date"), F.concat(F.lit("https://h/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_x.html")).alias("url"),
+    )
+    edges = spark.createDataFrame([], "source string, target string, type string, weight long")
+    return graph.enrich(rows, edges).select("o_orderkey", "id", "in_corpus", "year")
+
+
+@query("SELECT cite AS cite, count(*) AS n FROM (SELECT 'Psalms ' || (l_partkey % 150 + 1) AS cite FROM lineitem) GROUP BY cite")
+def passage_hist(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("Psalms "), F.col("l_partkey") % 150 + 1).alias("cite"))
+    return graph.histogram(rows, "cite")
+
+
+@query(r"SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def raw_titles(spark, sf):
+    found = html.meta(html.tokens(table(spark, sf, "pages").select("page_id", "html"), "page_id"), "page_id")
+    return found.select("page_id", X.squeeze(F.col("raw_title")).alias("title"))
+
+
 # --- HTML over the pages table ------------------------------------------------------------------------------------------------
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '(?i)<script\b[^>]*>.*?</script\s*>', '', 'gs'), '(?i)<style\b[^>]*>.*?</style\s*>', '', 'gs')"
@@ -377,8 +636,8 @@ def page_meta(spark, sf):
 
 @query(f"""
     WITH docs AS ({DOCS_SQL}), cites AS ({CITES_SQL}),
-    own AS (SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm_title, arg_max(doc_key, doc_ord) AS target FROM docs GROUP BY 1),
-    cited AS (SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm_title, arg_min(target_key, (doc_ord, cite_seq)) AS target FROM cites WHERE url IS NOT NULL GROUP BY 1)
+    own AS (SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm_title, arg_max(doc_key, (NOT is_source, doc_ord)) AS target FROM docs GROUP BY 1),
+    cited AS (SELECT trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm_title, arg_min(target_key, (NOT is_source, doc_ord, cite_seq)) AS target FROM cites WHERE url IS NOT NULL GROUP BY 1)
     SELECT norm_title, coalesce(own.target, cited.target) AS target FROM own FULL JOIN cited USING (norm_title)""")
 def title_index(spark, sf):
     docs, cites, _ = corpus(spark, sf)
@@ -387,7 +646,7 @@ def title_index(spark, sf):
 
 @query(f"""
     WITH docs AS ({DOCS_SQL}), cites AS ({CITES_SQL}),
-    cited AS (SELECT title, arg_min(target_key, (doc_ord, cite_seq)) AS target FROM cites WHERE url IS NOT NULL GROUP BY 1)
+    cited AS (SELECT title, arg_min(target_key, (NOT is_source, doc_ord, cite_seq)) AS target FROM cites WHERE url IS NOT NULL GROUP BY 1)
     SELECT CASE WHEN url IS NOT NULL THEN target_key ELSE coalesce(target, target_key) END AS target_key, count(*) AS n FROM cites LEFT JOIN cited USING (title) GROUP BY 1""")
 def canon_target(spark, sf):
     docs, cites, _ = corpus(spark, sf)

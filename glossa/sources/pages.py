@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,40 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     (out.partitionBy(by) if by else out).json(path)
 
 
+def write_document(graph: dict[str, DataFrame], path: str) -> None:
+    """The graph as one JSON text, as a page loads it: {"meta": {...}, "nodes": [...], "edges": [...]}, in a folder with one file.
+
+    One text is written by one task, by its nature; rows stream through it in reading order and are not held.
+    """
+    rows = None
+    for part, name in enumerate(("meta", "nodes", "edges")):
+        df = graph[name]
+        line = F.to_json(F.struct(*[c for c in df.columns if c != "first_seq"]))
+        order = F.to_json(F.transform(F.array("first_seq"), _padded)) if "first_seq" in df.columns else F.lit("")
+        own = df.select(F.lit(part).alias("part"), order.alias("o"), line.alias("value"))
+        rows = own if rows is None else rows.unionByName(own)
+
+    def commas(batches):
+        now = -1
+        for batch in batches:
+            out = []
+            for part, value in zip(batch.column("part").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                opened = ""
+                while now < part:
+                    now += 1
+                    opened += ('{"meta":', ',"nodes":[', '],"edges":[')[now]
+                out.append(opened + value if opened else "," + value)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([('{"meta":{}', ',"nodes":[', '],"edges":[')[k] for k in range(now + 1, 3)] + ["]}"], pa.string())], names=["value"])
+
+    rows.repartition(1).sortWithinPartitions("part", "o", "value").select("part", "value").mapInArrow(commas, "value string").write.mode("overwrite").text(path)
+
+
+def _padded(seq):
+    """A place in reading order as a text that sorts like it."""
+    return F.concat(*[F.lpad(seq[k].cast("string"), 20, "0") for k in ("phase", "doc", "part", "item", "sub")])
+
+
 def write_graph(graph: dict[str, DataFrame], path: str) -> None:
     """nodes, edges and meta as Parquet tables, and as JSON lines for a page to load."""
     for name, df in graph.items():

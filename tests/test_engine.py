@@ -153,3 +153,52 @@ def test_force_layout_query_runs_the_whole_simulation(spark, monkeypatch):
     monkeypatch.setattr(layout, "spring", lambda *a: runs.append(a[5]) or spring(*a))
     assert catalog.QUERIES["force_layout"](spark, "/root/testdata/sf0.001").count() > 0
     assert runs == [300]
+
+
+def test_bad_pages_are_skipped_and_bad_seeds_stop_the_build(spark):
+    rows = [(0, True, BASE, PAGE), (1, False, DEUS, None), (2, False, "https://h/x.html", "no markup"), (3, False, "", TERSE)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_ord"]: r["error"] for r in build.bad_pages(docs).collect()} == {1: "no content", 2: "no markup", 3: "no address"}
+    out = build.build_graph(docs, placed=False)
+    assert out["meta"].first()["in_corpus"] == 1 and out["skipped"].count() == 3 and "x" not in out["nodes"].columns
+    with pytest.raises(ValueError, match="seeds"):
+        build.build_graph(docs.withColumn("is_source", F.lit(True)), placed=False)
+
+
+def test_large_graphs_are_placed_too(spark, tmp_path):
+    docs = spark.createDataFrame([(0, True, BASE, PAGE), (1, False, DEUS, TERSE)], DOCS)
+    out = build.build_graph(docs, largest=1)
+    rows = out["nodes"].collect()
+    assert len({(r["x"], r["y"]) for r in rows}) == len(rows) > 4 and all(math.isfinite(r["x"]) and math.isfinite(r["y"]) for r in rows)
+    sources.write_document(out, str(tmp_path / "graph.json"))
+    import json
+
+    found = json.loads("".join(p.read_text() for p in (tmp_path / "graph.json").glob("part-*")))
+    assert (len(found["nodes"]), len(found["edges"])) == (len(rows), out["edges"].count()) and found["meta"]["in_corpus"] == 2
+    assert [n["id"] for n in found["nodes"]] == [r["id"] for r in out["nodes"].orderBy("first_seq").collect()]
+
+
+def test_spread_keeps_neighbours_near(spark):
+    random.seed(3)
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(200)], "id string")
+    forces = spark.createDataFrame([(f"n{min(i, j)}", f"n{max(i, j)}", 1.0) for i in range(200) for j in [i - i % 20 + random.randrange(20)] if i != j] * 2, "a string, b string, w double").distinct()
+    at = {r["id"]: (r["px"], r["py"]) for r in layout.spread(nodes, forces, "n0").collect()}
+    far = lambda a, b: math.dist(at[a], at[b])
+    near = [far(r["a"], r["b"]) for r in forces.collect()]
+    chance = [far(f"n{random.randrange(200)}", f"n{random.randrange(200)}") for _ in range(2000)]
+    assert at["n0"] == (0.0, 0.0) and sum(near) / len(near) < 0.5 * sum(chance) / len(chance)
+
+
+def test_snapshots_compare(spark, parsed):
+    shot = build.snapshot(parsed)
+    assert build.differences(shot, build.snapshot(parsed)).count() == 0
+    changed = shot | {"authors": shot["authors"].withColumn("n", F.col("n") + 1)}
+    found = build.differences(shot, changed).collect()
+    assert {(r["part"], r["change"]) for r in found} == {("authors", "gone"), ("authors", "new")}
+
+
+def test_the_text_zero_is_a_value(spark):
+    rows = spark.createDataFrame([("a", 1, "0"), ("a", 2, "x")], "id string, seq int, title string").withColumns({"type": F.lit("document"), "is_source": F.lit(False), "parsed": F.lit(False), "ord": F.lit(0)})
+    rows = rows.withColumns({f: F.lit(None).cast("string") for f in ("label", "author", "author_key", "doc_type", "url", "date", "cite", "book", "testament")})
+    found = graph.merge_nodes(rows).first()
+    assert found["title"] == "0" and found["ord"] is None
