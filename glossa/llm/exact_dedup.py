@@ -12,7 +12,11 @@ The index maps the SHA-256 digest of a normalised text (A-Z lower-cased) to the
   text of the row that stays. Groups are salted by their size. A hit whose bytes differ (a digest collision) is
   taken out of its group and grouped by its whole text instead.
 
-Keep order: ``keep="smallest"`` or ``"largest"`` identifier. Defined cases: a null text equals an empty one; a null
+A task's run is dealt to the tables of digests by hash; where one digest holds very many rows, counting combines in each task first, and the
+joins that give rows their verdict have one short row of the level on the other side, so adaptive execution can split them.
+
+Keep order: ``keep="smallest"`` or ``"largest"`` identifier. Defined cases: a very long text is one row like any other, hashed where it is
+read and moved only as a possible hit; a null text equals an empty one; a null
 identifier is never preferred to another; of several rows with the same identifier and text one stays; other columns
 pass through untouched; an empty table gives an empty result.
 """
@@ -86,10 +90,12 @@ class LsmIndex:
         return joined.withColumn("_hit", F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "_map")
 
     def hits(self, docs: DataFrame, level: DataFrame) -> DataFrame:
-        """(_digest, _id, _norm, _keep, _rows): the rows of ``docs`` whose digest has several rows, found through the filter."""
+        """(_digest, _id, _norm, _at, _keep, _rows): the rows of ``docs`` whose digest has several rows, found through the filter."""
         maybe = self.probe(self._keyed(docs), level).where("_hit")
         several = level.where("_rows > 1").select("_digest", "_keep", "_rows")
-        return maybe.select("_digest", "_id", "_norm").join(several, "_digest")
+        # Rows are numbered where they are read, so that a task that runs again deals them alike.
+        maybe = maybe.select("_digest", "_id", "_norm", F.monotonically_increasing_id().alias("_at"))
+        return maybe.join(several, "_digest")
 
     def collisions(self, docs: DataFrame, level: DataFrame) -> DataFrame:
         """(_digest, _id, _norm) of the hits whose bytes differ from those of the row that stays."""
@@ -98,7 +104,7 @@ class LsmIndex:
         # One text for each group, repeated for each salt: of rows with the identifier that stays, the least text.
         kept = hits.where(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_digest").agg(F.min("_norm").alias("_kept"), F.max("_rows").alias("_rows"))
         kept = kept.select("_digest", "_kept", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-        hits = hits.withColumn("_salt", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), salts).cast("int"))
+        hits = hits.withColumn("_salt", F.pmod(F.xxhash64("_at"), salts).cast("int"))
         return hits.join(kept, ["_digest", "_salt"]).where(F.col("_norm") != F.col("_kept")).select("_digest", "_id", "_norm")
 
 
