@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}  # by application
+#: Whether Spark removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,10 +32,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def exchanges_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files behind; they would stay until the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: plans stay short, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with exchanges_go(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from glossa.functions import text as X
 from glossa.operators import graph, layout, notes, views
 from glossa.plans import build, catalog
 from glossa.sources import pages as sources
+from glossa.sources import work
 from glossa.streaming import incremental
 
 BASE = "https://www.vatican.va/content/leo-xiv/en/encyclicals/documents/20260515-test-lumen.html"
@@ -202,3 +204,18 @@ def test_the_text_zero_is_a_value(spark):
     rows = rows.withColumns({f: F.lit(None).cast("string") for f in ("label", "author", "author_key", "doc_type", "url", "date", "cite", "book", "testament")})
     found = graph.merge_nodes(rows).first()
     assert found["title"] == "0" and found["ord"] is None
+
+
+def test_settled_rows_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in found.mkString("\n").split("\n") if "shuffle_" in n}
+
+    before, setting = files(), spark.conf.get(work.CLEANUP)
+    rows = work.settle(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(4, "k"), "settled")
+    assert spark.conf.get(work.CLEANUP) == setting
+    end = time.monotonic() + 20
+    while files() - before and time.monotonic() < end:  # Spark deletes them in the background
+        time.sleep(0.1)
+    assert not files() - before
+    assert {(r["k"], r["count"]) for r in rows.collect()} == {(k, 100) for k in range(10)}
