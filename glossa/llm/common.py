@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from glossa.sources.work import forget, settle, shared_path  # noqa: F401  used by the operators
+from glossa.sources.work import exchanges_go, forget, settle, shared_path  # noqa: F401  used by the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from glossa.llm.common import forget, mix, partitions, raw, settle, shingle_set, shingle_sets, string_blocks
+from glossa.llm.common import exchanges_go, forget, mix, partitions, raw, settle, shingle_set, shingle_sets, string_blocks
 from glossa.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
@@ -65,8 +65,11 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(*raw(arr), width)
 
 
-def _first_pass(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, n, c) of each document, and rows (part, task, counts) of each task's sketch, in one written table."""
+def _first_pass(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, np.ndarray]:
+    """Rows (_id, n, c) of each document, and the commonness of shingle buckets: one reading of the texts gives both.
+
+    The table of that reading, which holds each task's sketch beside the rows, is deleted once the sketches are added up.
+    """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,11 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
             )
 
     fields = [StructField("_id", docs.schema[id_col].dataType), *StructType.fromDDL("n long, c long, part int, task int, counts binary").fields]
-    return settle(base.mapInArrow(run, StructType(fields)), "jaccard-sets")
+    read = settle(base.mapInArrow(run, StructType(fields)), "jaccard-read")
+    common = _commonness(read)
+    sets = settle(read.where(F.col("c").isNotNull()).select("_id", "n", "c"), "jaccard-sets")
+    forget(read)
+    return sets, common
 
 
 def _add_up(sketches: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
@@ -127,7 +134,9 @@ def _commonness(first: DataFrame) -> np.ndarray:
     """For each of BUCKETS shingle buckets a byte that grows with the logarithm of its count: a fixed size at any scale."""
     sketches = first.where(F.col("part").isNotNull()).select("part", "task", "counts")
     out = np.zeros(BUCKETS, dtype=np.uint8)
-    for row in _add_up(_add_up(sketches, ["part", "task"]), ["part"], last=True).collect():  # BUCKETS bytes
+    with exchanges_go(first.sparkSession):
+        sums = _add_up(_add_up(sketches, ["part", "task"]), ["part"], last=True).collect()  # BUCKETS bytes
+    for row in sums:
         out[row["part"] * CHUNK : (row["part"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint8)
     return out
 
@@ -399,11 +408,9 @@ def _block_links(group: list[tuple], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, first: DataFrame | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, common: np.ndarray | None = None, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The classes' links that join their components, (u, v), and the labels of linked classes, (node, label)."""
-    first = first if first is not None else _first_pass(docs, id_col, text_col, width)
-    common = _commonness(first)
-    # No name is kept for what was written: Spark drops the exchange's files once nothing refers to them.
+    common = common if common is not None else _first_pass(docs, id_col, text_col, width)[1]
     region = settle(_cells(_regions(docs, text_col, width, percent, common), percent), "jaccard-regions")
     small, other = F.col("k") <= SMALL, region.select("key", F.col("c").alias("m"), F.col("n").alias("mn"), F.col("r").alias("mr"), "k").where(F.col("k") <= SMALL).drop("k")
     star = region.where(_candidate(percent)).select("m", "c")
@@ -425,9 +432,8 @@ def class_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, per
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id, class_id (documents of one set share it; 0: empty), label (the component's least class)."""
-    first = _first_pass(docs, id_col, text_col, width)
-    _, labels = class_links(docs, text_col, width, percent, first, id_col)
-    rows = first.where(F.col("c").isNotNull()).select("_id", "n", "c")
+    rows, common = _first_pass(docs, id_col, text_col, width)
+    _, labels = class_links(docs, text_col, width, percent, common, id_col)
     classes = rows.where("c <> 0").groupBy("c").agg(F.min("_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
