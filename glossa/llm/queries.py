@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, packing, quality, sentencepiece, toxicity
+from glossa.llm import chat_format, exact_dedup, fingerprint, html_extract, jaccard_join, licenses, line_quality, packing, quality, sentencepiece, token_align, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,22 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+#: The byte-level vocabulary that is aligned with ``VOCABULARY``; a parameter of the operator.
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = BYTE_VOCABULARY, b: str = VOCABULARY) -> DataFrame:
+    return token_align.align(_table(spark, sf_dir, "documents"), token_align.Pair.load(a, b))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -76,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_document_fingerprints": op10_document_fingerprints,
+        "op11_line_quality_rules": op11_line_quality_rules,
+        "op12_vector_code_compression": op12_vector_code_compression,
+        "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
     }
 
 
@@ -85,6 +104,39 @@ _SAID = "'</s>[INST] ok [/INST]'"
 
 _CONTROL = r"(\\|<\||\|>|</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)"
 
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """All distances to all entries, round by round."""
+
+    def nearest(book: str) -> str:
+        far = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return f"SELECT vec_id, label, part, x, min((d, e)) AS best FROM (SELECT p.*, c.e, {far} AS d FROM p JOIN {book} c USING (part)) GROUP BY ALL"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})")
+        steps.append(
+            f"m{r} AS (SELECT part, best[2] AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) GROUP BY ALL)"
+        )
+        steps.append(
+            f"c{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(y, x) AS x FROM c{r} LEFT JOIN (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM m{r} GROUP BY ALL) USING (part, e))"
+        )
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda z: floor(4096 * z::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+        ),
+        p AS MATERIALIZED (SELECT vec_id, label, part, q[part * len(q) // {parts} + 1:(part + 1) * len(q) // {parts}] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+        c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p JOIN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+        {", ".join(steps)},
+        z AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM ({nearest(f"c{rounds}")}) GROUP BY vec_id, label)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256
+        FROM z
+    """
+
+
 ORACLE_SQL = {
     # All pairs that share a shingle, and all that can be reached: for tables of some thousand documents.
     "op1_ngram_jaccard_join": f"""
@@ -127,6 +179,7 @@ ORACLE_SQL = {
                0::BIGINT AS rewrites
         FROM t GROUP BY conv_id
     """,
+    "op12_vector_code_compression": _codes_sql(),
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
