@@ -1,4 +1,4 @@
-"""Citations from notes: features in parallel, then one ordered fold per document for "ibid." and "idem"."""
+"""Citations from notes: features in parallel, then running states over each document's notes for "ibid." and "idem"."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from glossa import dims
 from glossa.functions import text as X
 from glossa.functions import url as U
-
-WORK = "target_key string, title string, url string, author string, author_key string, doc_type string"
+from glossa.operators import scan
+from glossa.sources.work import settle
 
 
 def note_features(notes: DataFrame, source: Column | None = None) -> DataFrame:
@@ -40,55 +40,59 @@ def _work(key: Column, title: Column, url: Column, author: Column, author_key: C
     return F.struct(*[c.cast("string").alias(n) for n, c in parts.items()])
 
 
-def _step(state: Column, n: Column) -> Column:
-    """One note: (the work that a following "ibid." means, the citations so far)."""
-    prev = state["prev"]
-    nobody = F.lit(None).cast("string")
-    bound = n["is_ibid"] | n["is_idem"] | F.coalesce(n["own"]["author_key"].isin("ibid", "idem", "id"), F.lit(False))
-    who = F.struct(
-        F.when(bound, prev["author"]).otherwise(n["own"]["author"]).alias("author"), F.when(bound, prev["author_key"]).otherwise(n["own"]["author_key"]).alias("key"),
-        F.when(n["is_ibid"] & prev.isNotNull(), prev["doc_type"]).otherwise(n["own"]["doc_type"]).alias("type"),
-    )
-    again = (F.size(n["full"]) == 0) & n["is_ibid"] & prev.isNotNull()
-
-    def linked(w: Column):
-        def one(x: Column) -> Column:
-            unnamed = (x["title"] == "") | x["title"].rlike(r"(?iU)\bibid\b")
-            title = F.when(unnamed, F.coalesce(F.nullif(prev["title"], F.lit("")), U.slug_title(x["target_key"]))).otherwise(x["title"])
-            return X.let(title, lambda t: _work(x["target_key"], t, x["url"], w["author"], w["key"], F.coalesce(w["type"], X.detect_type(t)["type"])))
-
-        return one
-
-    def named(w: Column) -> Column:
-        title = n["first_title"]
-        # An author who is just the title is none.
-        key = F.when(F.coalesce(F.lower(F.trim(w["author"])) == F.lower(F.trim(title)), F.lit(False)), nobody).otherwise(w["key"])
-        name = F.when(F.coalesce(F.lower(F.trim(w["author"])) == F.lower(F.trim(title)), F.lit(False)), nobody).otherwise(w["author"])
-        return _work(X.text_key(key, title), title, nobody, name, key, w["type"])
-
-    none = F.array().cast(f"array<struct<{', '.join(f'{c.split()[0]}:string' for c in WORK.split(', '))}>>")
-    made = X.let(who, lambda w: F.when(F.size(n["full"]) > 0, F.transform(n["full"], linked(w))).when(again, F.array(prev)).when(n["first_title"].isNotNull(), F.array(named(w))).otherwise(none))
-    footnote = n["number"].cast("int")
-    return X.let(
-        made,
-        lambda m: F.struct(
-            F.when(again | (F.size(m) == 0), prev).otherwise(F.try_element_at(m, F.lit(1))).alias("prev"),
-            F.concat(state["out"], F.transform(m, lambda w: F.struct(footnote.alias("footnote"), w.alias("work")))).alias("out"),
-        ),
-    )
-
-
-def fold(features: DataFrame, key: str = "url") -> DataFrame:
+def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataFrame:
     """(key, cite_seq, footnote, target_key, title, url, author, author_key, doc_type) of every citation, in note order.
 
-    The fold runs over one document's notes, which are as many as a document has; documents run in parallel.
+    "Ibid." means the last work named before it, "idem" its author. What a note leaves to the next one is the last value of each of the work's fields,
+    each by a running state over the document's notes (``scan.running``), so a document may have any number of notes:
+
+    * whether any note has named a work: before that "ibid." means nothing;
+    * the author: of the last note that names its own, until a bound note's title is that author's name, which then was none;
+    * the title: of the last note with one of its own, else the first address that gave one;
+    * the type: of the last note that isn't "ibid.", else the first that a title of its successors tells;
+    * the address and key: of the last note that named a work.
     """
-    need = ["note_seq", "number", "is_ibid", "is_idem", "own", "full", "first_title"]
-    rows = features.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*need))).alias("notes"))
-    work = f"struct<{', '.join(':'.join(c.split()) for c in WORK.split(', '))}>"
-    start = F.struct(F.lit(None).cast(work).alias("prev"), F.array().cast(f"array<struct<footnote:int, work:{work}>>").alias("out"))
-    cites = F.aggregate("notes", start, _step, lambda s: s["out"])
-    return rows.select(key, F.posexplode(cites).alias("cite_seq", "c")).select(key, "cite_seq", F.col("c.footnote").alias("footnote"), "c.work.*")
+    n = F.col
+    linked, titled = F.size("full") > 0, n("first_title").isNotNull()
+    same = lambda author: F.coalesce(F.lower(F.trim(author)) == F.lower(F.trim(n("first_title"))), F.lit(False))
+    unnamed = lambda x: (x["title"] == "") | x["title"].rlike(r"(?iU)\bibid\b")
+    bound = n("is_ibid") | n("is_idem") | F.coalesce(n("own.author_key").isin("ibid", "idem", "id"), F.lit(False))
+    rows = features.select(key, "note_seq", "number", "is_ibid", "own", "full", "first_title", bound.alias("bound"), linked.alias("linked"), titled.alias("titled"))
+    step = lambda df, states, sums=None: settle(scan.running(df, [key], "note_seq", states, sums, size), "notes-scan")
+    rows = step(rows, {"some": (F.lit(False), F.when(n("linked") | n("titled"), True))})
+    follows = n("is_ibid") & n("some_before").isNotNull()
+    rows = rows.withColumns({"follows": follows, "again": ~n("linked") & follows, "sets": n("linked") | n("titled") & ~follows})
+    nobody = F.struct(F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("author_key"))
+    own = F.when(~n("linked") & same(n("own.author")), nobody).otherwise(F.struct("own.author", "own.author_key"))
+    first = F.try_element_at("full", F.lit(1))
+    title = F.when(~n("linked"), n("first_title")).when(~unnamed(first), first["title"])
+    number = F.when(n("linked"), F.size("full")).when(n("again") | n("titled"), 1).otherwise(0)
+    rows = step(
+        rows,
+        {"who": (n("sets") & ~n("bound"), F.when(n("sets") & ~n("bound"), own)), "name": (n("sets") & title.isNotNull(), F.when(n("sets"), F.coalesce(title, F.nullif(U.slug_title(first["target_key"]), F.lit("")))))},
+        {"cite_seq": number},
+    )
+    told = F.when(n("linked"), X.detect_type(n("name"))["type"])
+    starts = n("sets") & ~n("follows")
+    rows = step(
+        rows,
+        {"dead": (n("sets") & ~n("bound"), F.when(n("sets") & n("bound") & ~n("linked") & same(n("who.author")), True)), "kind": (starts, F.when(n("sets"), F.when(starts, F.coalesce("own.doc_type", told)).otherwise(told)))},
+    )
+    author = lambda at, f: F.when(n(f"dead{at}").isNull(), n(f"who{at}.{f}"))
+    place = F.when(n("linked"), F.struct(first["target_key"].alias("key"), first["url"].alias("url"))).otherwise(F.struct(X.text_key(author("", "author_key"), n("first_title")).alias("key"), F.lit(None).cast("string").alias("url")))
+    rows = step(rows, {"at": (n("sets"), F.when(n("sets"), place))})
+    mine = lambda f: F.when(n("bound"), author("_before", f)).otherwise(n(f"own.{f}"))
+
+    def link(x: Column) -> Column:
+        shown = F.when(unnamed(x), F.coalesce("name_before", U.slug_title(x["target_key"]))).otherwise(x["title"])
+        type_ = F.when(n("follows"), n("kind_before")).otherwise(n("own.doc_type"))
+        return X.let(shown, lambda t: _work(x["target_key"], t, x["url"], mine("author"), mine("author_key"), F.coalesce(type_, X.detect_type(t)["type"])))
+
+    before = _work(n("at_before.key"), n("name_before"), n("at_before.url"), author("_before", "author"), author("_before", "author_key"), n("kind_before"))
+    named = _work(n("at.key"), n("first_title"), F.lit(None), author("", "author"), author("", "author_key"), n("kind"))
+    made = F.when(n("linked"), F.transform("full", link)).when(n("again"), F.array(before)).when(n("titled"), F.array(named))
+    rows = rows.select(key, n("cite_seq").alias("_from"), n("number").cast("int").alias("footnote"), F.posexplode(made).alias("_k", "c"))
+    return rows.select(key, (n("_from") + n("_k")).cast("int").alias("cite_seq"), "footnote", "c.*")
 
 
 def lookup_work(title: Column) -> Column:

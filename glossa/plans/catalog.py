@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glossa import dims
 from glossa.functions import text as X
 from glossa.functions import url as U
-from glossa.operators import cite, graph, html, layout, notes, scripture, views
+from glossa.operators import cite, graph, html, layout, notes, scan, scripture, views
 from glossa.plans import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,10 +328,10 @@ def ibid_fold(spark, sf):
     SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN role || ':' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS carried
     FROM conversations""")
 def carry_forward(spark, sf):
-    """The window form of carrying a work forward: the last turn that names one."""
+    """A running state over rows of a key, in blocks: the last turn that names a work."""
     named = F.when(F.col("role") != "assistant", F.concat_ws(":", "role", "turn"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.last(named, ignorenulls=True).over(w).alias("carried"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", named.alias("named"))
+    return scan.running(rows, ["conv_id"], "turn", {"carried": (F.col("named").isNotNull(), F.col("named"))}, size=4).select("conv_id", "turn", "carried")
 
 
 @query(f"""
