@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -48,18 +49,32 @@ def bracket_notes(blocks: DataFrame, key: str = "url", least: int = 20) -> DataF
     return rows.where((F.col("n") >= least) & (F.col("bad") == 0)).select(key, "block", "note_seq", "number")
 
 
-# What ends the notes of an old page (a space stands for any white space, none included).
-REGION_ENDS = ["<footer", "<!-- END: body", "Copyright ©", "Copyright &copy;", "Copyright &#169;"]
 # Elements whose tags end a line, so that a number after them may start a note.
 BREAKS = frozenset("p br div hr td tr table li font".split())
 
 
+# What a page's footer starts with, each with what follows it; case does not count, nor white space between the two.
+REGION_ENDS = [("<footer", [""]), ("<!--", ["end:body"]), ("copyright", ["©", "&copy;", "&#169;"])]
+
+
+def _before(text, sign: str, follows: list[str]):
+    """What stands before the first ``sign`` that one of ``follows`` follows."""
+    def cut(parts):
+        bare = lambda x: F.lower(F.regexp_replace(F.substring(x, 1, 200), r"(?U)\s", ""))
+        here = lambda i: (i > 0) & reduce(lambda a, b: a | b, [bare(parts[i]).startswith(f) for f in follows])
+        at = F.array_min(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), here))
+        length = F.aggregate(F.slice(parts, F.lit(1), at), F.lit(0), lambda n, x: n + F.length(x)) + (at - 1) * len(sign)
+        return F.when(at.isNull(), text).otherwise(F.substring(text, F.lit(1), length))
+
+    return X.let(F.split(text, "(?i)" + re.escape(sign)), cut)
+
+
 def notes_region(page):
     """What follows a page's last rule, up to its footer."""
-    ends = "|".join(re.escape(e).replace(r"\ ", r"\s*") + (r"\b" if e[-1].isalpha() else "") for e in REGION_ENDS)
     behind = F.substring_index(page, "<hr", -1)
     behind = F.substring(behind, F.instr(behind, ">") + 1, F.length(behind))
-    return F.when(page.contains("<hr"), F.try_element_at(F.split(behind, f"(?i){ends}", 2), F.lit(1))).otherwise("")
+    region = reduce(lambda t, end: X.let(t, lambda x: _before(x, *end)), REGION_ENDS, behind)
+    return F.when(page.contains("<hr"), region).otherwise("")
 
 
 class _Region:
@@ -101,20 +116,33 @@ class _Region:
         return out
 
     def candidates(self) -> dict[str, list[tuple[int, int, int, bool]]]:
-        """For each number written somewhere its possible markers in order: piece, start, end, whether it opens a line."""
+        """For each number written somewhere its possible markers in order: piece, start, end, whether it opens a line.
+
+        A number looks no further than the white space and signs next to it, so a region takes time in proportion to its length.
+        """
         found: dict[str, list[tuple[int, int, int, bool]]] = {}
         for k, piece in enumerate(self.pieces):
             if self._name(piece) is not None:
                 continue
+            heads = self._heads_end(piece) if self.opens[k] else -1
             for m in re.finditer(r"\d+", piece):
-                before, after = piece[: m.start()], piece[m.end() :]
-                if self.opens[k] and self._heads(before):
-                    found.setdefault(m[0], []).append((k, 0, m.end() + self._trail(after), True))
-                mark = after.lstrip()
-                if len(mark) < len(after) and mark[:1] in (")", "."):
-                    found.setdefault(m[0], []).append((k, m.start(), m.end() + len(after) - len(mark) + 1, False))
+                if m.start() <= heads and self._heads(piece[: m.start()]):
+                    found.setdefault(m[0], []).append((k, 0, self._trail(piece, m.end()), True))
+                mark = self._white(piece, m.end())
+                if mark > m.end() and piece[mark : mark + 1] in (")", "."):
+                    found.setdefault(m[0], []).append((k, m.start(), mark + 1, False))
         return found
 
+    @staticmethod
+    def _heads_end(piece: str) -> int:
+        """Where the signs end that may stand before a number on its line: a section's number of up to four signs and a bracket."""
+        seen = 0
+        for at, sign in enumerate(piece):
+            seen += not sign.isspace()
+            if seen > 5:
+                return at
+        return len(piece)
+
     @staticmethod
     def _heads(before: str) -> bool:
         """Whether only a bracket, or a section's number and a bracket, stands before a number on its line."""
@@ -126,14 +154,21 @@ class _Region:
         return section and bare[-1].isspace() and before.split()[0] == words[0]
 
     @staticmethod
-    def _trail(after: str) -> int:
-        """How much of what follows a number belongs to its marker: a bracket and a point."""
-        ends, rest = [0], after
-        for sign in ("", ")", "", "."):
-            rest = rest.removeprefix(sign) if sign else rest.lstrip()
-            ends.append(len(after) - len(rest))
+    def _white(piece: str, at: int) -> int:
+        """Where the white space at ``at`` ends."""
+        while at < len(piece) and piece[at].isspace():
+            at += 1
+        return at
+
+    @classmethod
+    def _trail(cls, piece: str, at: int) -> int:
+        """Where a marker ends whose number ends at ``at``: behind a bracket and a point, white space before each."""
+        ends = [at, cls._white(piece, at)]
+        ends.append(ends[-1] + piece.startswith(")", ends[-1]))
+        ends.append(cls._white(piece, ends[-1]))
+        ends.append(ends[-1] + piece.startswith(".", ends[-1]))
         # A number may not follow: what stands before it is given back, sign by sign.
-        return max(e for e in ends if not after[e : e + 1].isdecimal())
+        return max(e for e in ends if not piece[e : e + 1].isdecimal())
 
 
 def split_notes(html: str) -> list[tuple[int, str]]:

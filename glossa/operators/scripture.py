@@ -9,15 +9,14 @@ from glossa import dims
 from glossa.functions import text as X
 
 
-#: The signs between the parts of a locator.
-BETWEEN = "-–,;"
+# Fixed value: the pattern of a locator, chapters with or without verses.
+LOCATOR = r"\d+(?::\d+)?(?:\s*[-–,;]\s*\d+(?::\d+)?)*"
 
 
 def pattern() -> str:
-    """A book token, the longest first, perhaps a point, and chapters with or without verses; case counts."""
+    """A book token, the longest first, perhaps a point, and a locator; case counts."""
     books = "|".join(sorted((t for t, *_ in dims.abbreviations()), key=lambda t: (-len(t), t)))
-    place = r"\d+(?::\d+)?"
-    return rf"\b({books})\b\.?\s*({place}(?:\s*[{BETWEEN}]\s*{place})*)"
+    return rf"\b({books})\b\.?\s*({LOCATOR})"
 
 
 def references(docs: DataFrame, key: str = "doc_key", text: str = "text", books: DataFrame | None = None) -> DataFrame:

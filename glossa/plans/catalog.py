@@ -544,7 +544,8 @@ def _note_pages(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat_ws(" ", F.lit("Author, Work"), "l_partkey")
     note = (
         F.when(k % 4 == 0, F.concat(F.lit('<p><a name="_ftn'), n, F.lit('" href="#_ftnref'), n, F.lit('">['), n, F.lit("]</a> "), body, F.lit("</p>")))
-        .when(k % 4 == 1, F.concat(F.lit("<p>"), n, F.lit(". "), body, F.lit("</p>"))).when(k % 4 == 2, F.concat(F.lit("<p>["), n, F.lit("] "), body, F.lit("</p>"))).otherwise(F.concat(F.lit("<br>("), n, F.lit(") "), body))
+        .when(k % 4 == 1, F.concat(F.lit("<p>"), n, F.lit(". "), body, F.lit("</p>"))).when(k % 4 == 2, F.concat(F.lit("<p>["), n, F.lit("] "), body, F.lit("</p>"))).when(n % 3 == 0, F.concat(F.lit('<br><a name="$'), n, F.lit('">'), n, F.lit("</a>. "), body))
+        .otherwise(F.concat(F.lit("<br>("), n, F.lit(") "), body))
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", note.alias("h")))), lambda x: x["h"]), "")
     rows = items.groupBy("l_orderkey").agg(joined.alias("h"))

@@ -219,3 +219,29 @@ def test_settled_rows_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert {(r["k"], r["count"]) for r in rows.collect()} == {(k, 100) for k in range(10)}
+
+
+def test_a_long_region_of_old_notes_takes_linear_time():
+    many = 100_000
+    region = "".join(f'<br>({k}) Author, Work {k % 50}. <a name="x">{k}</a>' for k in range(1, many))
+    start = time.perf_counter()
+    found = notes.split_notes(region)
+    assert len(found) == many - 1 and found[-1] == (many - 1, f"Author, Work {(many - 1) % 50}.  {many - 1} ")
+    crammed = "<br>" + " ".join(f"word {k} and ({k % 7}) . more" for k in range(many))
+    notes._Region(crammed).candidates()
+    assert time.perf_counter() - start < 8
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [("Session VI, 3. Leo XIII, AAS 23 (1931) 221", "Leo XIII"), ("sess xx. Leo XIII,PL 3", "Leo XIII"), ("AAS 23", "AAS 23"), ("Karl Rahner’s, a", "Karl Rahner"), ("Sess.IV", "Sess.IV")],
+)
+def test_authors_before_apparatus(spark, text, expected):
+    found = spark.range(1).select(X.author_type(F.lit(text))["author"].alias("a")).first()["a"]
+    assert found == {"Sess.IV": "Sess.IV"}.get(text, expected)
+
+
+def test_numerals_are_written_again(spark):
+    shown = ["I", "IIII", "IX", "VX", "XL", "MCMXCIX", "MMMM", "MMMMM", "IC", "XVI", "", "A", "i"]
+    rows = spark.createDataFrame([(x,) for x in shown], "w string").select("w", X.is_numeral(F.col("w")).alias("ok")).collect()
+    assert {r.w for r in rows if r.ok} == {"I", "IX", "XL", "MCMXCIX", "MMMM", "XVI"}
