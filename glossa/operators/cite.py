@@ -50,7 +50,7 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
     * the author: of the last note that names its own, until a bound note's title is that author's name, which then was none;
     * the title: of the last note with one of its own, else the first address that gave one;
     * the type: of the last note that isn't "ibid.", else the first that a title of its successors tells;
-    * the address and key: of the last note that named a work.
+    * the address: of the last note that named a work; a work without one has a key made of author and title.
     """
     n = F.col
     linked, titled = F.size("full") > 0, n("first_title").isNotNull()
@@ -69,7 +69,7 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
     number = F.when(n("linked"), F.size("full")).when(n("again") | n("titled"), 1).otherwise(0)
     rows = step(
         rows,
-        {"who": (n("sets") & ~n("bound"), F.when(n("sets") & ~n("bound"), own)), "name": (n("sets") & title.isNotNull(), F.when(n("sets"), F.coalesce(title, F.nullif(U.slug_title(first["target_key"]), F.lit("")))))},
+        {"who": (n("sets") & ~n("bound"), F.when(n("sets") & ~n("bound"), own)), "name": (n("sets") & title.isNotNull(), F.when(n("sets"), F.coalesce(title, F.nullif(U.slug_title(first["target_key"]), F.lit(""))))), "at": (n("sets"), F.when(n("sets"), F.struct(n("linked").alias("linked"), first["target_key"].alias("key"), first["url"].alias("url"))))},
         {"cite_seq": number},
     )
     told = F.when(n("linked"), X.detect_type(n("name"))["type"])
@@ -79,8 +79,7 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
         {"dead": (n("sets") & ~n("bound"), F.when(n("sets") & n("bound") & ~n("linked") & same(n("who.author")), True)), "kind": (starts, F.when(n("sets"), F.when(starts, F.coalesce("own.doc_type", told)).otherwise(told)))},
     )
     author = lambda at, f: F.when(n(f"dead{at}").isNull(), n(f"who{at}.{f}"))
-    place = F.when(n("linked"), F.struct(first["target_key"].alias("key"), first["url"].alias("url"))).otherwise(F.struct(X.text_key(author("", "author_key"), n("first_title")).alias("key"), F.lit(None).cast("string").alias("url")))
-    rows = step(rows, {"at": (n("sets"), F.when(n("sets"), place))})
+    key_of = lambda at, title: F.when(n(f"at{at}.linked"), n(f"at{at}.key")).otherwise(X.text_key(author(at, "author_key"), title))
     mine = lambda f: F.when(n("bound"), author("_before", f)).otherwise(n(f"own.{f}"))
 
     def link(x: Column) -> Column:
@@ -88,8 +87,8 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
         type_ = F.when(n("follows"), n("kind_before")).otherwise(n("own.doc_type"))
         return X.let(shown, lambda t: _work(x["target_key"], t, x["url"], mine("author"), mine("author_key"), F.coalesce(type_, X.detect_type(t)["type"])))
 
-    before = _work(n("at_before.key"), n("name_before"), n("at_before.url"), author("_before", "author"), author("_before", "author_key"), n("kind_before"))
-    named = _work(n("at.key"), n("first_title"), F.lit(None), author("", "author"), author("", "author_key"), n("kind"))
+    before = _work(key_of("_before", n("name_before")), n("name_before"), n("at_before.url"), author("_before", "author"), author("_before", "author_key"), n("kind_before"))
+    named = _work(key_of("", n("first_title")), n("first_title"), F.lit(None), author("", "author"), author("", "author_key"), n("kind"))
     made = F.when(n("linked"), F.transform("full", link)).when(n("again"), F.array(before)).when(n("titled"), F.array(named))
     rows = rows.select(key, n("cite_seq").alias("_from"), n("number").cast("int").alias("footnote"), F.posexplode(made).alias("_k", "c"))
     return rows.select(key, (n("_from") + n("_k")).cast("int").alias("cite_seq"), "footnote", "c.*")

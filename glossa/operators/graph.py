@@ -1,12 +1,14 @@
 """The citation graph from an event log: one row per touch of a node or edge, with its place in reading order.
 
-Merging is aggregation over that log, so any number of documents and of events per node runs in parallel: sums and first-by-order
-minima combine map-side. The one join by node is with the last parse of parsed documents, which a much cited one's events meet in one
-task unless adaptive execution splits it.
+Merging is aggregation over that log, so any number of documents and of events per node runs in parallel: places in reading order are one whole number each,
+and sums and first-by-order minima combine map-side. Where rows meet a table by a key that
+many of them may share - a node's last parse, a title's node - they do so by ``hub_join``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from glossa.functions import text as X
 from glossa.functions import url as U
 
 FIELDS = ["label", "title", "author", "author_key", "doc_type", "url", "date"]
+BOOK = ["cite", "book", "testament", "ord"]
 
 
 NUMERIC = {"ord"}
@@ -22,7 +25,7 @@ NUMERIC = {"ord"}
 
 def given(name: str) -> Column:
     """Missing values, empty texts and zero numbers count as not given; the text "0" is one."""
-    return F.col(name).isNotNull() & (F.col(name) != F.lit(0) if name in NUMERIC else F.col(name) != "")
+    return F.col(name).isNotNull() & (F.col(name) != F.lit(0) if name.rpartition(".")[2] in NUMERIC else F.col(name) != "")
 
 
 def title_index(documents: DataFrame, citations: DataFrame) -> DataFrame:
@@ -33,15 +36,53 @@ def title_index(documents: DataFrame, citations: DataFrame) -> DataFrame:
     return own.join(cited, "norm_title", "full").select("norm_title", F.coalesce("own", "cited").alias("target"))
 
 
+#: The share of rows in which hubs are looked for.
+HUB_SAMPLE = 0.05
+
+
+def hub_join(rows: DataFrame, side: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """``rows`` left-joined to ``side``, which holds a key once, such that no key's rows meet in one task.
+
+    A key is a hub if it has more than one in twice the number of shuffle partitions of the rows of a sample; so there are at most twice as many hubs as
+    partitions and their rows of ``side`` are broadcast. Rows of hubs, and rows without a key, go through the shuffle by a hash of ``spread`` and find nothing there.
+    The sample decides which way a row takes and not what it finds.
+    """
+    most = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(key).isNotNull()).select(key).sample(HUB_SAMPLE, seed=1).groupBy(key).agg(F.count("*").alias("_n"))
+    hubs = counts.crossJoin(counts.agg(F.sum("_n").alias("_all"))).where(F.col("_n") * most > F.col("_all")).select(key)  # by one row
+    hot = side.join(F.broadcast(hubs), key, "left_semi").select(key, F.struct(*[c for c in side.columns if c != key]).alias("_hot"))
+    out = rows.join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), key, "left").join(F.broadcast(hot), key, "left")
+    alone = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("string"))
+    out = out.withColumn("_key", F.when(F.col("_hub") | F.col(key).isNull(), alone).otherwise(F.col(key)))
+    rest = side.withColumnRenamed(key, "_key")
+    out = out.join(rest.select("_key", F.struct(*[c for c in side.columns if c != key]).alias("_cold")), "_key", "left")
+    return out.withColumns({c: F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")) for c in side.columns if c != key}).drop("_key", "_hub", "_hot", "_cold")
+
+
+def canonical_by_title(citations: DataFrame, index: DataFrame, linked: Column) -> DataFrame:
+    """Citations (target_key, norm_title) that are not ``linked`` under the node that shares their title, if there is one."""
+    rows = citations.withColumn("_title", F.when(~linked, F.col("norm_title")))
+    rows = hub_join(rows, index.select(F.col("norm_title").alias("_title"), F.nullif("target", F.lit("")).alias("_t")), "_title", ["target_key", "norm_title"])
+    return rows.withColumn("target_key", F.coalesce("_t", "target_key")).drop("_title", "_t")
+
+
 def canonical_targets(citations: DataFrame, index: DataFrame) -> DataFrame:
     """Citations without a URL under the node that shares their title, if there is one."""
-    rows = citations.withColumn("norm_title", X.norm_title(F.col("title"))).join(index.withColumnRenamed("target", "_t"), "norm_title", "left")
-    url = F.coalesce(F.col("url"), F.lit("")) != ""
-    return rows.withColumn("target_key", F.when(url, F.col("target_key")).otherwise(F.coalesce(F.nullif("_t", F.lit("")), "target_key"))).drop("norm_title", "_t")
+    rows = citations.withColumn("norm_title", X.norm_title(F.col("title")))
+    return canonical_by_title(rows, index, F.coalesce(F.col("url"), F.lit("")) != "").drop("norm_title")
+
+
+#: Bits of a place in reading order: phase, document, part of it, item, step.
+BITS = {"doc": 31, "part": 2, "item": 28, "sub": 1}
 
 
 def _seq(phase: Column, doc: Column, part: int, item: Column, sub: int) -> Column:
-    return F.struct(phase.alias("phase"), doc.cast("long").alias("doc"), F.lit(part).alias("part"), item.cast("long").alias("item"), F.lit(sub).alias("sub"))
+    """A place in reading order as one number: seeds before other documents, then by document, part, item and step."""
+    fits = (doc >= 0) & (doc < 1 << BITS["doc"]) & (item >= 0) & (item < 1 << BITS["item"])
+    place = phase.cast("long")
+    for value, bits in zip((doc, F.lit(part), item, F.lit(sub)), BITS.values(), strict=True):
+        place = F.shiftleft(place, bits) + value.cast("long")
+    return F.when(fits, place).otherwise(F.raise_error(F.concat(F.lit("no place in reading order for document and item "), doc, F.lit(", "), item)))
 
 
 def node_events(documents: DataFrame, citations: DataFrame, scripture: DataFrame) -> DataFrame:
@@ -68,16 +109,39 @@ def node_events(documents: DataFrame, citations: DataFrame, scripture: DataFrame
     return doc.unionByName(person(documents, 1, zero, 0)).unionByName(cited).unionByName(person(citations, 2, F.col("cite_seq"), 1)).unionByName(passage)
 
 
+def _firsts(events: DataFrame) -> DataFrame:
+    """Per node the first value given of each field, its first type and place; partial firsts meet, not events."""
+    first = lambda f: F.min_by(F.when(given(f), F.col(f)), F.when(given(f), F.col("seq"))).alias(f)
+    return events.groupBy("id").agg(F.min_by("type", "seq").alias("type"), *map(first, [*FIELDS, *BOOK]), F.max("is_source").alias("is_source"), F.min("seq").alias("first_seq"))
+
+
 def merge_nodes(events: DataFrame) -> DataFrame:
-    """One row per node: of each field the first value given; a parsed document starts its fields anew."""
-    last = events.where("parsed").groupBy("id").agg(F.max("seq").alias("_last"))
-    rows = events.join(last, "id", "left")
-    fresh = F.col("_last").isNull() | (F.col("seq") >= F.col("_last"))
-    first = lambda name, cond: F.min_by(F.when(cond & given(name), F.col(name)), F.when(cond & given(name), F.col("seq"))).alias(name)
-    always = F.lit(True)
-    out = rows.groupBy("id").agg(
-        F.min_by("type", "seq").alias("type"), *[first(f, fresh) for f in FIELDS], F.max("parsed").alias("in_corpus"), F.max("is_source").alias("is_source"),
-        *[first(f, always) for f in ("cite", "book", "testament", "ord")], F.min("seq").alias("first_seq"),
+    """One row per node: of each field the first value given; a parsed document starts its fields anew.
+
+    Events of parses and others are merged apart. Of a parsed document the last parse counts, and for fields it does not give the events behind it; only
+    these events meet a table by node, if there is such a document at all.
+    """
+    told, parses = events.where(~F.col("parsed")), events.where("parsed")
+    own_of = lambda f: F.max_by(F.when(given(f), F.col(f)), "seq").alias(f"_own_{f}")
+    last = parses.groupBy("id").agg(*map(own_of, [*FIELDS, *BOOK]), F.max("seq").alias("_last"), F.min("seq").alias("_from"), F.min_by("type", "seq").alias("_type"), F.max("is_source").alias("_source"))
+    own = {f: F.col(f"_own_{f}") for f in [*FIELDS, *BOOK]}
+    lacks = parses.where(reduce(lambda a, b: a | b, [~given(f) for f in FIELDS]))
+    out = _firsts(told).join(last, "id", "full")
+    if lacks.isEmpty():
+        later = {f: F.lit(None) for f in FIELDS}
+    else:
+        lacking = last.where(reduce(lambda a, b: a | b, [own[f].isNull() for f in FIELDS])).select("id", "_last")
+        rows = hub_join(told.where(reduce(lambda a, b: a | b, map(given, FIELDS))), lacking, "id", ["id", "seq"]).where(F.col("seq") >= F.col("_last")).drop("_last")
+        out = out.join(_firsts(rows).select("id", F.struct(*FIELDS).alias("_later")), "id", "left")
+        later = {f: F.col(f"_later.{f}") for f in FIELDS}
+    parsed = F.col("_last").isNotNull()
+    before = F.col("first_seq").isNull() | (F.col("_from") < F.col("first_seq"))
+    fields = [F.when(parsed, F.coalesce(own[f], later[f])).otherwise(F.col(f)).alias(f) for f in FIELDS]
+    # What stands in no page of its own keeps its first values.
+    book = [F.when(parsed & before, F.coalesce(own[f], F.col(f))).otherwise(F.coalesce(F.col(f), own[f])).alias(f) for f in BOOK]
+    out = out.select(
+        "id", F.when(parsed & before, F.col("_type")).otherwise(F.col("type")).alias("type"), *fields, parsed.alias("in_corpus"),
+        F.coalesce(F.greatest("is_source", "_source"), F.lit(False)).alias("is_source"), *book, F.least("first_seq", "_from").alias("first_seq"),
     )
     # A person's name is its label's text.
     return out.withColumn("name", F.when(F.col("type") == "author", F.col("label")))

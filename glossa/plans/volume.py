@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glossa.operators import cite
-from glossa.plans.catalog import query, table
-from glossa.sources.work import settle
+from glossa.operators import cite, graph
+from glossa.plans import rebuild
+from glossa.plans.catalog import CITES_SQL, DOCS_SQL, corpus, query, table
+from glossa.sources.work import settle, shared_path
 
 # --- notes that lean on the notes before them --------------------------------------------------------------------------------
 
@@ -91,3 +92,90 @@ def ibid_runs(spark, sf):
     prefix = F.when(k == 8, F.concat(F.lit("["), number, F.lit("] "), hand, F.lit(", Encyclical Letter "))).when(k.isin(3, 9), "Cf. ")
     notes = rows.select("doc", "note_seq", number.alias("number"), F.concat(F.lit("["), number, F.lit("] "), body).alias("text"), links.alias("links"), F.when(titled, F.array(own)).otherwise(F.array().cast("array<string>")).alias("italics"), prefix.alias("prefix"))
     return cite.canonicalise(cite.fold(settle(cite.note_features(notes), "note-features"), "doc", size=256))
+
+
+# --- a corpus whose titles clash, whose citations often have none and whose documents are parsed again -------------------------
+
+_HARD_DOCS = f"""
+    SELECT * FROM ({DOCS_SQL})
+    UNION ALL SELECT doc_ord + 50000000, false, doc_key, CASE WHEN doc_ord % 14 = 0 THEN '' ELSE 'Again ' || doc_ord END, author, author_key, NULL, url, NULL FROM ({DOCS_SQL}) WHERE doc_ord % 7 = 0"""
+_HARD_CITES = f"""
+    SELECT doc_ord, is_source, doc_key, cite_seq, CASE WHEN p % 10 = 4 THEN 'doc:o' || p ELSE target_key END AS target_key,
+           CASE WHEN p % 10 < 3 THEN '' WHEN p % 10 = 3 THEN '1-URGENT ' || p % 500 ELSE title END AS title, url, author, author_key, doc_type
+    FROM (SELECT *, target_key[6:]::BIGINT AS p FROM ({CITES_SQL}))"""
+_NORM = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def hard_corpus(spark, sf):
+    """documents, citations and passages; three citations of ten have no title, some titles are a document's and a work's, every seventh document is parsed twice."""
+    docs, cites, refs = corpus(spark, sf)
+    key, p = F.col("doc_ord"), F.substring("target_key", 6, 20).cast("long")
+    again = docs.where(key % 7 == 0).withColumns({"title": F.when(key % 14 == 0, "").otherwise(F.concat(F.lit("Again "), key)), "doc_ord": key + 50_000_000, "is_source": F.lit(False), "doc_type": F.lit(None).cast("string"), "date": F.lit(None).cast("string")})
+    title = F.when(p % 10 < 3, "").when(p % 10 == 3, F.concat(F.lit("1-URGENT "), p % 500)).otherwise(F.col("title"))
+    return docs.unionByName(again), cites.withColumns({"title": title, "target_key": F.when(p % 10 == 4, F.concat(F.lit("doc:o"), p)).otherwise(F.col("target_key"))}), refs
+
+
+@query(f"""
+    WITH docs AS ({_HARD_DOCS}), cites AS ({_HARD_CITES}),
+    own AS (SELECT {_NORM} AS t, arg_max(doc_key, (NOT is_source, doc_ord)) AS target FROM docs GROUP BY 1),
+    cited AS (SELECT {_NORM} AS t, arg_min(target_key, (NOT is_source, doc_ord, cite_seq)) AS target FROM cites WHERE url IS NOT NULL GROUP BY 1)
+    SELECT doc_ord, cite_seq, CASE WHEN url IS NOT NULL THEN target_key ELSE coalesce(own.target, cited.target, target_key) END AS target_key
+    FROM cites LEFT JOIN own ON own.t = {_NORM} LEFT JOIN cited ON cited.t = {_NORM}""")
+def title_clashes(spark, sf):
+    """Each citation's node where untitled citations are three rows of ten and a document's title goes before a cited work's."""
+    docs, cites, _ = hard_corpus(spark, sf)
+    return graph.canonical_targets(cites, graph.title_index(docs, cites)).select("doc_ord", "cite_seq", "target_key")
+
+
+@query(f"""
+    WITH docs AS ({_HARD_DOCS}), cites AS ({_HARD_CITES}),
+    e AS (
+        SELECT doc_key AS id, title, author, author_key, doc_type, url, date, ((NOT is_source)::INT, doc_ord, 0, 0::BIGINT) AS k, true AS parsed, is_source FROM docs
+        UNION ALL SELECT target_key, title, author, author_key, doc_type, url, NULL, ((NOT is_source)::INT, doc_ord, 2, cite_seq), false, false FROM cites
+    ),
+    l AS (SELECT id, max(k) AS last FROM e WHERE parsed GROUP BY id),
+    f AS (SELECT e.*, last IS NULL OR k >= last AS fresh FROM e LEFT JOIN l USING (id))
+    SELECT id, {", ".join(f"arg_min({c}, k) FILTER (WHERE fresh AND {c} <> '') AS {c}" for c in ("title", "author", "author_key", "doc_type", "url", "date"))}, bool_or(parsed) AS in_corpus, bool_or(is_source) AS is_source
+    FROM f GROUP BY id""")
+def node_reparse(spark, sf):
+    """Document nodes where parsed documents are cited before and after, and parsed again with fields missing."""
+    nodes = graph.merge_nodes(graph.node_events(*hard_corpus(spark, sf))).where("type = 'document'")
+    return nodes.select("id", "title", "author", "author_key", "doc_type", "url", "date", "in_corpus", "is_source")
+
+
+# --- pages that change between two builds -------------------------------------------------------------------------------------
+
+_BOOKS_SQL = """
+    SELECT c_custkey AS c, o_orderkey % 40 AS w, o_orderkey % 6 AS a, 0 AS extra FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 11 <> 5
+    UNION ALL SELECT c_custkey, 7, 7, 1 FROM customer WHERE c_custkey % 5 = 2 AND c_custkey % 11 <> 5"""
+
+
+def customer_pages(spark, sf, later: bool):
+    """A page for each customer with a note for each order; in the later state some pages have one note more and some have gone."""
+    c, o = table(spark, sf, "customer").select(F.col("c_custkey").alias("c")), table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    note = lambda n, a, w: F.concat(F.lit('<p><a name="_ftn'), n, F.lit('" href="#_ftnref'), n, F.lit('">['), n, F.lit("]</a> Writer "), a, F.lit(", <i>Book "), w, F.lit("</i>, 3.</p>"))
+    rows = o.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("o"))).withColumn("h", note(F.col("n"), F.translate((F.col("o") % 6).cast("string"), "012345", "ABCDEF"), F.col("o") % 40))
+    body = rows.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "").alias("h"), F.max("n").alias("n"))
+    pages = c.join(body, "c", "left")
+    last = note(F.coalesce("n", F.lit(0)) + 1, F.lit("Z"), F.lit(7))
+    more = F.when(F.lit(later) & (F.col("c") % 5 == 2), last).otherwise("")
+    html = F.concat(F.lit("<html><head><title>Page "), "c", F.lit("</title></head><body><p>Text.</p>"), F.coalesce("h", F.lit("")), more, F.lit("</body></html>"))
+    url = F.concat(F.lit("https://www.vatican.va/content/leo-xiv/en/letters/documents/page-"), "c", F.lit(".html"))
+    pages = pages.select(F.col("c").cast("int").alias("doc_ord"), (F.col("c") % 10 == 0).alias("is_source"), url.alias("url"), html.alias("html"))
+    return pages.where(F.col("doc_ord") % 11 != 5) if later else pages
+
+
+@query(f"""
+    WITH b AS (SELECT c, 'Book ' || w AS title, 'writer ' || ({_lists(list("abcdef"))} || ['', 'z'])[a + 1] AS ak FROM ({_BOOKS_SQL})),
+    t AS (SELECT 'doc:page-' || c AS source, 'doc:' || replace(ak, ' ', '-') || '-' || replace(lower(title), ' ', '-') AS target, ak FROM b),
+    e AS (
+        SELECT source, target, 'cites' AS type FROM t UNION ALL SELECT target, 'author:' || ak, 'authored_by' FROM t
+        UNION ALL SELECT 'doc:page-' || c_custkey, 'author:leo xiv', 'authored_by' FROM customer WHERE c_custkey % 11 <> 5
+    )
+    SELECT source, target, type, count(*) AS weight FROM e GROUP BY ALL""")
+def rebuilt_edges(spark, sf):
+    """Edges of a store that was built once and then brought up to date with pages that changed and without pages that went."""
+    store = shared_path(spark, "store")
+    rebuild.update(spark, store, customer_pages(spark, sf, later=False))
+    rebuild.update(spark, store, customer_pages(spark, sf, later=True))
+    return rebuild.edges(spark, store)

@@ -47,7 +47,7 @@ def write_document(graph: dict[str, DataFrame], path: str) -> None:
     for part, name in enumerate(("meta", "nodes", "edges")):
         df = graph[name]
         line = F.to_json(F.struct(*[c for c in df.columns if c != "first_seq"]))
-        order = F.to_json(F.transform(F.array("first_seq"), _padded)) if "first_seq" in df.columns else F.lit("")
+        order = F.lpad(F.col("first_seq").cast("string"), 20, "0") if "first_seq" in df.columns else F.lit("")
         own = df.select(F.lit(part).alias("part"), order.alias("o"), line.alias("value"))
         rows = own if rows is None else rows.unionByName(own)
 
@@ -67,11 +67,6 @@ def write_document(graph: dict[str, DataFrame], path: str) -> None:
     rows.repartition(1).sortWithinPartitions("part", "o", "value").select("part", "value").mapInArrow(commas, "value string").write.mode("overwrite").text(path)
 
 
-def _padded(seq):
-    """A place in reading order as a text that sorts like it."""
-    return F.concat(*[F.lpad(seq[k].cast("string"), 20, "0") for k in ("phase", "doc", "part", "item", "sub")])
-
-
 def write_graph(graph: dict[str, DataFrame], path: str) -> None:
     """nodes, edges and meta as Parquet tables, and as JSON lines for a page to load."""
     for name, df in graph.items():

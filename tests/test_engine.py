@@ -234,7 +234,7 @@ def test_a_long_region_of_old_notes_takes_linear_time():
 
 @pytest.mark.parametrize(
     ("text", "expected"),
-    [("Session VI, 3. Leo XIII, AAS 23 (1931) 221", "Leo XIII"), ("sess xx. Leo XIII,PL 3", "Leo XIII"), ("AAS 23", "AAS 23"), ("Karl Rahner’s, a", "Karl Rahner"), ("Sess.IV", "Sess.IV")],
+    [("Session VI, Leo XIII, AAS 23 (1931) 221", "Leo XIII"), ("sess xx. Leo XIII,PL 3", "Leo XIII"), ("AAS 23", "AAS 23"), ("Karl Rahner’s, a", "Karl Rahner"), ("Sess.IV", "Sess.IV")],
 )
 def test_authors_before_apparatus(spark, text, expected):
     found = spark.range(1).select(X.author_type(F.lit(text))["author"].alias("a")).first()["a"]
