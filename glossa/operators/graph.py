@@ -170,8 +170,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def enrich(nodes: DataFrame, edges: DataFrame, pontiffs: DataFrame | None = None, spans: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
-    """Nodes with flags, year, degree, and for persons the pontiff's record and the span of time. The dimensions are small, fixed tables."""
+    """Nodes with flags, year, degree, and for persons the pontiff's record and the span of time.
+
+    The library's own dimensions have a fixed number of rows and are broadcast; tables given instead may have any size and are joined as such.
+    """
     spark = nodes.sparkSession
+    fixed = lambda table, given_: table if given_ is not None else F.broadcast(table)
     doc = F.col("type") == "document"
     flag = lambda c: F.when(doc, F.coalesce(c, F.lit(False))).alias(c)
     rows = nodes.join(degrees(edges), "id", "left")
@@ -181,8 +185,8 @@ def enrich(nodes: DataFrame, edges: DataFrame, pontiffs: DataFrame | None = None
     p = pontiff_records(pontiffs if pontiffs is not None else dims.pontiffs(spark)).select(F.col("author_key").alias("_key"), F.struct("ordinal", "ordinal_label", "display_name", "reign_label", "reign_start", "reign_end", "profile_url", "encyclopedia_url").alias("pontiff"))
     s = spans if spans is not None else dims.spans(spark)
     a = aliases if aliases is not None else dims.span_aliases(spark)
-    rows = rows.withColumn("_key", F.trim(key)).join(F.broadcast(p), "_key", "left").join(F.broadcast(a.select(F.col("variant").alias("_key"), F.col("span_key").alias("_alias"))), "_key", "left")
-    rows = rows.withColumn("_alias", F.coalesce("_alias", "_key")).join(F.broadcast(s.select(F.col("span_key").alias("_alias"), F.struct("kind", "start", "end", "label").alias("_span"))), "_alias", "left")
+    rows = rows.withColumn("_key", F.trim(key)).join(fixed(p, pontiffs), "_key", "left").join(fixed(a.select(F.col("variant").alias("_key"), F.col("span_key").alias("_alias")), aliases), "_key", "left")
+    rows = rows.withColumn("_alias", F.coalesce("_alias", "_key")).join(fixed(s.select(F.col("span_key").alias("_alias"), F.struct("kind", "start", "end", "label").alias("_span")), spans), "_alias", "left")
     own = F.coalesce(F.nullif("label", F.lit("")), F.col("pontiff.display_name"))
     reign = F.struct(F.lit("reign").alias("kind"), F.col("pontiff.reign_start").alias("start"), F.col("pontiff.reign_end").alias("end"), own.alias("label"))
     life = F.struct(F.col("_span.kind").alias("kind"), F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.coalesce(F.nullif("_span.label", F.lit("")), "label").alias("label"))

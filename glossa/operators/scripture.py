@@ -24,8 +24,8 @@ def references(docs: DataFrame, key: str = "doc_key", text: str = "text", books:
     regex = F.lit("(?U)" + pattern())
     found = F.arrays_zip(F.regexp_extract_all(text, regex, F.lit(1)).alias("token"), F.regexp_extract_all(text, regex, F.lit(2)).alias("raw"))
     rows = docs.select(key, F.posexplode(found).alias("ref_seq", "m")).select(key, "ref_seq", F.col("m.token").alias("token"), X.locator(F.col("m.raw")).alias("locator"))
-    # The dimension has a fixed number of rows: 73 books with their abbreviations.
-    rows = rows.where("locator <> ''").join(F.broadcast(books if books is not None else dims.books(docs.sparkSession)), "token")
+    # The library's own dimension has a fixed number of rows: 73 books with their abbreviations.
+    rows = rows.where("locator <> ''").join(books if books is not None else F.broadcast(dims.books(docs.sparkSession)), "token")
     cite = F.concat_ws(" ", "book", "locator")
     return rows.select(key, "ref_seq", cite.alias("cite"), "book", "testament", "ord", "locator", F.concat(F.lit("scripture:"), "book", F.lit("|"), "locator").alias("id"))
 

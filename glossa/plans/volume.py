@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glossa.operators import cite, graph
+from glossa.operators import cite, graph, html, notes
 from glossa.plans import rebuild
 from glossa.plans.catalog import CITES_SQL, DOCS_SQL, corpus, query, table
 from glossa.sources.work import settle, shared_path
@@ -179,3 +179,137 @@ def rebuilt_edges(spark, sf):
     rebuild.update(spark, store, customer_pages(spark, sf, later=False))
     rebuild.update(spark, store, customer_pages(spark, sf, later=True))
     return rebuild.edges(spark, store)
+
+
+# --- links, prefixes, texts and metadata of pages -----------------------------------------------------------------------------
+
+_SITE = "https://www.vatican.va"
+
+
+def _linked_pages(spark, sf):
+    """A page for each customer; its notes, one an order, hold a link to a document twice, links to elsewhere and a back-link."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("o")))
+    link = F.concat(F.lit('<a href="/content/x/en/letters/documents/w'), F.col("o") % 90, F.lit('.html">'))
+    note = F.concat(
+        F.lit('<p><a name="_ftn'), "n", F.lit('" href="#_ftnref'), "n", F.lit('">['), "n", F.lit("]</a> Cf. Writer&nbsp;"), F.translate((F.col("o") % 6).cast("string"), "012345", "ABCDEF"), F.lit(", "), link, F.lit("<i>Work "), F.col("o") % 90, F.lit("</i></a>, "),
+        F.when(F.col("o") % 2 == 0, '<a href="https://example.com/content/y.html">elsewhere</a>').otherwise('<a href="#top">up</a>'), F.lit(" and "), link, F.lit("again</a>, 3.</p>"),
+    )
+    body = rows.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", note.alias("h")))), lambda x: x["h"]), "").alias("h"))
+    c = F.col("c")
+    head = F.when(c % 3 == 0, F.concat(F.lit('<link rel="canonical" href="http://w2.vatican.va/c/'), c, F.lit('.html">'))).when(c % 3 == 1, F.concat(F.lit('<meta property="og:url" content="'), F.lit(_SITE), F.lit("/og/"), c, F.lit('.html">'))).otherwise("")
+    told = F.when(c % 2 == 0, F.concat(F.lit("<meta content=' LETTER &amp; NOTE "), c, F.lit(" ' name=\"Description\">"))).otherwise(F.concat(F.lit('<meta property="og:description" content="Other '), c, F.lit('">')))
+    page = F.concat(F.lit("<html><head>"), head, told, F.lit("<script>var a = '<p>no</p>';</script></head><body><!-- <p>none</p> --><p>Body of "), c, F.lit(".</p>"), F.coalesce("h", F.lit("")), F.lit("</body></html>"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("c")).join(body, "c", "left").select(F.concat(F.lit(f"{_SITE}/p/"), c, F.lit(".html")).alias("url"), page.alias("html"))
+
+
+_LINKED = "SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey"
+
+
+@query(f"""SELECT '{_SITE}/p/' || c || '.html' AS url, n + 1 AS block, '/content/x/en/letters/documents/w' || o % 90 || '.html' AS href, 'Work ' || o % 90 AS text FROM ({_LINKED})""")
+def note_links(spark, sf):
+    """Of each paragraph the links to documents, each address once; links to elsewhere, to the page itself and back-links don't count."""
+    pages = _linked_pages(spark, sf)
+    return html.document_links(html.links(settle(html.tokens(pages), "tokens"))).select("url", "block", "href", "text")
+
+
+@query(f"""
+    SELECT '{_SITE}/p/' || c || '.html' AS url, n::INTEGER AS number, '[' || n || '] Cf. Writer ' || (['A', 'B', 'C', 'D', 'E', 'F'])[o % 6 + 1] || ',' AS prefix, 1 AS links, 'Work ' || o % 90 AS title,
+           'Writer ' || (['A', 'B', 'C', 'D', 'E', 'F'])[o % 6 + 1] AS author FROM ({_LINKED})""")
+def note_prefixes(spark, sf):
+    """The text before a note's first link to a document, and the author that it names."""
+    pages = settle(_linked_pages(spark, sf), "linked-pages")
+    tokens = settle(html.tokens(pages), "tokens")
+    found = settle(notes.features(pages, settle(notes.collect(pages, tokens), "notes"), tokens), "features")
+    own = cite.note_features(found, F.col("url"))
+    return own.select("url", "number", "prefix", F.size("links").alias("links"), F.element_at("links", 1)["txt"].alias("title"), F.col("own.author").alias("author"))
+
+
+@query(f"""
+    SELECT '{_SITE}/p/' || c_custkey || '.html' AS url, CASE c_custkey % 3 WHEN 0 THEN '{_SITE}/c/' || c_custkey || '.html' WHEN 1 THEN '{_SITE}/og/' || c_custkey || '.html' ELSE '{_SITE}/p/' || c_custkey || '.html' END AS canonical,
+           CASE WHEN c_custkey % 2 = 0 THEN 'LETTER & NOTE ' || c_custkey ELSE 'Other ' || c_custkey END AS description FROM customer""")
+def page_addresses(spark, sf):
+    """A page's own address from its head, and its description by either name."""
+    found = html.meta(settle(html.tokens(_linked_pages(spark, sf)), "tokens"))
+    return found.select("url", html.canonical_url(F.col("canonical"), F.col("og_url"), F.col("url")).alias("canonical"), "description")
+
+
+def _decoded(text: str) -> str:
+    """The SQL of a text with its character references decoded; that of & comes last."""
+    for name, sign in {"nbsp": 160, "quot": 34, "#x27": 39, "#39": 39, "copy": 169, "middot": 183, "raquo": 187, "laquo": 171, "mdash": 8212, "ndash": 8211, "hellip": 8230, "lt": 60, "gt": 62, "amp": 38}.items():
+        text = f"replace({text}, '&{name};', chr({sign}))"
+    return text
+
+
+@query(r"""
+    WITH h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'gis') AS h FROM pages),
+    t AS (SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(h, '<[^>]+>', chr(1), 'g'), chr(1)), lambda x: x <> ''), ' ') AS t FROM h)
+    SELECT page_id, md5(""" + _decoded("t") + """) AS text_md5 FROM t WHERE t <> ''""")
+def page_texts(spark, sf):
+    """The whole text of every raw page: its text runs in order, without scripts, styles and comments."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    return html.page_text(settle(html.tokens(pages, "page_id"), "tokens"), "page_id").where("text <> ''").select("page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# --- what is missing, and who the persons are ----------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH c AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 0),
+    u AS (SELECT o, n, p, '{_SITE}/content/a/en/encyclicals/documents/o' || p || CASE WHEN p % 2 = 0 THEN '_en' ELSE '_it' END || '.html' AS url FROM c WHERE p % 3 > 0)
+    SELECT 'doc:o' || p AS doc_key, arg_min(url, (o, n)) AS url FROM u WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey = p) GROUP BY p""")
+def frontier_pages(spark, sf):
+    """Documents of the second layer that the seeds cite and that are no seeds themselves, with the address that was cited first."""
+    docs, cites, _ = corpus(spark, sf)
+    p = F.substring("target_key", 6, 20).cast("long")
+    base = F.when(p % 2 == 0, "https://w2.vatican.va").otherwise(_SITE)
+    url = F.when(p % 3 == 0, F.concat(F.lit(f"{_SITE}/content/a/en/homilies/documents/o"), p, F.lit(".html"))).otherwise(F.concat(base, F.lit("/content/a/en/encyclicals/documents/o"), p, F.when(p % 2 == 0, "_en.html#3").otherwise("_it.html")))
+    return graph.frontier(docs, cites.withColumn("url", url)).select("doc_key", "url")
+
+
+@query("SELECT 'customer-' || c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 7 FROM orders)")
+def slugs_without_page(spark, sf):
+    """Curated slugs that no index page links to; each order is a line of the index."""
+    index = table(spark, sf, "orders").select(F.concat(F.lit('<li><a href="/holy-father/customer-'), F.col("o_custkey") + 7, F.lit('.html">x</a> holy-father/none</li>')).alias("html"))
+    curated = table(spark, sf, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("slug"))
+    return graph.missing_slugs(curated, index, r"holy-father/(customer-[0-9]+)\.html")
+
+
+@query("""
+    WITH d AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1),
+    th AS (SELECT s_suppkey AS s, s_suppkey || CASE WHEN s_suppkey % 100 BETWEEN 10 AND 20 THEN 'th' WHEN s_suppkey % 10 = 1 THEN 'st' WHEN s_suppkey % 10 = 2 THEN 'nd' WHEN s_suppkey % 10 = 3 THEN 'rd' ELSE 'th' END || ' Pontiff' AS l FROM supplier)
+    SELECT 'author:c' || c_custkey AS id, coalesce(d.n, 0) AS degree, th.l AS ordinal,
+           CASE WHEN th.s IS NOT NULL THEN 'reign' WHEN p.p_partkey IS NOT NULL THEN 'life' END AS kind, CASE WHEN th.s IS NOT NULL THEN 1000 + th.s WHEN p.p_partkey IS NOT NULL THEN p.p_partkey END::INTEGER AS since,
+           CASE WHEN th.s IS NOT NULL THEN CASE WHEN th.s % 2 = 0 THEN 1010 + th.s END WHEN p.p_partkey IS NOT NULL THEN p.p_partkey + 60 END::INTEGER AS until,
+           CASE WHEN th.s IS NOT NULL THEN coalesce(nullif(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END, ''), 'Pontiff ' || th.s) WHEN p.p_partkey IS NOT NULL THEN CASE WHEN p.p_partkey % 2 = 0 THEN p.p_name ELSE CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END END END AS label
+    FROM customer LEFT JOIN d ON d.c = c_custkey LEFT JOIN th ON th.s = c_custkey AND c_custkey % 3 = 0 LEFT JOIN part p ON p.p_partkey = CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 ELSE c_custkey END AND c_custkey % 3 <> 0""")
+def people_in_time(spark, sf):
+    """Persons with a pontiff's record, else a span of time, some of them known under another name; and their degrees."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    null = F.lit(None).cast("string")
+    nodes = c.select(F.concat(F.lit("author:c"), k).alias("id"), F.lit("author").alias("type"), F.when(k % 4 == 0, "").otherwise(F.col("c_name")).alias("label"), null.alias("date"), null.alias("url"), F.lit(False).alias("in_corpus"), F.lit(False).alias("is_source"))
+    edges = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("weight")).select(F.concat(F.lit("doc:"), "c").alias("source"), F.concat(F.lit("author:c"), "c").alias("target"), F.lit("authored_by").alias("type"), "weight")
+    s = F.col("s_suppkey")
+    reigns = table(spark, sf, "supplier").where(s % 3 == 0).select(F.concat(F.lit("c"), s).alias("author_key"), s.cast("int").alias("ordinal"), F.concat(F.lit("Pontiff "), s).alias("display_name"), (s + 1000).cast("int").alias("reign_start"), F.when(s % 2 == 0, s + 1010).cast("int").alias("reign_end"), null.alias("profile_url"), null.alias("encyclopedia_url"))
+    p = F.col("p_partkey")
+    known = F.concat(F.lit("c"), p)
+    lives = table(spark, sf, "part").where(p % 3 != 0).select(known.alias("span_key"), F.lit("life").alias("kind"), p.cast("int").alias("start"), (p + 60).cast("int").alias("end"), F.when(p % 2 == 0, F.col("p_name")).otherwise("").alias("label"))
+    lives = lives.unionByName(table(spark, sf, "part").where(p % 5 == 1).select(F.concat(F.lit("x"), p).alias("span_key"), F.lit("life").alias("kind"), p.cast("int").alias("start"), (p + 60).cast("int").alias("end"), F.when(p % 2 == 0, F.col("p_name")).otherwise("").alias("label")))
+    others = c.where((k % 5 == 0) & (k % 3 != 0)).select(F.concat(F.lit("c"), k).alias("variant"), F.concat(F.lit("x"), k + 1).alias("span_key"))
+    found = graph.enrich(nodes, edges, reigns, lives, others)
+    return found.select("id", "degree", F.col("pontiff.ordinal_label").alias("ordinal"), "span.kind", F.col("span.start").alias("since"), F.col("span.end").alias("until"), "span.label")
+
+
+@query("""
+    WITH e AS (
+        SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'n' || l_suppkey % 60 ELSE 'm' || l_partkey % 60 END AS source, CASE WHEN l_linenumber % 2 = 0 THEN 'm' || l_partkey % 60 ELSE 'n' || l_suppkey % 60 END AS target,
+               CASE l_returnflag WHEN 'A' THEN 'cites' WHEN 'N' THEN 'authored_by' ELSE 'cites_scripture' END AS type, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
+    w AS (SELECT source, target, type, count(*) AS n, min(seq) AS seq FROM e GROUP BY ALL)
+    SELECT least(source, target) AS a, greatest(source, target) AS b, round(arg_max(CASE type WHEN 'cites' THEN 1.0 WHEN 'authored_by' THEN 0.4 ELSE 0.3 END::DOUBLE * (1 + 0.15::DOUBLE * (n - 1)), (seq, source, target, type)), 6) AS w FROM w GROUP BY ALL""")
+def pair_forces(spark, sf):
+    """Pairs with several edges, of several kinds and either way: the last edge's force."""
+    n, m = F.concat(F.lit("n"), F.col("l_suppkey") % 60), F.concat(F.lit("m"), F.col("l_partkey") % 60)
+    even = F.col("l_linenumber") % 2 == 0
+    kind = F.when(F.col("l_returnflag") == "A", "cites").when(F.col("l_returnflag") == "N", "authored_by").otherwise("cites_scripture")
+    touches = table(spark, sf, "lineitem").select(F.when(even, n).otherwise(m).alias("source"), F.when(even, m).otherwise(n).alias("target"), kind.alias("type"), F.lit(1).alias("n"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+    return graph.force_weights(graph.merge_edges(touches)).withColumn("w", F.round("w", 6))
