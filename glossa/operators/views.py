@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossa.functions import text as X
 from glossa.operators.graph import symmetric
+from glossa.sources.work import settle
 
 TIMELINE_HEIGHT, TIMELINE_WIDTH = 4200, 2400
 PITCH, LANE_PITCH = 28, 22
@@ -127,31 +131,56 @@ def bands(nodes: DataFrame, year_min: int, year_max: int) -> DataFrame:
     )
 
 
-def lanes(bands_: DataFrame) -> DataFrame:
-    """(id, kind, lane, zone): bands of a kind in the first lane that is free when they start; zones stack by kind.
+def packed(bands: DataFrame) -> DataFrame:
+    """(id, kind, lane): bands (id, kind, cs, ce, first_seq) in the first lane of their kind that is free when they start.
 
-    First fit is sequential; it is one fold over a kind's bands, which are as many as the curated spans.
+    Where all earlier bands have ended every lane is free, so a kind is cut there and the parts are packed apart, each as a sweep over sorted rows with a
+    heap of the lanes' ends and one of free lanes. The cuts come from a kind's distinct starting years.
     """
-    rows = bands_.where("not early")
-    order = F.array_sort(F.collect_list(F.struct("cs", "ce", "first_seq", "id")))
-    step = lambda acc, b: F.struct(
-        F.when(F.array_position(F.transform(acc["ends"], lambda e: e <= b["cs"]), F.lit(True)) > 0,
-               F.transform(acc["ends"], lambda e, i: F.when(i == F.array_position(F.transform(acc["ends"], lambda e: e <= b["cs"]), F.lit(True)) - 1, b["ce"]).otherwise(e)))
-        .otherwise(F.array_append(acc["ends"], b["ce"])).alias("ends"),
-        F.array_append(acc["out"], F.struct(b["id"].alias("id"), F.when(
-            F.array_position(F.transform(acc["ends"], lambda e: e <= b["cs"]), F.lit(True)) > 0,
-            F.array_position(F.transform(acc["ends"], lambda e: e <= b["cs"]), F.lit(True)).cast("int") - 1).otherwise(F.size(acc["ends"])).alias("lane"))).alias("out"),
-    )
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.array().cast("array<struct<id:string,lane:int>>").alias("out"))
-    folded = rows.groupBy("kind").agg(order.alias("b")).withColumn("f", F.aggregate("b", start, step))
-    depth = F.greatest(F.size("f.ends"), F.when(F.col("kind") == "council", 0).otherwise(1))
-    place = F.array_position(F.array(*[F.lit(z) for z in ZONES]), F.col("kind"))
+    by_year = bands.groupBy("kind", "cs").agg(F.max("ce").alias("ce"))
+    years = Window.partitionBy("kind").orderBy("cs")  # as many rows as years
+    latest = F.max("ce").over(years.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("cs") >= latest).cast("long"), F.lit(1))
+    parts = by_year.select("kind", "cs", cut.alias("cut")).withColumn("part", F.sum("cut").over(years)).drop("cut")
+    rows = bands.select("kind", "cs", "ce", "first_seq", "id").join(parts, ["kind", "cs"])
+    schema = StructType([bands.schema["id"], bands.schema["kind"], *StructType.fromDDL("lane int").fields])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, busy, free, lanes = None, [], [], 0
+        for batch in batches:
+            out = []
+            for part, cs, ce in zip(zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), strict=True), batch.column("cs").to_pylist(), batch.column("ce").to_pylist(), strict=True):
+                if part != now:
+                    now, busy, free, lanes = part, [], [], 0
+                while busy and busy[0][0] <= cs:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    lane = heapq.heappop(free)
+                else:
+                    lane, lanes = lanes, lanes + 1
+                heapq.heappush(busy, (ce, lane))
+                out.append(lane)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), pa.array(out, pa.int32())], names=["id", "kind", "lane"])
+
+    return rows.repartition("kind", "part").sortWithinPartitions("kind", "part", "cs", "ce", "first_seq", "id").mapInArrow(sweep, schema)
+
+
+def early(bands: DataFrame) -> DataFrame:
+    """(kind, rank, id, label, start, end) of the bands that end before the window, by start."""
+    order = Window.partitionBy("kind").orderBy("start", "end", "first_seq", "id")
+    return bands.where("early").select("kind", F.row_number().over(order).alias("rank"), "id", "label", "start", "end")
+
+
+def lanes(bands_: DataFrame) -> DataFrame:
+    """(id, kind, lane, zone): bands of a kind in the first lane that is free when they start; zones stack by kind."""
+    found = settle(packed(bands_.where("not early")), "lanes")
+    depth = found.groupBy("kind").agg((F.max("lane") + 1).alias("depth"))
     # Kinds without bands still take their least width, so all zones are laid out.
     spark = bands_.sparkSession
     zones = spark.createDataFrame([(z, i + 1, 0 if z == "council" else 1) for i, z in enumerate(ZONES)], "kind string, place int, least int")
-    sized = zones.join(folded.select("kind", "f", depth.alias("depth")), "kind", "left").withColumn("depth", F.coalesce("depth", "least"))
+    sized = zones.join(depth, "kind", "left").withColumn("depth", F.greatest(F.coalesce("depth", F.lit(0)), "least"))
     base = F.coalesce(F.sum("depth").over(Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # three rows
-    return sized.withColumn("zone", base).where("f is not null").select("kind", "zone", F.explode("f.out").alias("o")).select(F.col("o.id").alias("id"), "kind", F.col("o.lane").alias("lane"), F.col("zone").cast("int").alias("zone"))
+    return found.join(F.broadcast(sized.select("kind", base.cast("int").alias("zone"))), "kind").select("id", "kind", "lane", "zone")
 
 
 def node_radius(view: str, is_source: Column, type_: Column, degree: Column) -> Column:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glossa.operators import cite, graph, html, notes
+from glossa.operators import cite, graph, html, interact, notes, views
 from glossa.plans import rebuild
-from glossa.plans.catalog import CITES_SQL, DOCS_SQL, corpus, query, table
+from glossa.plans.catalog import CITES_SQL, DOCS_SQL, DRAWN_SQL, corpus, drawn, query, table
 from glossa.sources.work import settle, shared_path
 
 # --- notes that lean on the notes before them --------------------------------------------------------------------------------
@@ -313,3 +313,103 @@ def pair_forces(spark, sf):
     kind = F.when(F.col("l_returnflag") == "A", "cites").when(F.col("l_returnflag") == "N", "authored_by").otherwise("cites_scripture")
     touches = table(spark, sf, "lineitem").select(F.when(even, n).otherwise(m).alias("source"), F.when(even, m).otherwise(n).alias("target"), kind.alias("type"), F.lit(1).alias("n"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
     return graph.force_weights(graph.merge_edges(touches)).withColumn("w", F.round("w", 6))
+
+
+# --- what users do with the graph ----------------------------------------------------------------------------------------------
+
+_CLICKS = "SELECT c_custkey AS click, (c_custkey * 37 % 10000) / 10.0 AS x, (c_custkey * 53 % 7770) / 10.0 AS y FROM customer"
+
+
+def _clicks(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("click"), (k * 37 % 10000 / 10.0).alias("x"), (k * 53 % 7770 / 10.0).alias("y"))
+
+
+@query(f"""
+    WITH {DRAWN_SQL}, n AS (SELECT *, CASE WHEN type = 'author' THEN 3.5 + sqrt(degree) * 1.3 ELSE CASE WHEN is_source THEN 14 ELSE 3.2 END + sqrt(degree) * 1.5 END + 4 AS r FROM drawn),
+    m AS (SELECT click, id, first_seq, (n.x - c.x) * (n.x - c.x) + (n.y - c.y) * (n.y - c.y) AS d, r FROM ({_CLICKS}) c JOIN n ON abs(n.x - c.x) <= r AND abs(n.y - c.y) <= r)
+    SELECT click, arg_min(id, (d, first_seq, id)) AS id, round(min(d), 6)::DOUBLE AS d FROM m WHERE d <= r * r GROUP BY click""")
+def clicked_nodes(spark, sf):
+    """A table of clicks on the drawn graph, joined with nodes by cells."""
+    nodes = drawn(spark, sf).withColumns({"sx": F.col("x"), "sy": F.col("y"), "op": F.lit(1.0)})
+    return interact.nodes_at(nodes, _clicks(spark, sf)).select("click", "id", F.round("d", 6).alias("d"))
+
+
+@query(f"""
+    WITH b AS (SELECT 'o' || o_orderkey AS id, (o_orderkey * 31 % 1000)::DOUBLE AS x0, (o_orderkey * 31 % 1000 + o_custkey % 40)::DOUBLE AS x1, (o_orderkey * 17 % 777)::DOUBLE AS y0, (o_orderkey * 17 % 777 + o_custkey % 9)::DOUBLE AS y1, o_orderkey % 5000 AS seq FROM orders)
+    SELECT click, arg_min(id, (seq, id)) AS id FROM ({_CLICKS}) c JOIN b ON c.x BETWEEN x0 - 3 AND x1 + 3 AND c.y BETWEEN y0 AND y1 GROUP BY click""")
+def clicked_bands(spark, sf):
+    """The same clicks on bands, the first of several."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x, y = (k * 31 % 1000).cast("double"), (k * 17 % 777).cast("double")
+    rects = table(spark, sf, "orders").select(F.concat(F.lit("o"), k).alias("id"), x.alias("x0"), (x + c % 40).alias("x1"), y.alias("y0"), (y + c % 9).alias("y1"), (k % 5000).alias("seq"))
+    return interact.bands_at(rects, _clicks(spark, sf))
+
+
+@query("""
+    SELECT o_orderkey, greatest(-1440.0, least(1440.0, (o_orderkey * 7 % 4000 - 2000)::DOUBLE)) AS x, greatest(-2220.0, least(2220.0, (o_orderkey * 11 % 6000 - 3000)::DOUBLE)) AS y,
+           round(greatest(800 / (4200 * 1.25::DOUBLE), least(6.0, (o_orderkey % 100)::DOUBLE / 10)), 9)::DOUBLE AS scale, (o_orderkey * 7 % 4000 - 2000)::DOUBLE AS free_x,
+           CASE WHEN length(o_comment) <= o_orderkey % 30 THEN o_comment WHEN o_orderkey % 30 >= 2 THEN o_comment[:o_orderkey % 30 - 1] || '…' ELSE '' END AS label
+    FROM (SELECT *, o_orderpriority || ' ' || o_orderkey || ' of ' || o_custkey AS o_comment FROM orders)""")
+def cameras(spark, sf):
+    """Cameras held within the timeline, and left alone where all may be looked at; and labels cut to a width."""
+    k = F.col("o_orderkey")
+    x, y, scale = (k * 7 % 4000 - 2000).cast("double"), (k * 11 % 6000 - 3000).cast("double"), k % 100 / 10.0
+    held, free = (interact.clamp_camera(v, x, y, scale, F.lit(1200.0), F.lit(800.0)) for v in ("timeline", "explore"))
+    text = F.concat_ws(" ", "o_orderpriority", k, F.lit("of"), "o_custkey")
+    return table(spark, sf, "orders").select("o_orderkey", held["x"].alias("x"), held["y"].alias("y"), F.round(held["scale"], 9).alias("scale"), free["x"].alias("free_x"), interact.fit_text(text, k % 30).alias("label"))
+
+
+_SHIFT = "list_sort(CASE WHEN list_contains({0}, id) THEN list_filter({0}, lambda v: v <> id) ELSE list_append({0}, id) END)"
+
+
+@query(f"""
+    WITH RECURSIVE e AS (
+        SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS session, event_id AS seq,
+               CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'toggle' WHEN 'signup' THEN 'pin' WHEN 'purchase' THEN 'kind' ELSE CASE event_id % 9 WHEN 0 THEN 'clear' WHEN 1 THEN 'reset' ELSE 'filter' END END AS action
+        FROM events),
+    c AS (SELECT *, CASE WHEN action IN ('toggle', 'pin') THEN CASE WHEN action = 'pin' OR seq % 50 > 0 THEN 'n' || (seq * 7 + seq // 11) % 6 END WHEN action IN ('kind', 'filter') THEN (['author', 'document', 'scripture', 'source'])[seq % 4 + 1] END AS id FROM e),
+    n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS i, coalesce(action IN ('clear', 'reset') OR (action = 'toggle' AND id IS NULL), false) AS clears FROM c),
+    r(session, i, seq, sel, det, kinds, filters) AS (
+        SELECT DISTINCT session, 0::BIGINT, NULL::BIGINT, []::VARCHAR[], NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[] FROM n
+        UNION ALL
+        SELECT session, i, seq, sel2, det2, CASE WHEN clears OR det2 IS DISTINCT FROM det THEN [] WHEN action = 'kind' THEN {_SHIFT.format("kinds")} ELSE kinds END,
+               CASE action WHEN 'reset' THEN [] WHEN 'filter' THEN {_SHIFT.format("filters")} ELSE filters END
+        FROM (
+            SELECT r.session, n.i, n.seq, n.action, n.id, n.clears, r.kinds, r.filters, r.det,
+                   CASE WHEN clears THEN [] WHEN action = 'toggle' AND list_contains(r.sel, n.id) THEN list_filter(r.sel, lambda v: v <> n.id) WHEN action IN ('toggle', 'pin') AND NOT list_contains(r.sel, n.id) THEN list_append(r.sel, n.id) ELSE r.sel END AS sel2,
+                   CASE WHEN clears THEN NULL WHEN action = 'toggle' AND list_contains(r.sel, n.id) THEN list_filter(r.sel, lambda v: v <> n.id)[-1] WHEN action IN ('toggle', 'pin') THEN n.id ELSE r.det END AS det2
+            FROM r JOIN n ON n.session = r.session AND n.i = r.i + 1)
+    )
+    SELECT session, seq, array_to_string(sel, ',') AS selected, det AS detail, array_to_string(kinds, ',') AS kinds, array_to_string(filters, ',') AS filters FROM r WHERE i > 0""")
+def click_states(spark, sf):
+    """Events as clicks: what is selected, inspected and filtered after each of them, one session with a third of all clicks."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    action = F.when(kind.isin("click", "view"), "toggle").when(kind == "signup", "pin").when(kind == "purchase", "kind").when(k % 9 == 0, "clear").when(k % 9 == 1, "reset").otherwise("filter")
+    rows = table(spark, sf, "events").select(F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("session"), k.alias("seq"), action.alias("action"))
+    node = F.when((F.col("action") == "pin") | (F.col("seq") % 50 > 0), F.concat(F.lit("n"), (F.col("seq") * 7 + F.floor(F.col("seq") / 11)) % 6))
+    category = F.element_at(F.array(*map(F.lit, ("author", "document", "scripture", "source"))), (F.col("seq") % 4 + 1).cast("int"))
+    rows = rows.withColumn("id", F.when(F.col("action").isin("toggle", "pin"), node).when(F.col("action").isin("kind", "filter"), category))
+    found = interact.selections(rows, size=512)
+    return found.select("session", "seq", *[F.array_join(c, ",").alias(c) for c in ("selected", "kinds", "filters")], "detail")
+
+
+_BANDS = """SELECT 'o' || o_orderkey AS id, (['reign', 'life', 'council'])[o_orderkey % 3 + 1] AS kind, (1000 + o_orderkey * 7 % 997)::INTEGER AS cs, (1000 + o_orderkey * 7 % 997 + o_custkey % 30)::INTEGER AS ce, o_orderkey AS first_seq FROM orders"""
+
+
+@query(f"""
+    WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cs, ce, first_seq, id) AS i FROM ({_BANDS})),
+    r(kind, i, id, lane, ends) AS (
+        SELECT DISTINCT kind, 0::BIGINT, NULL::VARCHAR, NULL::INTEGER, []::INTEGER[] FROM b
+        UNION ALL
+        SELECT kind, i, id, (CASE WHEN f = 0 THEN len(ends) ELSE f - 1 END)::INTEGER, CASE WHEN f = 0 THEN list_append(ends, ce) ELSE ends[:f - 1] || [ce] || ends[f + 1:] END
+        FROM (SELECT b.kind, b.i, b.id, b.ce, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: e <= b.cs), true), 0) AS f FROM r JOIN b ON b.kind = r.kind AND b.i = r.i + 1)
+    )
+    SELECT id, kind, lane FROM r WHERE i > 0""")
+def band_lanes(spark, sf):
+    """The lane of every band, thousands of them a kind."""
+    k = F.col("o_orderkey")
+    cs = (1000 + k * 7 % 997).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, ("reign", "life", "council"))), (k % 3 + 1).cast("int"))
+    bands = table(spark, sf, "orders").select(F.concat(F.lit("o"), k).alias("id"), kind.alias("kind"), cs.alias("cs"), (cs + F.col("o_custkey") % 30).cast("int").alias("ce"), k.alias("first_seq"))
+    return views.packed(bands)
