@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glossa.operators import cite, graph, html, interact, notes, views
 from glossa.plans import rebuild
 from glossa.plans.catalog import CITES_SQL, DOCS_SQL, DRAWN_SQL, corpus, drawn, query, table
+from glossa.sources import pages
 from glossa.sources.work import settle, shared_path
 
 # --- notes that lean on the notes before them --------------------------------------------------------------------------------
@@ -413,3 +414,26 @@ def band_lanes(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("reign", "life", "council"))), (k % 3 + 1).cast("int"))
     bands = table(spark, sf, "orders").select(F.concat(F.lit("o"), k).alias("id"), kind.alias("kind"), cs.alias("cs"), (cs + F.col("o_custkey") % 30).cast("int").alias("ce"), k.alias("first_seq"))
     return views.packed(bands)
+
+
+# --- the graph as one document, written and read again -------------------------------------------------------------------------
+
+
+@query("""
+    SELECT 'edge' AS part, 'o' || o_orderkey AS id, 'c' || o_custkey AS other, o_orderkey % 9 + 1 AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 13 > 0)
+    UNION ALL SELECT 'node', 'o' || o_orderkey, 'A "title" {of}, [sorts] ' || o_orderkey, o_orderkey % 97 FROM orders
+    UNION ALL SELECT 'node', 'c' || c_custkey, c_name, c_custkey % 97 FROM customer WHERE c_custkey % 13 > 0
+    UNION ALL SELECT 'meta', 'orders', 'customers', (SELECT count(*) FROM orders)""")
+def document_round_trip(spark, sf):
+    """Orders and customers as a graph document that is written and read again; edges to customers that are no nodes drop out."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    k = F.col("o_orderkey")
+    nodes = o.select(F.concat(F.lit("o"), k).alias("id"), F.concat(F.lit('A "title" {of}, [sorts] '), k).alias("label"), (k % 97).alias("degree"), k.alias("first_seq"))
+    nodes = nodes.unionByName(c.where("c_custkey % 13 > 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("label"), (F.col("c_custkey") % 97).alias("degree"), (F.col("c_custkey") + (1 << 40)).alias("first_seq")))
+    edges = o.select(F.concat(F.lit("o"), k).alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"), F.lit("authored_by").alias("type"), (k % 9 + 1).alias("weight"), k.alias("first_seq"))
+    path = shared_path(spark, "graph.json")
+    pages.write_document({"nodes": nodes, "edges": edges, "meta": o.agg(F.count("*").alias("documents"))}, path)
+    found = pages.read_document(spark, path)
+    row = lambda df, part, id_, other, n: df.select(F.lit(part).alias("part"), id_.alias("id"), other.alias("other"), n.cast("long").alias("n"))
+    n = F.col
+    return row(found["edges"], "edge", n("source"), n("target"), n("weight")).unionByName(row(found["nodes"], "node", n("id"), n("label"), n("degree"))).unionByName(row(found["meta"], "meta", F.lit("orders"), F.lit("customers"), n("documents")))

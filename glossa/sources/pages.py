@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa import dims
 from glossa.functions import url as U
+from glossa.sources.work import settle
 
 RAW = "doc_ord int, is_source boolean, url string, html string"
 
@@ -67,6 +72,70 @@ def write_document(graph: dict[str, DataFrame], path: str) -> None:
     rows.repartition(1).sortWithinPartitions("part", "o", "value").select("part", "value").mapInArrow(commas, "value string").write.mode("overwrite").text(path)
 
 
+#: The parts of a graph document, as a page loads it.
+DOCUMENT = {
+    "meta": "documents long, in_corpus long, authors long, scripture long, edges long",
+    "nodes": "id string, type string, label string, title string, author string, author_key string, doc_type string, url string, date string, cite string, book string, testament string, ord int, name string, "
+    "in_corpus boolean, is_source boolean, year int, degree long, x double, y double, span struct<kind:string,start:int,end:int,label:string>, "
+    "pontiff struct<ordinal:int,ordinal_label:string,display_name:string,reign_label:string,reign_start:int,reign_end:int,profile_url:string,encyclopedia_url:string>",
+    "edges": "source string, target string, type string, weight long",
+}
+
+
+def _elements(text: str) -> Iterator[tuple[str, str]]:
+    """(name, JSON) of a document's members, in order: each element of a member that is a list, the whole of another. Nothing but the element at hand is parsed."""
+    parse, blank = json.JSONDecoder().raw_decode, re.compile(r"[\s,:]*")
+    at = blank.match(text, text.index("{") + 1).end()
+    while text[at] != "}":
+        name, at = parse(text, at)
+        at = blank.match(text, at).end()
+        inside = text[at] == "["
+        at = blank.match(text, at + inside).end()
+        while not inside or text[at] != "]":
+            start = at
+            _, at = parse(text, at)
+            yield name, text[start:at]
+            at = blank.match(text, at).end()
+            if not inside:
+                break
+        at = blank.match(text, at + inside).end()
+
+
+def read_document(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a graph document, whoever wrote it; edges with an end that is no node are left out. Members that ``schemas`` doesn't name are passed over.
+
+    A document is one text and is cut into its elements in one task, by its nature; these leave it in batches and are parsed by whichever task gets them.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("value"):
+                out: list[tuple[str, int, str]] = []
+                for seq, (name, element) in enumerate(_elements(text.as_py())):
+                    out.append((name, seq, element))
+                    if len(out) == 1000:
+                        yield _rows(out)
+                        out = []
+                yield _rows(out)
+
+    schemas = schemas or DOCUMENT
+    # Part files of one document are one text.
+    lines = spark.read.text(path, wholetext=True).select(F.struct(F.input_file_name().alias("f"), "value").alias("v"))
+    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda x: x["value"]), "").alias("value"))
+    elements = settle(whole.mapInArrow(cut, "part string, seq long, value string"), "document")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda name: elements.where(F.col("part") == name).repartition(n).select(F.from_json("value", schemas[name]).alias("e"), F.col("seq").alias("first_seq"))
+    out = {name: of(name).select("e.*", *(["first_seq"] if name != "meta" else [])) for name in schemas}
+    ids = out["nodes"].select("id")
+    for end in ("source", "target"):
+        out["edges"] = out["edges"].join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return out
+
+
+def _rows(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["part", "seq", "value"])
+
+
 def write_graph(graph: dict[str, DataFrame], path: str) -> None:
     """nodes, edges and meta as Parquet tables, and as JSON lines for a page to load."""
     for name, df in graph.items():

@@ -245,3 +245,17 @@ def test_numerals_are_written_again(spark):
     shown = ["I", "IIII", "IX", "VX", "XL", "MCMXCIX", "MMMM", "MMMMM", "IC", "XVI", "", "A", "i"]
     rows = spark.createDataFrame([(x,) for x in shown], "w string").select("w", X.is_numeral(F.col("w")).alias("ok")).collect()
     assert {r.w for r in rows if r.ok} == {"I", "IX", "XL", "MCMXCIX", "MMMM", "XVI"}
+
+
+def test_documents_of_other_writers_are_read(spark, tmp_path):
+    import json
+
+    assert list(sources._elements('{"a": [1, {"b": [2]}, "x]"],"c":{"d":"}"} , "e":[] }')) == [("a", "1"), ("a", '{"b": [2]}'), ("a", '"x]"'), ("c", '{"d":"}"}')]
+    assert list(sources._elements("{}")) == []
+    nodes = [{"id": "a", "type": "document", "label": "A, {b}", "year": 1900, "span": {"kind": "life", "start": 1, "end": None, "label": "L"}, "unknown": [1]}, {"id": "b", "type": "author", "degree": 3}]
+    edges = [{"source": "a", "target": "b", "type": "cites", "weight": 2}, {"source": "a", "target": "gone", "type": "cites", "weight": 1}]
+    (tmp_path / "graph.json").write_text(json.dumps({"meta": {"documents": 1}, "more": [1, 2], "nodes": nodes, "edges": edges}, indent=1))
+    found = sources.read_document(spark, str(tmp_path / "graph.json"))
+    assert [(r.id, r.label, r.year, r.degree) for r in found["nodes"].orderBy("first_seq").collect()] == [("a", "A, {b}", 1900, None), ("b", None, None, 3)]
+    assert [tuple(r)[:4] for r in found["edges"].select("source", "target", "type", "weight").collect()] == [("a", "b", "cites", 2)]
+    assert found["meta"].first()["documents"] == 1
