@@ -10,9 +10,10 @@ blocks of ``BLOCK`` with running minima, which bounds the memory and leaves the
 ``with_next`` pairs each document with the next one by id without gathering the table: ids are cut at quantiles into
 ranges, each range is one task, and the first row of a range is also sent to the range before.
 
-Defined cases: a null or empty text has the fingerprint of zeros (likeness 1 to another empty one, 0 to the rest); rows
-of equal id follow each other by text; null ids come first; a single document is its own successor; an empty
-table gives an empty result; other columns are not read.
+Defined cases: a null or empty text has the fingerprint of zeros (likeness 1 to another empty one, 0 to the rest); a very long text is worked in
+blocks; rows of equal id follow each other by text; ids may be of any type that sorts - those that are no whole numbers are numbered first - and null ids
+come first; different k-mers of equal 64-bit hashes count as one; a single document is its own successor; an empty table gives an empty result; other
+columns are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
-from glossa.llm.common import mix, partitions, result_schema, span_hashes
+from glossa.llm.common import mix, partitions, result_schema, settle, span_hashes
 
 K, TUPLE, SKETCHES, BLOCK = 8, 2, 64, 1024
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -120,6 +121,15 @@ def _task_keys(spark, n: int) -> list[int]:
     return [found[t] for t in range(n) if t in found]
 
 
+def _numbers(ids: DataFrame, n: int) -> DataFrame:
+    """(_id, _ord) of the distinct ids that are not null, numbered in their order: sorted in ranges, with the sizes of the ranges before added."""
+    ids = ids.where(F.col("_id").isNotNull()).distinct().repartitionByRange(n, "_id").sortWithinPartitions("_id")
+    ids = settle(ids.select("_id", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k")), "fingerprint-ids")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    starts = ids.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ids.join(F.broadcast(starts), "_p").select("_id", (F.col("_start") + F.col("_k")).alias("_ord"))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """Rows (_range, _after, _ord, id, text) dealt so that each task holds whole ranges of ids in order.
 
@@ -128,7 +138,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     spark = docs.sparkSession
     n = tasks or partitions(spark)
     least = F.lit(-(2**63))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("_ord"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        rows = rows.withColumn("_ord", F.coalesce(F.col("_id").cast("long"), least))
+    else:
+        rows = rows.join(_numbers(rows.select("_id"), n), "_id", "left").withColumn("_ord", F.coalesce("_ord", least))
+    rows = rows.select("_ord", "_id", "_text")
     cuts = rows.agg(F.percentile_approx("_ord", [i / n for i in range(1, n)] or [0.5], 10000).alias("c")).first()["c"] or []
     edges = np.unique(np.array(cuts, dtype=np.int64))
     keys = np.array(_task_keys(spark, n), dtype=np.int64)
@@ -171,6 +186,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = with_next(docs, id_col, text_col)
 
+    added = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = result_schema(StructType([docs.schema[id_col]]), added)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its successor: range, id, text, sketches
         for batch in batches:
@@ -187,11 +205,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     held = None
                 if not after:
                     held = (r, i, text, mine)
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=pa.schema(fields))
+            kinds = (batch.schema.field("_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=schema.names)
         assert held is None, "a range without its end"
 
-    id_type = docs.schema[id_col].dataType
-    fields = [(id_col, pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-    added = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    schema = result_schema(StructType.fromDDL(f"`{id_col}` long"), added)
-    return rows.mapInArrow(run, schema).withColumn(id_col, F.col(id_col).cast(id_type))
+    return rows.mapInArrow(run, schema)
