@@ -83,29 +83,38 @@ class Span:
 def locate(template: Callable[[Sequence[Turn]], str], turns: Sequence[Turn]) -> tuple[str, list[Span], int]:
     """The whole output, each turn's span in it, and how many times a further turn rewrote what stood before."""
     before, spans, rewrites = template([]) if turns else template(turns), [], 0
-    ok = True
+    ok, probe = True, probe_for(turns)
     for k, (role, _) in enumerate(turns):
         output = template(turns[: k + 1])
         if output.startswith(before):
-            probed = template([*turns[:k], (role, PROBE)])
-            head = probed.find(PROBE, len(before))
-            tail = len(probed) - head - len(PROBE)
+            probed = template([*turns[:k], (role, probe)])
+            head = probed.find(probe, len(before))
+            tail = len(probed) - head - len(probe)
             spans.append(Span(len(before), len(output), head, len(output) - tail) if head >= 0 else Span(len(before), len(output), -1, -1))
         else:
             rewrites, ok = rewrites + 1, False
             spans.append(Span(-1, -1, -1, -1))
         before = output
     if not ok:
-        spans = [_by_probe(template, turns, k, before) for k in range(len(turns))]
+        spans = [_by_probe(template, turns, k, before, probe) for k in range(len(turns))]
     return before, spans, rewrites
 
 
-def _by_probe(template, turns: Sequence[Turn], k: int, output: str) -> Span:
-    probed = template([*turns[:k], (turns[k][0], PROBE), *turns[k + 1 :]])
-    head = probed.find(PROBE)
-    if head < 0 or probed.find(PROBE, head + 1) >= 0:
+def probe_for(turns: Sequence[Turn]) -> str:
+    """A text that stands in no role and no text of ``turns``."""
+    said, probe, n = "\n".join(f"{role}\n{text}" for role, text in turns), PROBE, 0
+    while probe in said:
+        n += 1
+        probe = f"{PROBE[:-1]}{n}{PROBE[-1]}"
+    return probe
+
+
+def _by_probe(template, turns: Sequence[Turn], k: int, output: str, probe: str) -> Span:
+    probed = template([*turns[:k], (turns[k][0], probe), *turns[k + 1 :]])
+    head = probed.find(probe)
+    if head < 0 or probed.find(probe, head + 1) >= 0:
         return Span(-1, -1, -1, -1)
-    tail = probed[head + len(PROBE) :]
+    tail = probed[head + len(probe) :]
     end = len(output) - len(tail)
     if end < head or output[:head] != probed[:head] or output[end:] != tail:
         return Span(-1, -1, -1, -1)

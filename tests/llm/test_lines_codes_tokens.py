@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from glossa.llm import line_quality, queries, token_align, vector_codes
+from glossa.llm import chat_format, fingerprint, line_quality, queries, token_align, vector_codes
 from glossa.llm.common import raw
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +227,21 @@ def test_word_cuts_leave_white_space_of_any_kind_alone():
     at, plain = token_align.word_cuts(data, offsets[:-1])
     pieces = [bytes(data[p:q]).decode() for p, q in zip(at, [*at[1:], len(data)], strict=True)]
     assert pieces == [" ab", " cd", "  x", " y\t z　 w"] and plain.tolist() == [True, True, False, True]
+
+
+def test_fingerprints_of_text_ids_follow_their_order(spark):
+    texts = ["alpha beta gamma delta", None, "alpha beta gamma epsilon", "", "zeta eta theta iota kappa", "alpha beta gamma delta"]
+    numbers = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    named = spark.createDataFrame([(f"d{k}" if k else None, t) for k, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    expected = {(f"d{r[0]}" if r[0] else None, *r[1:]) for r in map(tuple, fingerprint.edited_fingerprints(numbers).collect())}
+    assert set(map(tuple, fingerprint.edited_fingerprints(named).collect())) == expected
+    assert fingerprint.edited_fingerprints(named.where("false")).count() == 0
+
+
+def test_a_probe_that_a_conversation_holds_is_not_taken():
+    turns = [("user" + chat_format.PROBE, "hi"), ("assistant", chat_format.PROBE[:-1] + "1" + chat_format.PROBE[-1])]
+    output, spans, rewrites = chat_format.locate(chat_format.TurnTemplate(), turns)
+    assert rewrites == 0 and [output[s.text_start : s.text_end] for s in spans] == [t for _, t in turns]
+    told = lambda turns: "".join(f"<{r}>{t}" for r, t in turns) + f" of {len(turns)}"  # noqa: E731  it rewrites its end
+    output, spans, rewrites = chat_format.locate(told, turns)
+    assert rewrites and [output[s.text_start : s.text_end] for s in spans] == [t for _, t in turns]
