@@ -1,4 +1,4 @@
-"""Commands: ``python -m glossa build|parse|frontier|validate|search ...``, over Parquet pages (doc_ord, is_source, url, html)."""
+"""Commands: ``python -m glossa build|update|parse|frontier|validate|search ...``, over Parquet pages (doc_ord, is_source, url, html)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from glossa import dims
 from glossa.operators import graph, views
-from glossa.plans import build
+from glossa.plans import build, rebuild
 from glossa.sources import pages as sources
 
 
@@ -28,6 +28,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             c.add_argument("--no-recurse", action="store_true", help="seeds only")
             c.add_argument("--no-layout", action="store_true", help="nodes without places")
             c.add_argument("--centre", default=None, help="the node in the middle")
+    c = commands.add_parser("update", help="a store of parsed pages up to date, and its graph; only changed pages are parsed")
+    c.add_argument("pages")
+    c.add_argument("store")
+    c.add_argument("out")
+    c.add_argument("--keep", action="store_true", help="stored pages that aren't given stay")
     c = commands.add_parser("validate", help="curated pontiffs that an index page doesn't link to")
     c.add_argument("index")
     c.add_argument("--pattern", default=r"holy-father/([a-z0-9-]+)\.html")
@@ -43,9 +48,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sources.write_graph({k: out[k] for k in ("nodes", "edges", "meta")}, args.out)
         sources.write_document(out, f"{args.out}/graph.json")
         print(_report(out["meta"].first()))
+    elif args.command == "update":
+        done = rebuild.update(spark, args.store, spark.read.parquet(args.pages), whole=not args.keep)
+        print(", ".join(f"{v} {k}" for k, v in done.items()))
+        out = rebuild.graph_of(spark, args.store)
+        sources.write_graph(out, args.out)
+        print(_report(out["meta"].first()))
     elif args.command == "parse":
-        for name, df in build.parse(spark.read.parquet(args.pages)).items():
+        parsed = build.parse(spark.read.parquet(args.pages))
+        for name, df in parsed.items():
             sources.write_json(df, f"{args.out}/{name}")
+        sources.write_json(build.records(parsed), f"{args.out}/records")
     elif args.command == "frontier":
         parsed = build.parse(spark.read.parquet(args.pages))
         found = graph.frontier(parsed["documents"], parsed["citations"]).orderBy("seq").select("doc_key", "url")

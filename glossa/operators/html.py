@@ -1,21 +1,23 @@
-"""A lexer for pages, in built-in expressions: tokens, blocks, links, italics, metadata.
+"""A lenient lexer for pages: tokens, blocks, links, italics, metadata.
 
-``tokens`` is the one wide operator: a row for each tag and text run, numbered in page order, with the paragraph it is in. All
-later operators read only the columns they need of it.
+``tokens`` is the one wide operator: a row for each tag and text run, numbered in page order, with the paragraph, link and italic it is in. A page's tokens
+are numbered where it is read, so no later operator sorts or shuffles them to find out where they stand; all read only the columns they need.
 """
 
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossa.functions import text as X
 from glossa.functions import url as U
 
-LEX = r"<[^>]+>|[^<]+"
 BLOCKS = ["p", "div", "td", "tr", "table", "li", "ul", "ol", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "body", "article", "footer", "nav"]
 
 
@@ -29,32 +31,102 @@ def decode(text: Column) -> Column:
     return F.when(text.contains("&"), unescape(text)).otherwise(text)
 
 
-def hide(page: Column) -> Column:
-    """A page without comments, scripts and styles."""
-    return F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_ATTRS = re.compile(r"<[a-zA-Z][a-zA-Z0-9]*\s+(.*?)/?>\Z", re.DOTALL)
+_UNSEEN = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+
+
+def lex(page: str) -> Iterator[tuple[str | None, str]]:
+    """A page's tags (name, raw) and texts (None, text) in order. Comments, scripts and styles are left out, a "<" that opens nothing is text.
+
+    What is not closed in the rest of the page is looked for once, so a page takes time in proportion to its length.
+    """
+    at, size, text, gone = 0, len(page), [], set()
+
+    def close(sign: str) -> int:
+        found = -1 if sign in gone else page.find(sign, at)
+        if found < 0:
+            gone.add(sign)
+        return found
+
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            text.append(page[at:])
+            break
+        if start > at:
+            text.append(page[at:start])
+        at = start
+        if page.startswith("<!--", at) and (end := close("-->")) >= 0:
+            at = end + 3
+            continue
+        after = page[at + 1 : at + 2]
+        if not (after in ("/", "!", "?") or after.isascii() and after.isalpha()) or (end := close(">")) < 0:
+            text.append("<")
+            at += 1
+            continue
+        raw, at = page[at : end + 1], end + 1
+        found = _NAME.match(raw)
+        name = found[1].lower() if found else ""
+        if name in _UNSEEN and raw[1] != "/" and name not in gone:
+            if shut := _UNSEEN[name].search(page, at):
+                at = shut.end()
+                continue
+            gone.add(name)
+        if whole := "".join(text):
+            yield None, whole
+        text = []
+        yield name, raw
+    if whole := "".join(text):
+        yield None, whole
 
 
 def tokens(pages: DataFrame, key: str = "url", page: str = "html") -> DataFrame:
-    """(key, seq, kind 'tag' or 'text', tag, closing, attrs, text, block) of each token; ``block`` counts paragraph starts, 0 outside.
+    """(key, seq, kind 'tag' or 'text', tag, closing, attrs, text, block, anchor, italic, titled) of each token.
 
-    A paragraph ends at its end tag, at the next block-level tag and at the page's end.
+    ``block`` counts paragraph starts, 0 outside: a paragraph ends at its end tag, at the next block-level tag and at the page's end. ``anchor`` and
+    ``italic`` count the tags of links and italics so far, start and end; ``titled`` texts follow a title's start.
     """
-    rows = pages.select(key, F.posexplode(F.regexp_extract_all(hide(F.coalesce(page, F.lit(""))), F.lit(LEX), F.lit(0))).alias("seq", "raw"))
-    is_tag = F.col("raw").rlike("^<[a-zA-Z/!?]")
-    rows = rows.select(
-        key, "seq", F.when(is_tag, "tag").otherwise("text").alias("kind"),
-        F.when(is_tag, F.lower(F.regexp_extract("raw", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))).alias("tag"),
-        F.col("raw").startswith("</").alias("closing"),
-        F.when(is_tag, F.regexp_extract("raw", r"(?s)^<[a-zA-Z][a-zA-Z0-9]*\s+(.*?)/?>$", 1)).alias("attrs"),
-        F.when(~is_tag, F.col("raw")).alias("text"),
-    )
-    opens = (F.col("tag") == "p") & ~F.col("closing")
-    ends = F.col("tag").isin(BLOCKS) & ~opens
-    in_page = Window.partitionBy(key).orderBy("seq")
-    rows = rows.withColumn("_start", F.sum(F.coalesce(opens.cast("int"), F.lit(0))).over(in_page))
-    inside = Window.partitionBy(key, "_start").orderBy("seq")
-    closed = F.sum(F.coalesce(ends.cast("int"), F.lit(0))).over(inside)
-    return rows.withColumn("block", F.when(closed > 0, 0).otherwise(F.col("_start"))).drop("_start")
+    base = pages.select(F.col(key).alias("_key"), F.col(page).alias("_page"))
+    columns = "seq int, kind string, tag string, closing boolean, attrs string, text string, block long, anchor long, italic long, titled boolean"
+    schema = StructType([*base.select(F.col("_key").alias(key)).schema.fields, *StructType.fromDDL(columns).fields])
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    ends = frozenset(BLOCKS)
+
+    def of_page(text: str) -> Iterator[tuple]:
+        block = anchor = italic = 0
+        inside, before = False, None
+        for seq, (name, raw) in enumerate(lex(text)):
+            if name is None:
+                yield seq, "text", None, False, None, raw, block if inside else 0, anchor, italic, before == ("title", False)
+                continue
+            closing = raw.startswith("</")
+            if name == "p" and not closing:
+                block, inside = block + 1, True
+            elif name in ends:
+                inside = False
+            anchor, italic, before = anchor + (name == "a"), italic + (name == "i"), (name, closing)
+            found = _ATTRS.match(raw)
+            yield seq, "tag", name, closing, found[1] if found else "", None, block if inside else 0, anchor, italic, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owners = [], []
+
+            def full(keys: pa.Array) -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)  # noqa: B023
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)  # noqa: B023
+
+            for k, text in enumerate(batch.column("_page")):
+                for token in of_page(text.as_py() or ""):
+                    rows.append(token)
+                    owners.append(k)
+                    if len(rows) == 20_000:
+                        yield full(batch.column("_key"))
+                        rows.clear(), owners.clear()
+            yield full(batch.column("_key"))
+
+    return base.mapInArrow(run, schema)
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -74,10 +146,8 @@ def page_text(tokens_: DataFrame, key: str = "url") -> DataFrame:
 
 def links(tokens_: DataFrame, key: str = "url") -> DataFrame:
     """(key, block, seq, href, name, text) of every anchor, with the text up to its end tag."""
-    in_page = Window.partitionBy(key).orderBy("seq")
     opens = (F.col("tag") == "a") & ~F.col("closing")
-    rows = tokens_.withColumn("_a", F.sum(F.when(F.col("tag") == "a", 1).otherwise(0)).over(in_page))
-    parts = rows.groupBy(key, "_a").agg(
+    parts = tokens_.groupBy(key, "anchor").agg(
         F.min(F.when(opens, F.struct("seq", "block", "attrs"))).alias("o"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("seq", "text")))).alias("t"),
     )
@@ -101,14 +171,11 @@ def meta(tokens_: DataFrame, key: str = "url") -> DataFrame:
     named = lambda kind, value: tag("meta") & (F.lower(attribute(a, kind)) == value)
     first = lambda cond, value: F.min(F.when(cond & value.isNotNull(), F.struct("seq", value.alias("v"))))["v"]
     content = X.strip(attribute(a, "content"))
-    in_page = Window.partitionBy(key).orderBy("seq")
-    rows = tokens_.withColumn("_t", F.last(F.when(F.col("kind") == "tag", F.struct("tag", "closing")), ignorenulls=True).over(in_page))
-    title = (F.col("kind") == "text") & (F.col("_t.tag") == "title") & ~F.col("_t.closing")
-    out = rows.groupBy(key).agg(
+    out = tokens_.groupBy(key).agg(
         first(tag("link") & (F.lower(attribute(a, "rel")) == "canonical"), attribute(a, "href")).alias("canonical"),
         first(named("property", "og:url"), content).alias("og_url"),
         F.coalesce(first(named("name", "description"), content), first(named("property", "og:description"), content)).alias("description"),
-        first(title, F.col("text")).alias("raw_title"),
+        first(F.col("titled"), F.col("text")).alias("raw_title"),
     )
     return out.withColumn("raw_title", X.squeeze(decode(F.coalesce("raw_title", F.lit(""))))).withColumn("description", decode(F.col("description")))
 

@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossa.functions import text as X
 from glossa.functions import url as U
@@ -216,7 +217,7 @@ def legacy_notes(pages: DataFrame, key: str = "url", page: str = "html") -> Data
             cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *cols], names=[key, "note_seq", "number", "note_html"])
 
-    return rows.mapInArrow(run, f"{key} string, note_seq int, number int, note_html string")
+    return rows.mapInArrow(run, StructType([rows.schema[key], *StructType.fromDDL("note_seq int, number int, note_html string").fields]))
 
 
 def choose(found: dict[str, DataFrame], key: str = "url") -> DataFrame:
@@ -258,16 +259,13 @@ def features(pages: DataFrame, notes: DataFrame, tokens: DataFrame, key: str = "
     parts = F.array_sort(F.collect_list(F.when(run, F.struct("seq", "text"))))
     texts = rows.groupBy(*by).agg(parts.alias("t")).select(*by, X.squeeze(H.decode(F.array_join(F.transform("t", lambda x: X.strip(x["text"])), " "))).alias("text"))
     # Anchors and italics with the text up to their end tags.
-    note = Window.partitionBy(*by).orderBy("seq")
-    mark = lambda tag: F.sum(F.when(F.col("tag") == tag, 1).otherwise(0)).over(note)
-    rows = rows.withColumn("_a", mark("a")).withColumn("_i", mark("i"))
     opens = lambda tag: (F.col("tag") == tag) & ~F.col("closing")
     joined = X.squeeze(H.decode(F.array_join(F.transform("t", lambda x: X.strip(x["text"])), " ")))
-    anchors = rows.groupBy(*by, "_a").agg(F.min(F.when(opens("a"), F.struct("seq", "attrs"))).alias("o"), parts.alias("t")).where("o is not null")
+    anchors = rows.groupBy(*by, "anchor").agg(F.min(F.when(opens("a"), F.struct("seq", "attrs"))).alias("o"), parts.alias("t")).where("o is not null")
     anchors = anchors.select(*by, F.col("o.seq").alias("seq"), H.attribute(F.col("o.attrs"), "href").alias("href"), joined.alias("text")).withColumn("block", F.col("note_seq"))
     docs = H.document_links(anchors.withColumn("name", F.lit(None).cast("string")), key)
     links = docs.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "href", "text"))), lambda x: F.struct(x["href"].alias("url"), x["text"].alias("txt"))).alias("links"))
-    italics = rows.groupBy(*by, "_i").agg(F.min(F.when(opens("i"), F.struct("seq"))).alias("o"), parts.alias("t")).where("o is not null")
+    italics = rows.groupBy(*by, "italic").agg(F.min(F.when(opens("i"), F.struct("seq"))).alias("o"), parts.alias("t")).where("o is not null")
     italics = italics.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("o.seq").alias("seq"), joined.alias("text")))), lambda x: x["text"]).alias("italics"))
     # Unlike the links, the prefix ends at any link that leads to a document, a back-link included.
     stop = anchors.where(U.is_document(F.col("href"))).groupBy(*by).agg(F.min("seq").alias("stop"))

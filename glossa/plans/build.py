@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa import dims
@@ -20,7 +20,7 @@ def body_of(url: Column) -> Column:
 
 def documents(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_ord, is_source, source_url, url, doc_key, title, raw_title, author, author_key, doc_type, date) of each page."""
-    rows = pages.select("doc_ord", "is_source", F.col("url").alias("source_url")).join(html.meta(tokens).withColumnRenamed("url", "source_url"), "source_url", "left")
+    rows = pages.select("doc_ord", "is_source", F.col("url").alias("source_url")).join(html.meta(tokens, "doc_ord"), "doc_ord", "left")
     rows = rows.withColumn("url", html.canonical_url(F.col("canonical"), F.col("og_url"), F.col("source_url"))).withColumn("raw_title", F.coalesce("raw_title", F.lit("")))
     raw = F.coalesce(body_of(F.col("url")), U.pope_name(U.author_slug(F.col("url"))))
     rows = rows.withColumn("author", X.author_display(raw)).withColumn("author_key", X.author_key(raw))
@@ -31,19 +31,23 @@ def documents(pages: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def parse(pages: DataFrame) -> dict[str, DataFrame]:
-    """documents (with footnote_count), citations and scripture of raw pages (doc_ord, is_source, url, html)."""
-    tokens = settle(html.tokens(pages.select("url", "html")), "tokens")
+    """documents (with footnote_count), citations and scripture of raw pages (doc_ord, is_source, url, html).
+
+    A page is known by its ``doc_ord``, so pages of one address stay apart.
+    """
+    key = "doc_ord"
+    texts = pages.select(key, "html")
+    tokens = settle(html.tokens(texts, key), "tokens")
     docs = settle(documents(pages, tokens), "documents")
-    found = settle(notes.collect(pages.select("url", "html"), tokens), "notes")
-    # All later rows carry the page's address until they take its document's key.
-    ident = docs.select(F.col("source_url").alias("_page"), "doc_key", "doc_ord", "is_source")
-    feats = settle(notes.features(pages, found, tokens), "features")
-    feats = settle(cite.note_features(feats, F.col("url")).withColumnRenamed("url", "_page"), "note-features")
-    cites = cite.canonicalise(cite.fold(feats, "_page")).join(ident, "_page").drop("_page")
-    refs = scripture.counts(scripture.references(html.page_text(tokens).withColumnRenamed("url", "_page"), "_page"), "_page")
-    counts = found.groupBy(F.col("url").alias("source_url")).agg(F.count("*").cast("int").alias("footnote_count"))
-    docs = docs.join(counts, "source_url", "left").withColumn("footnote_count", F.coalesce("footnote_count", F.lit(0)))
-    return {"documents": docs, "citations": settle(cites, "citations"), "scripture": settle(refs.join(ident, "_page").drop("_page"), "scripture")}
+    found = settle(notes.collect(texts, tokens, key), "notes")
+    ident = docs.select(key, "doc_key", "is_source")
+    feats = settle(notes.features(texts, found, tokens, key), "features").join(pages.select(key, "url"), key)
+    feats = settle(cite.note_features(feats, F.col("url")).drop("url"), "note-features")
+    cites = cite.canonicalise(cite.fold(feats, key)).join(ident, key)
+    refs = scripture.counts(scripture.references(html.page_text(tokens, key), key), key)
+    counts = found.groupBy(key).agg(F.count("*").cast("int").alias("footnote_count"))
+    docs = docs.join(counts, key, "left").withColumn("footnote_count", F.coalesce("footnote_count", F.lit(0)))
+    return {"documents": docs, "citations": settle(cites, "citations"), "scripture": settle(refs.join(ident, key), "scripture")}
 
 
 def build(documents_: DataFrame, citations: DataFrame, scripture_: DataFrame) -> dict[str, DataFrame]:
@@ -57,7 +61,7 @@ def build(documents_: DataFrame, citations: DataFrame, scripture_: DataFrame) ->
 def bad_pages(pages: DataFrame) -> DataFrame:
     """(doc_ord, is_source, url, error): pages that cannot be parsed into a document."""
     empty = F.trim(F.coalesce("html", F.lit(""))) == ""
-    error = F.when(F.coalesce("url", F.lit("")) == "", "no address").when(empty, "no content").when(~F.col("html").contains("<"), "no markup")
+    error = F.when(F.coalesce("url", F.lit("")) == "", "no address").when(empty, "no content")
     return pages.select("doc_ord", "is_source", "url", error.alias("error")).where("error is not null")
 
 
@@ -96,6 +100,30 @@ def snapshot(parsed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"documents": scalars, "authors": authors, "scripture": refs.select("doc_key", "book", "cite", "cnt"), "citations": cites}
 
 
+def store_snapshot(shot: dict[str, DataFrame], path: str) -> None:
+    for name, df in shot.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A stored snapshot, to be compared with the present one by ``differences``."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("documents", "authors", "scripture", "citations")}
+
+
+def records(parsed: dict[str, DataFrame]) -> DataFrame:
+    """One row a document with its ``citations`` in order and its ``scripture`` by first place, nested, as a record of its own."""
+    docs, key = parsed["documents"], "doc_ord"
+
+    def nested(name: str, order: str, fields: list[str]) -> DataFrame:
+        inner = F.array_sort(F.collect_list(F.struct(order, *fields)))
+        return parsed[name].groupBy(key).agg(F.transform(inner, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+
+    cites = nested("citations", "cite_seq", ["footnote", "target_key", "title", "url", "author", "author_key", "doc_type"])
+    refs = nested("scripture", "ref_seq", ["cite", "book", "testament", "ord", "cnt"])
+    out = docs.join(cites, key, "left").join(refs, key, "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in ("citations", "scripture")})
+
+
 def differences(before: dict[str, DataFrame], now: dict[str, DataFrame]) -> DataFrame:
     """(part, change, row): what two snapshots do not share, as JSON; rows of ``before`` are ``gone``, rows of ``now`` are ``new``."""
     out = None

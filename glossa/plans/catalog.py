@@ -609,14 +609,13 @@ def raw_titles(spark, sf):
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '(?i)<script\b[^>]*>.*?</script\s*>', '', 'gs'), '(?i)<style\b[^>]*>.*?</style\s*>', '', 'gs')"
 
 
-@query(f"""
-    SELECT page_id, count(*) FILTER (WHERE t[1] = '<') AS tags, count(*) FILTER (WHERE t[1] <> '<') AS texts, sum(length(t))::BIGINT AS chars
-    FROM (SELECT page_id, unnest(regexp_extract_all({_CLEAN}, '<[^>]+>|[^<]+')) AS t FROM pages) GROUP BY page_id""")
+@query(rf"""
+    WITH t AS (SELECT page_id, {_CLEAN} AS h FROM pages), x AS (SELECT page_id, h, list_filter(string_split(regexp_replace(h, '<[a-zA-Z/!?][^>]*>', chr(1), 'g'), chr(1)), lambda v: v <> '') AS x FROM t)
+    SELECT page_id, len(regexp_extract_all(h, '<[a-zA-Z/!?][^>]*>')) AS tags, len(x) AS texts, list_sum(list_transform(x, lambda v: length(v)))::BIGINT AS chars, (length(h) - length(replace(h, '<p>', ''))) // 3 AS blocks FROM x""")
 def html_tokens(spark, sf):
-    raw = F.explode(F.regexp_extract_all(html.hide(F.coalesce("html", F.lit(""))), F.lit(html.LEX), F.lit(0))).alias("t")
-    rows = table(spark, sf, "pages").select("page_id", raw)
-    tag = F.col("t").startswith("<")
-    return rows.groupBy("page_id").agg(F.count_if(tag).alias("tags"), F.count_if(~tag).alias("texts"), F.sum(F.length("t")).alias("chars"))
+    rows = html.tokens(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    tag = F.col("kind") == "tag"
+    return rows.groupBy("page_id").agg(F.count_if(tag).alias("tags"), F.count_if(~tag).alias("texts"), F.sum(F.length("text")).alias("chars"), F.max("block").alias("blocks"))
 
 
 @query(f"""

@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.operators import cite, graph, html, interact, notes, views
-from glossa.plans import rebuild
-from glossa.plans.catalog import CITES_SQL, DOCS_SQL, DRAWN_SQL, corpus, drawn, query, table
+from glossa.plans import build, rebuild
+from glossa.plans.catalog import CITES_SQL, DOCS_SQL, DRAWN_SQL, REFS_SQL, corpus, drawn, query, table
 from glossa.sources import pages
 from glossa.sources.work import settle, shared_path
 
@@ -244,7 +244,7 @@ def _decoded(text: str) -> str:
 
 @query(r"""
     WITH h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'gis') AS h FROM pages),
-    t AS (SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(h, '<[^>]+>', chr(1), 'g'), chr(1)), lambda x: x <> ''), ' ') AS t FROM h)
+    t AS (SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(h, '<[a-zA-Z/!?][^>]*>', chr(1), 'g'), chr(1)), lambda x: x <> ''), ' ') AS t FROM h)
     SELECT page_id, md5(""" + _decoded("t") + """) AS text_md5 FROM t WHERE t <> ''""")
 def page_texts(spark, sf):
     """The whole text of every raw page: its text runs in order, without scripts, styles and comments."""
@@ -437,3 +437,21 @@ def document_round_trip(spark, sf):
     row = lambda df, part, id_, other, n: df.select(F.lit(part).alias("part"), id_.alias("id"), other.alias("other"), n.cast("long").alias("n"))
     n = F.col
     return row(found["edges"], "edge", n("source"), n("target"), n("weight")).unionByName(row(found["nodes"], "node", n("id"), n("label"), n("degree"))).unionByName(row(found["meta"], "meta", F.lit("orders"), F.lit("customers"), n("documents")))
+
+
+@query(f"""
+    WITH docs AS ({DOCS_SQL}), cites AS ({CITES_SQL}), refs AS ({REFS_SQL}),
+    c AS (SELECT doc_ord, count(*) AS n_cites, string_agg(target_key, ' ' ORDER BY cite_seq) AS targets FROM cites GROUP BY 1), s AS (SELECT doc_ord, count(*) AS n_passages, sum(cnt)::BIGINT AS n_refs FROM refs GROUP BY 1)
+    SELECT doc_key, title, coalesce(n_cites, 0) AS n_cites, coalesce(targets, '') AS targets, coalesce(n_passages, 0) AS n_passages, coalesce(n_refs, 0) AS n_refs FROM docs LEFT JOIN c USING (doc_ord) LEFT JOIN s USING (doc_ord)""")
+def document_records(spark, sf):
+    """Each document's record with its citations and passages nested, in order; written as JSON and read again."""
+    docs, cites, refs = corpus(spark, sf)
+    rows = build.records({"documents": docs, "citations": cites.withColumn("footnote", F.col("cite_seq").cast("int")), "scripture": refs})
+    path = shared_path(spark, "records")
+    pages.write_json(rows, path)
+    found = spark.read.schema(rows.schema).json(path)
+    nested = F.col("scripture")
+    return found.select(
+        "doc_key", "title", F.coalesce(F.size("citations"), F.lit(0)).cast("long").alias("n_cites"), F.array_join(F.transform("citations", lambda x: x["target_key"]), " ").alias("targets"),
+        F.size(nested).cast("long").alias("n_passages"), F.aggregate(nested, F.lit(0).cast("long"), lambda n, x: n + x["cnt"]).alias("n_refs"),
+    )
