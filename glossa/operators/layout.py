@@ -1,4 +1,4 @@
-"""Two-dimensional layout: a force simulation, then ranks that fill a cross evenly.
+"""Two-dimensional layout: a force simulation over the graph or over a coarsened one, then ranks that fill a cross evenly.
 
 ``cross`` needs ranks over all nodes. A global window would gather the graph in one task, so ranks are numbered by sorting into ranges,
 counting each range and adding what came before.
@@ -97,57 +97,114 @@ def spring(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, fixed: int | Non
     return pos
 
 
-def spread(nodes: DataFrame, forces: DataFrame, centre: str | None = None, rounds: int = 12, cells: int = 16) -> DataFrame:
-    """``nodes`` (id, ...) with px, py for graphs of any size: all steps are joins and aggregations over the nodes.
+def _both_ways(forces: DataFrame) -> DataFrame:
+    return forces.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(forces.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
 
-    A round pulls each node towards the weighted mean of its neighbours, then pushes it away from the middles of the ``cells`` x ``cells``
-    fields of the frame, by how many nodes each holds: that table has a fixed size. Places start from a hash of the id.
-    """
-    unit = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5
-    near = forces.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").unionByName(forces.select(F.col("b").alias("id"), F.col("a").alias("other"), "w"))
-    at = settle(nodes.select("id", unit(1).alias("px"), unit(2).alias("py")), "places")
+
+def _unit(seed: int) -> Column:
+    """A number from -0.5 to 0.5 by an id's hash."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5
+
+
+def _relax(at: DataFrame, near: DataFrame, pull: float, step: float, cells: int) -> DataFrame:
+    """One round on places (id, px, py): each node goes towards the weighted mean of its neighbours and away from the middles of the ``cells`` x ``cells``
+    fields of the frame, by how many nodes each holds; that table has a fixed size."""
+    mx, my, sx, sy = (v or 0.0 for v in at.agg(F.avg("px"), F.avg("py"), F.stddev_pop("px"), F.stddev_pop("py")).first())
+    sx, sy = max(sx, 1e-9), max(sy, 1e-9)
+    # The frame keeps its size whatever the pull: two deviations either way.
+    at_unit = at.select("id", ((F.col("px") - mx) / (4 * sx)).alias("px"), ((F.col("py") - my) / (4 * sy)).alias("py"))
+    field = lambda c: F.least(F.greatest(F.floor((F.col(c) + 0.5) * cells), F.lit(0)), F.lit(cells - 1))
+    full = at_unit.groupBy(field("px").alias("i"), field("py").alias("j")).agg(F.count("*").alias("n"), F.avg("px").alias("x"), F.avg("py").alias("y")).collect()
+    total = sum(f["n"] for f in full)
+    middles = F.array(*[F.struct(F.lit(f["x"]).alias("x"), F.lit(f["y"]).alias("y"), F.lit(f["n"] / total).alias("w")) for f in full])
+
+    def push(own: str) -> Column:
+        def one(acc: Column, m: Column) -> Column:
+            dx, dy = F.col("px") - m["x"], F.col("py") - m["y"]
+            return acc + m["w"] * (dx if own == "px" else dy) / (dx * dx + dy * dy + 0.01)
+
+        return F.aggregate(middles, F.lit(0.0), one)
+
+    pulls = near.join(at_unit.select(F.col("id").alias("other"), "px", "py"), "other").groupBy("id").agg(
+        (F.sum(F.col("px") * F.col("w")) / F.sum("w")).alias("qx"), (F.sum(F.col("py") * F.col("w")) / F.sum("w")).alias("qy")
+    )
+    toward = lambda c, q: F.col(c) + pull * F.coalesce(F.col(q) - F.col(c), F.lit(0.0)) + step * push(c)
+    return settle(at_unit.join(pulls, "id", "left").select("id", toward("px", "qx").alias("px"), toward("py", "qy").alias("py")), "places")
+
+
+def spread(nodes: DataFrame, forces: DataFrame, centre: str | None = None, rounds: int = 12, cells: int = 16) -> DataFrame:
+    """``nodes`` (id, ...) with px, py for graphs of any size, from places by a hash of the id: all steps are joins and aggregations over the nodes."""
+    near = _both_ways(forces)
+    at = settle(nodes.select("id", _unit(1).alias("px"), _unit(2).alias("py")), "places")
     for r in range(rounds):
-        frame = at.agg(F.avg("px"), F.avg("py"), F.stddev_pop("px"), F.stddev_pop("py")).first()
-        mx, my, sx, sy = (v or 0.0 for v in frame)
-        sx, sy = max(sx, 1e-9), max(sy, 1e-9)
-        # The frame keeps its size whatever the pull: two deviations either way.
-        at_unit = at.select("id", ((F.col("px") - mx) / (4 * sx)).alias("px"), ((F.col("py") - my) / (4 * sy)).alias("py"))
-        field = lambda c: F.least(F.greatest(F.floor((F.col(c) + 0.5) * cells), F.lit(0)), F.lit(cells - 1))
-        full = at_unit.groupBy(field("px").alias("i"), field("py").alias("j")).agg(F.count("*").alias("n"), F.avg("px").alias("x"), F.avg("py").alias("y")).collect()
-        total = sum(f["n"] for f in full)
-        middles = F.array(*[F.struct(F.lit(f["x"]).alias("x"), F.lit(f["y"]).alias("y"), F.lit(f["n"] / total).alias("w")) for f in full])
-        step = 0.05 * (1 - r / rounds)
-
-        def push(own: str) -> Column:
-            def one(acc: Column, m: Column) -> Column:
-                dx, dy = F.col("px") - m["x"], F.col("py") - m["y"]
-                return acc + m["w"] * (dx if own == "px" else dy) / (dx * dx + dy * dy + 0.01)
-
-            return F.aggregate(middles, F.lit(0.0), one)
-
-        pulls = near.join(at_unit.select(F.col("id").alias("other"), "px", "py"), "other").groupBy("id").agg(
-            (F.sum(F.col("px") * F.col("w")) / F.sum("w")).alias("qx"), (F.sum(F.col("py") * F.col("w")) / F.sum("w")).alias("qy")
-        )
-        moved = at_unit.join(pulls, "id", "left").select(
-            "id", (F.col("px") + 0.5 * F.coalesce(F.col("qx") - F.col("px"), F.lit(0.0)) + step * push("px")).alias("px"),
-            (F.col("py") + 0.5 * F.coalesce(F.col("qy") - F.col("py"), F.lit(0.0)) + step * push("py")).alias("py"),
-        )
-        before, at = at, settle(moved, "places")
+        before, at = at, _relax(at, near, 0.5, 0.05 * (1 - r / rounds), cells)
         forget(before)
     if centre is not None:
         at = at.withColumns({c: F.when(F.col("id") == centre, 0.0).otherwise(F.col(c)) for c in ("px", "py")})
     return nodes.join(at, "id")
 
 
+def coarsen(nodes: DataFrame, forces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parents, nodes, forces) of a graph in which nodes (id, size) that pull each other most are one.
+
+    Each node picks the neighbour with the strongest force for its size; two that pick each other become one, and a node that picked one of such a pair
+    joins it. Forces between the same two sum up.
+    """
+    sizes = nodes.select(F.col("id").alias("other"), F.col("size").alias("_size"))
+    rank = F.struct((F.col("w") / F.col("_size")).alias("w"), F.xxhash64(F.least("id", "other"), F.greatest("id", "other")).alias("h"), F.col("other").alias("o"))
+    picks = settle(_both_ways(forces).join(sizes, "other").groupBy("id").agg(F.max_by("other", rank).alias("mate")), "mates")
+    back = picks.select(F.col("id").alias("mate"), F.col("mate").alias("_back"))
+    pairs = settle(picks.join(back, "mate").where("_back = id").select("id", F.least("id", "mate").alias("parent")), "pairs")
+    joined = picks.join(pairs.select(F.col("id").alias("mate"), F.col("parent").alias("_of_mate")), "mate").select("id", "_of_mate")
+    parents = nodes.join(pairs, "id", "left").join(joined, "id", "left").select("id", F.coalesce("parent", "_of_mate", "id").alias("parent"), "size")
+    parents = settle(parents, "parents")
+    up = lambda c: parents.select(F.col("id").alias(c), F.col("parent").alias(f"_{c}"))
+    links = forces.join(up("a"), "a").join(up("b"), "b").where("_a <> _b")
+    links = links.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.sum("w").alias("w"))
+    return parents, settle(parents.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("size")), "coarse-nodes"), settle(links, "coarse-forces")
+
+
+def place(nodes: DataFrame, forces: DataFrame, centre: str | None = None, coarse: int = 2000, rounds: int = 4, iterations: int = 300) -> DataFrame:
+    """``nodes`` (id, ...) with px, py for graphs of any size, by the simulation over a graph of at most ``coarse`` nodes.
+
+    A larger graph is coarsened until it is that small; its places go back down level by level, where each node starts beside its parent and ``rounds`` of
+    joins and aggregations move it. A graph that no longer shrinks - nodes without forces - is spread instead, above 20,000 nodes.
+    """
+    level = settle(nodes.select("id", F.lit(1).cast("long").alias("size")), "level")
+    links, levels, n = settle(forces.select("a", "b", "w"), "level-forces"), [], level.count()
+    while n > coarse:
+        parents, above, above_links = coarsen(level, links)
+        fewer = above.count()
+        if fewer > 0.95 * n:
+            break
+        levels.append((parents, links, n))
+        level, links, n = above, above_links, fewer
+    at = (force_layout(level, links, None if levels else centre, iterations) if n <= 20_000 else spread(level, links)).select("id", "px", "py")
+    at = settle(at, "places")
+    for parents, own_links, size in reversed(levels):
+        sx, sy = (v or 1.0 for v in at.agg(F.stddev_pop("px"), F.stddev_pop("py")).first())
+        beside = 2.0 / max(size, 1) ** 0.5
+        start = parents.join(at.withColumnRenamed("id", "parent"), "parent").select("id", (F.col("px") / (4 * sx) + beside * _unit(1)).alias("px"), (F.col("py") / (4 * sy) + beside * _unit(2)).alias("py"))
+        at, near = settle(start, "places"), _both_ways(own_links)
+        for r in range(rounds):
+            before, at = at, _relax(at, near, 0.3, 0.01 * (1 - r / rounds), 16)
+            forget(before)
+    if levels and centre is not None:
+        own = at.where(F.col("id") == centre).first()
+        if own:  # the frame moves with its middle
+            at = at.select("id", *((F.col(c) - own[c]).alias(c) for c in ("px", "py")))
+    return nodes.join(at, "id")
+
+
 def force_layout(nodes: DataFrame, forces: DataFrame, centre: str | None = None, iterations: int = 300, seed: int = 7, largest: int = 20_000) -> DataFrame:
     """``nodes`` (id, ...) with px, py of the simulation over ``forces`` (a, b, w).
 
-    The simulation runs in one process, for graphs a page can show: over ``largest`` nodes it is refused, and ``spread`` is the way.
+    The simulation runs in one process, for graphs a page can show: over ``largest`` nodes it is refused, and ``place`` is the way.
     """
     spark = nodes.sparkSession
     ids = [r["id"] for r in nodes.select("id").orderBy("id").limit(largest + 1).collect()]
     if len(ids) > largest:
-        raise ValueError(f"a drawing of over {largest} nodes; spread() places any number")
+        raise ValueError(f"a drawing of over {largest} nodes; place() places any number")
     at = {v: i for i, v in enumerate(ids)}
     rows = [(at[r["a"]], at[r["b"]], r["w"]) for r in forces.orderBy("a", "b").collect() if r["a"] in at and r["b"] in at]
     table = np.array(rows, dtype=np.float64).reshape(-1, 3)

@@ -65,11 +65,11 @@ def bad_pages(pages: DataFrame) -> DataFrame:
     return pages.select("doc_ord", "is_source", "url", error.alias("error")).where("error is not null")
 
 
-def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = True, placed: bool = True, largest: int = 20_000) -> dict[str, DataFrame]:
+def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = True, placed: bool = True, largest: int = 2000) -> dict[str, DataFrame]:
     """The graph of raw pages, laid out, and the frontier of pages to bring next. Without ``recurse`` only seeds count.
 
-    A seed that cannot be parsed is an error; other such pages are left out and listed under ``skipped``. Graphs of up to ``largest`` nodes are
-    placed by the force simulation, larger ones by ``layout.spread``; without ``placed`` nodes have no places.
+    A seed that cannot be parsed is an error; other such pages are left out and listed under ``skipped``. Graphs are placed
+    by the force simulation over at most ``largest`` nodes, larger ones coarsened for it (``layout.place``); without ``placed`` nodes have no places.
     """
     pages = pages if recurse else pages.where("is_source")
     skipped = settle(bad_pages(pages), "skipped")
@@ -81,8 +81,7 @@ def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = Tru
     out = {k: settle(v, k) for k, v in out.items()}
     if placed:
         nodes, forces = out["nodes"].select("id", "first_seq"), graph.force_weights(out["edges"])
-        small = out["nodes"].limit(largest + 1).count() <= largest
-        found = layout.force_layout(nodes, forces, centre, largest=largest) if small else layout.spread(nodes, settle(forces, "forces"), centre)
+        found = layout.place(nodes, settle(forces, "forces"), centre, coarse=largest)
         at = layout.cross(found.select("id", "px", "py", F.col("first_seq").alias("seq")), centre)
         out["nodes"] = out["nodes"].join(at.select("id", "x", "y"), "id")
     out["frontier"] = graph.frontier(parsed["documents"], parsed["citations"])

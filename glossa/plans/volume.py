@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glossa.operators import cite, graph, html, interact, notes, views
+from glossa.operators import cite, graph, html, interact, layout, notes, views
 from glossa.plans import build, rebuild
 from glossa.plans.catalog import CITES_SQL, DOCS_SQL, DRAWN_SQL, REFS_SQL, corpus, drawn, query, table
 from glossa.sources import pages
@@ -455,3 +455,23 @@ def document_records(spark, sf):
         "doc_key", "title", F.coalesce(F.size("citations"), F.lit(0)).cast("long").alias("n_cites"), F.array_join(F.transform("citations", lambda x: x["target_key"]), " ").alias("targets"),
         F.size(nested).cast("long").alias("n_passages"), F.aggregate(nested, F.lit(0).cast("long"), lambda n, x: n + x["cnt"]).alias("n_refs"),
     )
+
+
+@query("""
+    WITH n AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part)
+    SELECT id, true AS placed, true AS apart, true AS linked_nearer FROM n""")
+def coarse_places(spark, sf):
+    """Parts and suppliers placed over a coarsened graph: each has a finite place of its own, and linked ones lie nearer to each other than others do."""
+    p, s = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
+    nodes = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).unionByName(table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
+    # Each part to the supplier that ships most of it: a graph with shape.
+    most = table(spark, sf, "lineitem").groupBy(p.alias("a"), s.alias("b")).agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    at = settle(layout.place(nodes, most.select("a", "b", F.lit(1.0).alias("w")), coarse=200, rounds=2), "places")
+    far = lambda x, y: F.hypot(F.col(f"{x}.px") - F.col(f"{y}.px"), F.col(f"{x}.py") - F.col(f"{y}.py"))
+    ends = lambda c: at.select(F.col("id").alias(c), F.struct("px", "py").alias(f"_{c}"))
+    linked = most.join(ends("a"), "a").join(ends("b"), "b").agg(F.avg(far("_a", "_b")).alias("linked"))
+    middle = at.agg(F.avg("px").alias("mx"), F.avg("py").alias("my"))
+    spread = at.crossJoin(middle).agg(F.avg(F.hypot(F.col("px") - F.col("mx"), F.col("py") - F.col("my"))).alias("spread"), F.countDistinct("px", "py").alias("places"), F.count("*").alias("n"))  # by one row
+    facts = linked.crossJoin(spread)  # one row
+    fine = F.col("px").isNotNull() & ~F.isnan("px") & (F.abs("px") < 1e9) & F.col("py").isNotNull() & ~F.isnan("py") & (F.abs("py") < 1e9)
+    return at.crossJoin(facts).select("id", fine.alias("placed"), (F.col("places") == F.col("n")).alias("apart"), (F.col("linked") < 0.5 * F.col("spread")).alias("linked_nearer"))

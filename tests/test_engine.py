@@ -180,6 +180,35 @@ def test_large_graphs_are_placed_too(spark, tmp_path):
     assert [n["id"] for n in found["nodes"]] == [r["id"] for r in out["nodes"].orderBy("first_seq").collect()]
 
 
+def test_a_coarsened_graph_is_placed_as_well_as_by_the_simulation(spark):
+    rng = random.Random(4)
+    size, group = 400, 20
+    pairs = {(min(i, j), max(i, j)) for i in range(size) for j in [i - i % group + rng.randrange(group), i - i % group + rng.randrange(group), rng.randrange(size) if rng.random() < 0.1 else i] if i != j}
+    near = [[] for _ in range(size)]
+    for a, b in pairs:
+        near[a].append(b), near[b].append(a)
+    steps = []  # (a, b, links between them) from some nodes to all they reach
+    for a in range(0, size, 20):
+        seen, edge = {a: 0}, [a]
+        while edge:
+            edge = [v for u in edge for v in near[u] if v not in seen and (seen.setdefault(v, seen[u] + 1) or True)]
+        steps += [(a, b, d) for b, d in seen.items() if d]
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(size)], "id string, first_seq long")
+    forces = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in pairs], "a string, b string, w double")
+
+    def stress(rows) -> float:
+        at = {r["id"]: (r["px"], r["py"]) for r in rows}
+        far = [(math.dist(at[f"n{a}"], at[f"n{b}"]), d) for a, b, d in steps]
+        scale = sum(x / d for x, d in far) / sum(x * x / d / d for x, d in far)
+        return sum((scale * x - d) ** 2 / d / d for x, d in far) / len(far)
+
+    coarse = layout.place(nodes, forces, "n0", coarse=100).collect()
+    assert len(coarse) == size and {(r["px"], r["py"]) for r in coarse if r["id"] == "n0"} == {(0.0, 0.0)}
+    assert stress(coarse) <= 1.1 * stress(layout.force_layout(nodes, forces, "n0").collect())
+    alone = layout.place(nodes.limit(5), forces.limit(0), coarse=2).collect()
+    assert len({(r["px"], r["py"]) for r in alone}) == 5
+
+
 def test_spread_keeps_neighbours_near(spark):
     random.seed(3)
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(200)], "id string")
