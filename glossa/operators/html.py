@@ -21,8 +21,15 @@ from glossa.functions import url as U
 BLOCKS = ["p", "div", "td", "tr", "table", "li", "ul", "ol", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "body", "article", "footer", "nav"]
 
 
-def decode(text: Column) -> Column:
-    """Character references decoded: an Arrow function, for the few texts that have any."""
+def decode(text: Column, names: dict[str, int] | None = None) -> Column:
+    """Character references decoded as browsers do, also unended ones: an Arrow function, for the few texts that have any.
+
+    With ``names`` only these, ended by a semicolon, one name after the other in their order.
+    """
+    if names is not None:
+        for name, sign in names.items():
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(chr(sign)))
+        return text
 
     @F.arrow_udf("string")
     def unescape(values: pa.Array) -> pa.Array:
@@ -138,10 +145,10 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.replace(value, F.lit("&amp;"), F.lit("&"))
 
 
-def page_text(tokens_: DataFrame, key: str = "url") -> DataFrame:
-    """(key, text) of whole pages: the text runs in order, a space between."""
+def page_text(tokens_: DataFrame, key: str = "url", names: dict[str, int] | None = None) -> DataFrame:
+    """(key, text) of whole pages: the text runs in order, a space between; ``names`` as in ``decode``."""
     runs = tokens_.where("kind = 'text'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"))
-    return runs.select(key, decode(F.array_join(F.transform("r", lambda x: x["text"]), " ")).alias("text"))
+    return runs.select(key, decode(F.array_join(F.transform("r", lambda x: x["text"]), " "), names).alias("text"))
 
 
 def links(tokens_: DataFrame, key: str = "url") -> DataFrame:
@@ -164,8 +171,8 @@ def document_links(links_: DataFrame, key: str = "url") -> DataFrame:
     return good.withColumn("_n", first).where("_n = 1").drop("_n", "name")
 
 
-def meta(tokens_: DataFrame, key: str = "url") -> DataFrame:
-    """(key, canonical, og_url, description, raw_title) of each page that has any token."""
+def meta(tokens_: DataFrame, key: str = "url", names: dict[str, int] | None = None) -> DataFrame:
+    """(key, canonical, og_url, description, raw_title) of each page that has any token; ``names`` as in ``decode``."""
     a = F.col("attrs")
     tag = lambda t: (F.col("tag") == t) & ~F.col("closing")
     named = lambda kind, value: tag("meta") & (F.lower(attribute(a, kind)) == value)
@@ -177,7 +184,7 @@ def meta(tokens_: DataFrame, key: str = "url") -> DataFrame:
         F.coalesce(first(named("name", "description"), content), first(named("property", "og:description"), content)).alias("description"),
         first(F.col("titled"), F.col("text")).alias("raw_title"),
     )
-    return out.withColumn("raw_title", X.squeeze(decode(F.coalesce("raw_title", F.lit(""))))).withColumn("description", decode(F.col("description")))
+    return out.withColumn("raw_title", X.squeeze(decode(F.coalesce("raw_title", F.lit("")), names))).withColumn("description", decode(F.col("description"), names))
 
 
 def canonical_url(canonical: Column, og_url: Column, source: Column) -> Column:
