@@ -1,56 +1,111 @@
 """What a page's users do with a graph, as tables: clicks on nodes and bands, selections and filters over click streams, cameras.
 
-Points meet shapes by cells: a shape of extent e lies in cells of the next power of two of e, in nine of them at most, and a click asks one
-cell of each size that occurs; so clicks and shapes are joined on equal cells and none is compared with all.
+Points meet shapes by cells and in rounds: nodes by distance, from the nearest ring outwards, bands by their order, from the first ones on. A click
+that is answered leaves, so it meets a few shapes however many lie under it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glossa.operators import scan, views
-from glossa.sources.work import settle
+from glossa.sources.work import forget, settle
 
 # --- clicks and shapes ---------------------------------------------------------------------------------------------------------
 
 
 def _in_cells(shapes: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
-    """A row for each cell that a shape's rectangle touches: _size, _cx, _cy."""
-    extent = F.greatest(x1 - x0, y1 - y0, F.lit(1.0))
-    rows = shapes.withColumn("_size", F.pow(F.lit(2.0), F.ceil(F.log2(extent))))
-    between = lambda a, b: F.explode(F.sequence(F.floor(a / F.col("_size")).cast("long"), F.floor(b / F.col("_size")).cast("long")))
-    return rows.withColumn("_cx", between(x0, x1)).withColumn("_cy", between(y0, y1))
+    """A row for each cell that a shape's rectangle touches: _sx, _sy, _cx, _cy. A cell's sides are the next powers of four of the rectangle's."""
+    side = lambda extent: F.pow(F.lit(4.0), F.ceil(F.log2(F.greatest(extent, F.lit(1.0))) / 2))
+    rows = shapes.withColumns({"_sx": side(x1 - x0), "_sy": side(y1 - y0)})
+    between = lambda a, b, s: F.explode(F.sequence(F.floor(a / F.col(s)).cast("long"), F.floor(b / F.col(s)).cast("long")))
+    return rows.withColumn("_cx", between(x0, x1, "_sx")).withColumn("_cy", between(y0, y1, "_sy"))
 
 
 def _meet(clicks: DataFrame, cells: DataFrame) -> DataFrame:
     """Clicks (click, x, y) with the shapes whose cells hold them."""
-    sizes = cells.select("_size").distinct()  # powers of two: at most some tens
-    asked = clicks.join(F.broadcast(sizes)).withColumns({"_cx": F.floor(F.col("x") / F.col("_size")).cast("long"), "_cy": F.floor(F.col("y") / F.col("_size")).cast("long")})
-    return asked.join(cells, ["_size", "_cx", "_cy"]).drop("_size", "_cx", "_cy")
+    sizes = cells.select("_sx", "_sy").distinct()  # powers of four: at most some tens
+    asked = clicks.join(F.broadcast(sizes)).withColumns({"_cx": F.floor(F.col("x") / F.col("_sx")).cast("long"), "_cy": F.floor(F.col("y") / F.col("_sy")).cast("long")})
+    return asked.join(cells, ["_sx", "_sy", "_cx", "_cy"]).drop("_sx", "_sy", "_cx", "_cy")
+
+
+def _rounds(clicks: DataFrame, steps: Iterable, answer: Callable[[DataFrame, object], DataFrame]) -> DataFrame:
+    """The union of ``answer(clicks, step)`` over the steps, each asked for the clicks that none before has answered; it ends when there are none."""
+    left, parts = clicks, []
+    for step in steps:
+        parts.append(settle(answer(left, step), "click-answers"))
+        before, left = left, settle(left.join(parts[-1].select("click"), "click", "left_anti"), "clicks-left")
+        forget(before)
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nodes_at(nodes: DataFrame, clicks: DataFrame, view: str = "explore") -> DataFrame:
-    """(click, id, d): of each click (click, x, y) on any node the nearest one's; of equally near ones the first. Nodes carry sx, sy and op."""
+    """(click, id, d): of each click (click, x, y) on any node the nearest one's; of equally near ones the first. Nodes carry sx, sy and op.
+
+    Of the nodes of one place only those can be met whose reach is longer than that of all before them. A round looks as far as its ring
+    and keeps the clicks that find a node there: none nearer can lie outside.
+    """
     reach = views.node_radius(view, F.col("is_source"), F.col("type"), F.col("degree")) + 4
-    shapes = nodes.where("op > 0.05").select("id", "first_seq", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"), reach.alias("reach"))
-    r = F.col("reach")
-    rows = _meet(clicks, _in_cells(shapes, F.col("sx") - r, F.col("sx") + r, F.col("sy") - r, F.col("sy") + r))
-    d = (F.col("sx") - F.col("x")) ** 2 + (F.col("sy") - F.col("y")) ** 2
-    rows = rows.withColumn("d", d).where("d <= reach * reach")
-    return rows.groupBy("click").agg(F.min_by(F.struct("id", "d"), F.struct("d", "first_seq", "id")).alias("f")).select("click", "f.id", "f.d")
+    shapes = nodes.where("op > 0.05").select("id", "first_seq", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"), reach.cast("double").alias("reach"))
+    first = shapes.groupBy("sx", "sy", "reach").agg(F.min(F.struct("first_seq", "id")).alias("f"))
+    longest = F.max("reach").over(Window.partitionBy("sx", "sy").orderBy("f", F.desc("reach")).rowsBetween(Window.unboundedPreceding, -1))
+    shapes = first.withColumn("_longest", longest).where("_longest is null or reach > _longest").select("sx", "sy", "reach", "f.first_seq", "f.id")
+    shapes = settle(shapes, "click-nodes")
+    of = lambda c: F.max(c) - F.min(c)
+    width, height, n, most = shapes.agg(of("sx"), of("sy"), F.count("*"), F.max("reach")).first()
+    if not n:
+        return clicks.sparkSession.createDataFrame([], StructType([clicks.schema["click"], nodes.schema["id"], StructField("d", DoubleType())]))
+    # The first ring holds about one node; the last one reaches as far as any node.
+    ring = min(most, max(0.5 * ((width + 1) * (height + 1) / n) ** 0.5, most / 1024))
+    rings = []
+    while ring < most:
+        rings.append(ring)
+        ring *= 2
+
+    def answer(left: DataFrame, ring: float) -> DataFrame:
+        cell = 2.25 * ring  # a ring touches two cells each way
+        ends = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1.1 * ring) / cell).cast("long"), F.floor((F.col(c) + 1.1 * ring) / cell).cast("long")))
+        asked = left.select("click", "x", "y", ends("x").alias("_cx"), "_y").select("click", "x", "y", "_cx", ends("_y").alias("_cy"))
+        own = shapes.withColumns({"_cx": F.floor(F.col("sx") / cell).cast("long"), "_cy": F.floor(F.col("sy") / cell).cast("long")})
+        d = (F.col("sx") - F.col("x")) ** 2 + (F.col("sy") - F.col("y")) ** 2
+        rows = asked.join(own, ["_cx", "_cy"]).withColumn("d", d).where((F.col("d") <= F.col("reach") * F.col("reach")) & (F.col("d") <= ring * ring))
+        return rows.groupBy("click").agg(F.min(F.struct("d", "first_seq", "id")).alias("f")).select("click", "f.id", "f.d")
+
+    return _rounds(settle(clicks.select("click", "x", "y", F.col("y").alias("_y")), "clicks"), [*rings, most], answer)
 
 
 def bands_at(rects: DataFrame, clicks: DataFrame, slack: float = 3) -> DataFrame:
-    """(click, id): of each click in any rectangle (id, x0, x1, y0, y1, seq), a little wider across, the first one."""
+    """(click, id): of each click in any rectangle (id, x0, x1, y0, y1, seq), a little wider across, the first one.
+
+    A round asks the rectangles up to a place in their order: a click that lies in one of them needs none behind it.
+    """
     wide = rects.withColumns({"x0": F.col("x0") - slack, "x1": F.col("x1") + slack})
-    rows = _meet(clicks, _in_cells(wide, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")))
-    rows = rows.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    return rows.groupBy("click").agg(F.min_by("id", F.struct("seq", "id")).alias("id"))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    area, width, height, n = wide.agg(F.sum((x1 - x0 + 1) * (y1 - y0 + 1)), F.max("x1") - F.min("x0") + 1, F.max("y1") - F.min("y0") + 1, F.count("*")).first()
+    # The first round holds about four rectangles a click, each further one eight times as many.
+    share, shares = 4 * width * height / area if n else 1.0, []
+    while share < 1:
+        shares.append(share)
+        share *= 8
+    cuts = wide.agg(F.percentile_approx("seq", shares, 100_000)).first()[0] if shares else []
+    cuts = sorted(set(cuts))
+
+    def answer(left: DataFrame, step: tuple) -> DataFrame:
+        low, high = step
+        own = wide.where((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else (F.col("seq") <= high) | F.col("seq").isNull() & F.lit(low is None)))
+        rows = _meet(left, _in_cells(own, x0, x1, y0, y1))
+        rows = rows.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+        return rows.groupBy("click").agg(F.min(F.struct("seq", "id")).alias("f")).select("click", "f.id")
+
+    return _rounds(settle(clicks.select("click", "x", "y"), "clicks"), list(zip([None, *cuts], [*cuts, None], strict=True)), answer)
 
 
 # --- cameras -------------------------------------------------------------------------------------------------------------------
