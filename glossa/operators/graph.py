@@ -242,9 +242,20 @@ def missing_slugs(curated: DataFrame, page: DataFrame, pattern: str) -> DataFram
 
 def force_weights(edges: DataFrame) -> DataFrame:
     """(a, b, w) of each unordered pair: of several edges the last one's force."""
+    return edges.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max_by(_force(), "first_seq").alias("w"))
+
+
+def _force() -> Column:
     kind = F.when(F.col("type") == "cites", 1.0).when(F.col("type") == "authored_by", 0.4).when(F.col("type") == "cites_scripture", 0.3).otherwise(1.0)
-    w = kind * (1 + 0.15 * (F.col("weight") - 1))
-    return edges.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max_by(w, "first_seq").alias("w"))
+    return kind * (1 + 0.15 * (F.col("weight") - 1))
+
+
+def event_forces(events: DataFrame) -> DataFrame:
+    """``force_weights`` of the merged ``events``: they are dealt by pair once, and edges and pairs are merged where they lie."""
+    ahead = (F.col("source") < F.col("target")).alias("ahead")
+    rows = events.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), ahead, "type", "n", "seq").repartition("a", "b")
+    edges = rows.groupBy("a", "b", "ahead", "type").agg(F.sum("n").alias("weight"), F.min("seq").alias("first_seq"))
+    return edges.groupBy("a", "b").agg(F.max_by(_force(), "first_seq").alias("w"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
