@@ -37,9 +37,9 @@ def seed_pages(spark: SparkSession) -> DataFrame:
     return dims.seeds(spark).withColumn("is_source", F.lit(True)).select("doc_ord", "is_source", "url")
 
 
-def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
-    """JSON lines without null fields, in a folder for each value of ``by``."""
-    out = df.write.mode("overwrite").option("ignoreNullFields", "true")
+def write_json(df: DataFrame, path: str, by: str | None = None, compression: str = "none") -> None:
+    """JSON lines without null fields, in a folder for each value of ``by``; compressed, Spark reads them as they are."""
+    out = df.write.mode("overwrite").option("ignoreNullFields", "true").option("compression", compression)
     (out.partitionBy(by) if by else out).json(path)
 
 
@@ -82,47 +82,92 @@ DOCUMENT = {
 }
 
 
+class _Elements:
+    """(name, JSON) of a document's members, in order: each element of a member that is a list, the whole of another.
+
+    Text comes in pieces; only what follows the last whole element is held. ``take`` gives what is whole so far.
+    """
+
+    BLANK = re.compile(r"[\s,:]*")
+
+    def __init__(self) -> None:
+        self.text, self.wanted, self.parse = "", 0, json.JSONDecoder().raw_decode
+        self.opened = self.inside = self.closed = False
+        self.name: str | None = None
+
+    def take(self, piece: str, last: bool = False) -> Iterator[tuple[str, str]]:
+        self.text += piece
+        # An element that was broken off is tried again when the text has doubled, so long ones take linear time.
+        if not last and len(self.text) < self.wanted:
+            return
+        at = self.BLANK.match(self.text, 0).end()
+        while at < len(self.text) and not self.closed:
+            sign = self.text[at]
+            if not self.opened:
+                self.opened, at = True, self.text.index("{", at) + 1
+            elif self.name is None and sign == "}":
+                self.closed = True
+            elif self.inside and sign == "]":
+                self.inside, self.name, at = False, None, at + 1
+            elif self.name is not None and not self.inside and sign == "[":
+                self.inside, at = True, at + 1
+            else:
+                try:
+                    value, end = self.parse(self.text, at)
+                except json.JSONDecodeError:
+                    if last:
+                        raise
+                    break
+                if end == len(self.text) and not last:  # a number may go on
+                    break
+                if self.name is None:
+                    self.name = value
+                else:
+                    yield self.name, self.text[at:end]
+                    self.name = self.name if self.inside else None
+                at = end
+            at = self.BLANK.match(self.text, at).end()
+        self.text = self.text[at:]
+        self.wanted = 2 * len(self.text)
+        if last and not self.closed:
+            raise ValueError("a graph document that does not end")
+
+
 def _elements(text: str) -> Iterator[tuple[str, str]]:
-    """(name, JSON) of a document's members, in order: each element of a member that is a list, the whole of another. Nothing but the element at hand is parsed."""
-    parse, blank = json.JSONDecoder().raw_decode, re.compile(r"[\s,:]*")
-    at = blank.match(text, text.index("{") + 1).end()
-    while text[at] != "}":
-        name, at = parse(text, at)
-        at = blank.match(text, at).end()
-        inside = text[at] == "["
-        at = blank.match(text, at + inside).end()
-        while not inside or text[at] != "]":
-            start = at
-            _, at = parse(text, at)
-            yield name, text[start:at]
-            at = blank.match(text, at).end()
-            if not inside:
-                break
-        at = blank.match(text, at + inside).end()
+    """(name, JSON) of a whole text's members."""
+    return _Elements().take(text, last=True)
 
 
 def read_document(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The tables of a graph document, whoever wrote it; edges with an end that is no node are left out. Members that ``schemas`` doesn't name are passed over.
 
-    A document is one text and is cut into its elements in one task, by its nature; these leave it in batches and are parsed by whichever task gets them.
+    A document is one text and is cut into its elements in one task, by its nature. Its lines stream through that task in order, which holds no more than a batch of them and
+    the element at hand; elements leave it in batches and are parsed by whichever task gets them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seq = _Elements(), 0
+
+        def rows(piece: str, last: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal seq
+            out: list[tuple[str, int, str]] = []
+            for name, element in found.take(piece, last):
+                out.append((name, seq, element))
+                seq += 1
+                if len(out) == 1000:
+                    yield _rows(out)
+                    out = []
+            yield _rows(out)
+
         for batch in batches:
-            for text in batch.column("value"):
-                out: list[tuple[str, int, str]] = []
-                for seq, (name, element) in enumerate(_elements(text.as_py())):
-                    out.append((name, seq, element))
-                    if len(out) == 1000:
-                        yield _rows(out)
-                        out = []
-                yield _rows(out)
+            yield from rows("".join(f"{line}\n" for line in batch.column("value").to_pylist()))
+        yield from rows("", last=True)
 
     schemas = schemas or DOCUMENT
-    # Part files of one document are one text.
-    lines = spark.read.text(path, wholetext=True).select(F.struct(F.input_file_name().alias("f"), "value").alias("v"))
-    whole = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda x: x["value"]), "").alias("value"))
-    elements = settle(whole.mapInArrow(cut, "part string, seq long, value string"), "document")
+    # Part files of one document are one text; its lines are numbered by file, by block of the file and as they stand there.
+    place = [F.input_file_name().alias("f"), F.input_file_block_start().alias("b"), F.monotonically_increasing_id().alias("i")]
+    lines = spark.read.text(path).select(*place, "value").repartition(1).sortWithinPartitions("f", "b", "i").select("value")
+    elements = settle(lines.mapInArrow(cut, "part string, seq long, value string"), "document")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     of = lambda name: elements.where(F.col("part") == name).repartition(n).select(F.from_json("value", schemas[name]).alias("e"), F.col("seq").alias("first_seq"))
     out = {name: of(name).select("e.*", *(["first_seq"] if name != "meta" else [])) for name in schemas}
