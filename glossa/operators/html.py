@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from glossa.functions import text as X
 from glossa.functions import url as U
 
 BLOCKS = ["p", "div", "td", "tr", "table", "li", "ul", "ol", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "body", "article", "footer", "nav"]
+_ENDS = frozenset(BLOCKS)
 
 
 def decode(text: Column, names: dict[str, int] | None = None) -> Column:
@@ -38,104 +42,177 @@ def decode(text: Column, names: dict[str, int] | None = None) -> Column:
     return F.when(text.contains("&"), unescape(text)).otherwise(text)
 
 
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
-_ATTRS = re.compile(r"<[a-zA-Z][a-zA-Z0-9]*\s+(.*?)/?>\Z", re.DOTALL)
+#: Text, a tag with its name and attributes, or the start of something else. Matched up to the last ">", so every tag ends.
+_PIECE = re.compile(r"([^<]+)|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s+([^>]*)|[^>]*)>|<!--|<")
 _UNSEEN = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
 
 
-def lex(page: str) -> Iterator[tuple[str | None, str]]:
-    """A page's tags (name, raw) and texts (None, text) in order. Comments, scripts and styles are left out, a "<" that opens nothing is text.
+def _pieces(page: str) -> Iterator[tuple[str | None, str, str]]:
+    """A page's tags (name, raw, attributes) and texts (None, text, "") in order. Comments, scripts and styles are left out, a "<" that opens nothing is text.
 
     What is not closed in the rest of the page is looked for once, so a page takes time in proportion to its length.
     """
-    at, size, text, gone = 0, len(page), [], set()
-
-    def close(sign: str) -> int:
-        found = -1 if sign in gone else page.find(sign, at)
-        if found < 0:
-            gone.add(sign)
-        return found
-
-    while at < size:
-        start = page.find("<", at)
-        if start < 0:
-            text.append(page[at:])
-            break
-        if start > at:
-            text.append(page[at:start])
-        at = start
-        if page.startswith("<!--", at) and (end := close("-->")) >= 0:
-            at = end + 3
-            continue
-        after = page[at + 1 : at + 2]
-        if not (after in ("/", "!", "?") or after.isascii() and after.isalpha()) or (end := close(">")) < 0:
-            text.append("<")
-            at += 1
+    at, last, text, gone = 0, page.rfind(">") + 1, [], set()
+    match = _PIECE.match
+    while at < last:
+        found = match(page, at, last)
+        run, slash, name, attrs = found.groups()
+        if run:
+            text.append(run)
+            at = found.end()
             continue
-        raw, at = page[at : end + 1], end + 1
-        found = _NAME.match(raw)
-        name = found[1].lower() if found else ""
-        if name in _UNSEEN and raw[1] != "/" and name not in gone:
-            if shut := _UNSEEN[name].search(page, at):
-                at = shut.end()
+        if name:
+            name, raw = name.lower(), found[0]
+            at = found.end()
+            if name in _UNSEEN and not slash and name not in gone:
+                if shut := _UNSEEN[name].search(page, at):
+                    at = shut.end()
+                    continue
+                gone.add(name)
+            attrs = "" if slash or not attrs else attrs.removesuffix("/")
+        else:
+            if found[0] == "<!--" and "-->" not in gone:
+                if (end := page.find("-->", at)) >= 0:
+                    at = end + 3
+                    continue
+                gone.add("-->")
+            if page[at + 1 : at + 2] not in ("/", "!", "?"):
+                text.append("<")
+                at += 1
                 continue
-            gone.add(name)
-        if whole := "".join(text):
-            yield None, whole
-        text = []
-        yield name, raw
+            end = page.find(">", at) + 1
+            name, raw, attrs, at = "", page[at:end], "", end
+        if text:
+            yield None, "".join(text), ""
+            text = []
+        yield name, raw, attrs
+    text.append(page[at:])
     if whole := "".join(text):
-        yield None, whole
+        yield None, whole, ""
 
 
-def tokens(pages: DataFrame, key: str = "url", page: str = "html") -> DataFrame:
-    """(key, seq, kind 'tag' or 'text', tag, closing, attrs, text, block, anchor, italic, titled) of each token.
+def lex(page: str) -> Iterator[tuple[str | None, str]]:
+    """A page's tags (name, raw) and texts (None, text) in order."""
+    return (piece[:2] for piece in _pieces(page))
 
-    ``block`` counts paragraph starts, 0 outside: a paragraph ends at its end tag, at the next block-level tag and at the page's end. ``anchor`` and
-    ``italic`` count the tags of links and italics so far, start and end; ``titled`` texts follow a title's start.
-    """
-    base = pages.select(F.col(key).alias("_key"), F.col(page).alias("_page"))
-    columns = "seq int, kind string, tag string, closing boolean, attrs string, text string, block long, anchor long, italic long, titled boolean"
-    schema = StructType([*base.select(F.col("_key").alias(key)).schema.fields, *StructType.fromDDL(columns).fields])
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    ends = frozenset(BLOCKS)
-
-    def of_page(text: str) -> Iterator[tuple]:
-        block = anchor = italic = 0
-        inside, before = False, None
-        for seq, (name, raw) in enumerate(lex(text)):
-            if name is None:
-                yield seq, "text", None, False, None, raw, block if inside else 0, anchor, italic, before == ("title", False)
-                continue
-            closing = raw.startswith("</")
-            if name == "p" and not closing:
-                block, inside = block + 1, True
-            elif name in ends:
-                inside = False
-            anchor, italic, before = anchor + (name == "a"), italic + (name == "i"), (name, closing)
-            found = _ATTRS.match(raw)
-            yield seq, "tag", name, closing, found[1] if found else "", None, block if inside else 0, anchor, italic, False
+
+def _of_page(text: str) -> Iterator[tuple]:
+    """A page's tokens with their paragraph, link and italic, as ``tokens`` tells them."""
+    block = at = anchor = italic = 0
+    before = None
+    for seq, (name, raw, attrs) in enumerate(_pieces(text)):
+        if name is None:
+            yield seq, "text", None, False, None, raw, at, anchor, italic, before == "title"
+            continue
+        closing = raw[1] == "/"
+        if name == "a":
+            anchor += 1
+        elif name == "i":
+            italic += 1
+        elif name == "p" and not closing:
+            at = block = block + 1
+        elif name in _ENDS:
+            at = 0
+        before = None if closing else name
+        yield seq, "tag", name, closing, attrs, None, at, anchor, italic, False
+
+
+def _read(pages: DataFrame, keys: list[str], page: str, columns: str, rows_of: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """``keys`` of each page with the rows that ``rows_of`` makes of its text; they leave in batches."""
+    base = pages.select(*keys, F.col(page).alias("_page"))
+    own = StructType.fromDDL(columns)
+    schema = StructType([*base.select(*keys).schema.fields, *own.fields])
+    kinds = list(to_arrow_schema(own).types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, owners = [], []
 
-            def full(keys: pa.Array) -> pa.RecordBatch:
+            def full(batch: pa.RecordBatch) -> pa.RecordBatch:
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)  # noqa: B023
-                return pa.RecordBatch.from_arrays([keys.take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)  # noqa: B023
+                at = pa.array(owners, pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=schema.names)
 
             for k, text in enumerate(batch.column("_page")):
-                for token in of_page(text.as_py() or ""):
-                    rows.append(token)
+                for row in rows_of(text.as_py() or ""):
+                    rows.append(row)
                     owners.append(k)
                     if len(rows) == 20_000:
-                        yield full(batch.column("_key"))
+                        yield full(batch)
                         rows.clear(), owners.clear()
-            yield full(batch.column("_key"))
+            yield full(batch)
 
     return base.mapInArrow(run, schema)
 
 
+def tokens(pages: DataFrame, key: str = "url", page: str = "html") -> DataFrame:
+    """(key, seq, kind 'tag' or 'text', tag, closing, attrs, text, block, anchor, italic, titled) of each token.
+
+    ``block`` counts paragraph starts, 0 outside: a paragraph ends at its end tag, at the next block-level tag and at the page's end. ``anchor`` and
+    ``italic`` count the tags of links and italics so far, start and end; ``titled`` texts follow a title's start.
+    """
+    columns = "seq int, kind string, tag string, closing boolean, attrs string, text string, block long, anchor long, italic long, titled boolean"
+    return _read(pages, [key], page, columns, _of_page)
+
+
+def _said(parts: list[str]) -> str:
+    """Text runs decoded, a space between."""
+    return html.unescape(" ".join(parts))
+
+
+def _paragraph(tokens_: Iterator[tuple]) -> tuple:
+    runs, found = [], {"a": [], "i": []}
+    opened: dict[str, list[str]] = {}
+    first = None
+    for seq, kind, tag, closing, attrs, text, *_ in tokens_:
+        first = seq if first is None else first
+        if kind == "text":
+            for parts in opened.values():
+                parts.append(text)
+            runs.append(text)
+        elif tag in found:
+            opened.pop(tag, None)
+            if not closing:
+                opened[tag] = []
+                found[tag].append((seq, attrs, len(runs), opened[tag]))
+    return first, _said(runs), runs, [(seq, attrs, n, _said(parts)) for seq, attrs, n, parts in found["a"]], [(seq, _said(parts)) for seq, _, _, parts in found["i"]]
+
+
+def paragraphs(pages: DataFrame, keys: list[str], page: str = "html", whole: bool = False) -> DataFrame:
+    """(keys, block, first_seq, text, runs, links, italics) of each paragraph, made where its page is read: no token leaves the task for it.
+
+    ``text`` holds the text runs decoded, a space between, ``runs`` as they stand; links and italics have their text as far as the paragraph goes, ``before`` runs stand
+    before a link. White space stays as it is. With ``whole`` a page is one paragraph.
+    """
+
+    def rows_of(text: str) -> Iterator[tuple]:
+        for block, inside in groupby(_of_page(text), (lambda t: 1) if whole else itemgetter(6)):
+            if block:
+                yield block, *_paragraph(inside)
+
+    columns = "block long, first_seq int, text string, runs array<string>, links array<struct<seq:int,attrs:string,before:int,text:string>>, italics array<struct<seq:int,text:string>>"
+    return _read(pages, keys, page, columns, rows_of)
+
+
+def page_links(pages: DataFrame, key: str = "url", page: str = "html") -> DataFrame:
+    """``links`` of pages, made where they are read: no token leaves the task for it."""
+
+    def rows_of(text: str) -> Iterator[tuple]:
+        link, parts = None, []
+        for seq, kind, tag, closing, attrs, said, block, *_ in _of_page(text):
+            if tag == "a":
+                if link:
+                    yield *link, _said(parts)
+                link, parts = None if closing else (block, seq, attrs), []
+            elif link and kind == "text":
+                parts.append(said)
+        if link:
+            yield *link, _said(parts)
+
+    rows = _read(pages, [key], page, "block long, seq int, attrs string, text string", rows_of)
+    return rows.select(key, "block", "seq", attribute(F.col("attrs"), "href").alias("href"), attribute(F.col("attrs"), "name").alias("name"), X.squeeze(F.col("text")).alias("text"))
+
+
 def attribute(attrs: Column, name: str) -> Column:
     """The value of an attribute, decoded; null where it is missing."""
     double = F.regexp_extract(attrs, rf'(?is)(?:^|\s){name}\s*=\s*"([^"]*)"', 1)
@@ -145,6 +222,22 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.replace(value, F.lit("&amp;"), F.lit("&"))
 
 
+def texts(pages: DataFrame, key: str = "url", page: str = "html") -> DataFrame:
+    """``page_text`` of pages, made where they are read; pages without a text run have no row."""
+
+    def rows_of(text: str) -> Iterator[tuple]:
+        runs = [raw for name, raw, _ in _pieces(text) if name is None]
+        if runs:
+            yield (_said(runs),)
+
+    return _read(pages, [key], page, "text string", rows_of)
+
+
+def in_head() -> Column:
+    """The tokens that ``meta`` reads, and each page's first, so that no page is lost."""
+    return F.col("titled") | (F.col("seq") == 0) | (F.coalesce(F.col("tag").isin("link", "meta"), F.lit(False)) & ~F.col("closing"))
+
+
 def page_text(tokens_: DataFrame, key: str = "url", names: dict[str, int] | None = None) -> DataFrame:
     """(key, text) of whole pages: the text runs in order, a space between; ``names`` as in ``decode``."""
     runs = tokens_.where("kind = 'text'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("r"))

@@ -21,10 +21,9 @@ BACK = r"#_(?:ftn|edn)ref\d+"
 def anchor_notes(links: DataFrame, key: str = "url") -> DataFrame:
     """(key, block, note_seq, number): blocks of note anchors that lead back to the text; the number is the back-link's first digits."""
     back = F.col("href").rlike(BACK)
-    anchors = links.where(F.col("name").rlike(r"^_(?:ftn|edn)\d+$") & back & (F.col("block") > 0))
-    blocks = anchors.groupBy(key, "block").agg(F.min("seq").alias("at"))
-    first = links.where(back).groupBy(key, "block").agg(F.min_by("href", "seq").alias("href"))
-    rows = blocks.join(first, [key, "block"]).withColumn("number", F.try_to_number(F.regexp_extract("href", r"\d+", 0), F.lit("999999999999")).cast("int"))
+    number = F.try_to_number(F.regexp_extract("href", r"\d+", 0), F.lit("999999999999")).cast("long")
+    led = links.where(back & (F.col("block") > 0)).select(key, "block", "seq", number.alias("number"), F.col("name").rlike(r"^_(?:ftn|edn)\d+$").alias("named"))
+    rows = led.groupBy(key, "block").agg(F.min(F.when(F.col("named"), F.col("seq"))).alias("at"), F.min_by("number", "seq").cast("int").alias("number")).where("at is not null")
     order = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
     return rows.where("number is not null").select(key, "block", order.alias("note_seq"), "number")
 
@@ -33,7 +32,8 @@ def section_notes(blocks: DataFrame, key: str = "url") -> DataFrame:
     """(key, block, note_seq, number): the paragraphs after a NOTES heading that start with a number, if the first one is 1."""
     head = blocks.where(F.upper(F.regexp_replace("text", r"(?U)\s", "")) == "NOTES").groupBy(key).agg(F.min("block").alias("head"))
     number = F.regexp_extract("text", r"(?U)^\s*(\d{1,3})\s*[.\s]", 1)
-    rows = blocks.join(head, key).where((F.col("block") > F.col("head")) & (number != "")).withColumn("number", number.cast("int"))
+    # Numbers are read before the join, so that no text goes through it.
+    rows = blocks.where(number != "").select(key, "block", number.cast("int").alias("number")).join(head.hint("merge"), key).where("block > head")
     in_page = Window.partitionBy(key).orderBy("block")
     rows = rows.withColumn("first", F.first("number").over(in_page)).withColumn("note_seq", F.row_number().over(in_page) - 1)
     return rows.where("first = 1").select(key, "block", "note_seq", "number")
@@ -230,10 +230,12 @@ def choose(found: dict[str, DataFrame], key: str = "url") -> DataFrame:
     return rows.withColumn("best", best).where("rank = best").drop("rank", "best")
 
 
-def collect(pages: DataFrame, tokens: DataFrame | None = None, key: str = "url", page: str = "html") -> DataFrame:
+def collect(pages: DataFrame, paragraphs: DataFrame | None = None, key: str = "url", page: str = "html") -> DataFrame:
     """(key, note_seq, number, block, note_html, strategy) of every page's notes."""
-    tokens = tokens if tokens is not None else H.tokens(pages, key, page)
-    links, blocks = H.links(tokens, key), H.block_text(tokens, key)
+    paragraphs = paragraphs if paragraphs is not None else H.paragraphs(pages, [key], page)
+    x = F.col("x")
+    links = paragraphs.select(key, "block", F.explode("links").alias("x")).select(key, "block", x["seq"].alias("seq"), *[H.attribute(x["attrs"], a).alias(a) for a in ("href", "name")])
+    blocks = paragraphs.select(key, "block", X.squeeze(F.col("text")).alias("text"))
     return choose(
         {
             "anchor": anchor_notes(links, key), "section": section_notes(blocks, key),
@@ -243,33 +245,25 @@ def collect(pages: DataFrame, tokens: DataFrame | None = None, key: str = "url",
     )
 
 
-def features(pages: DataFrame, notes: DataFrame, tokens: DataFrame, key: str = "url") -> DataFrame:
+def features(notes: DataFrame, paragraphs: DataFrame, key: str = "url") -> DataFrame:
     """(key, note_seq, number, text, links, italics, prefix) of each note, all that citations are made of.
 
-    Notes that are blocks of the page read its tokens; notes cut out of a region are lexed as pages of their own.
+    Notes that are paragraphs of the page are joined to them; notes cut out of a region are lexed as pages of their own. The rest is said within a paragraph.
     """
-    cut = notes.where("note_html is not null").select(key, "note_seq", "number", F.concat_ws("\u0001", key, "note_seq").alias("_note"), F.concat(F.lit("<p>"), "note_html", F.lit("</p>")).alias("note_html"))
-    # A block tag inside a cut note would end its paragraph: the whole note counts as one block.
-    own = H.tokens(cut.select("_note", "note_html"), "_note", "note_html").withColumn("block", F.lit(1).cast("long"))
-    own = own.join(cut.select("_note", key, "note_seq", "number"), "_note").drop("_note")
-    inside = tokens.join(notes.where("note_html is null").select(key, "block", "note_seq", "number"), [key, "block"])
-    rows = inside.unionByName(own)
     by = [key, "note_seq", "number"]
-    run = F.col("kind") == "text"
-    parts = F.array_sort(F.collect_list(F.when(run, F.struct("seq", "text"))))
-    texts = rows.groupBy(*by).agg(parts.alias("t")).select(*by, X.squeeze(H.decode(F.array_join(F.transform("t", lambda x: X.strip(x["text"])), " "))).alias("text"))
-    # Anchors and italics with the text up to their end tags.
-    opens = lambda tag: (F.col("tag") == tag) & ~F.col("closing")
-    joined = X.squeeze(H.decode(F.array_join(F.transform("t", lambda x: X.strip(x["text"])), " ")))
-    anchors = rows.groupBy(*by, "anchor").agg(F.min(F.when(opens("a"), F.struct("seq", "attrs"))).alias("o"), parts.alias("t")).where("o is not null")
-    anchors = anchors.select(*by, F.col("o.seq").alias("seq"), H.attribute(F.col("o.attrs"), "href").alias("href"), joined.alias("text")).withColumn("block", F.col("note_seq"))
-    docs = H.document_links(anchors.withColumn("name", F.lit(None).cast("string")), key)
-    links = docs.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "href", "text"))), lambda x: F.struct(x["href"].alias("url"), x["text"].alias("txt"))).alias("links"))
-    italics = rows.groupBy(*by, "italic").agg(F.min(F.when(opens("i"), F.struct("seq"))).alias("o"), parts.alias("t")).where("o is not null")
-    italics = italics.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("o.seq").alias("seq"), joined.alias("text")))), lambda x: x["text"]).alias("italics"))
+    parts = ["text", "runs", "links", "italics"]
+    cut = notes.where("note_html is not null").select(*by, F.concat(F.lit("<p>"), "note_html", F.lit("</p>")).alias("note_html"))
+    # A block tag inside a cut note would end its paragraph: the whole note counts as one.
+    own = H.paragraphs(cut, by, "note_html", whole=True).select(*by, *parts)
+    inside = paragraphs.join(notes.where("note_html is null").select(key, "block", "note_seq", "number").hint("merge"), [key, "block"]).select(*by, *parts)
+    anchors = F.transform("links", lambda x: F.struct(H.attribute(x["attrs"], "href").alias("href"), x["seq"].alias("seq"), x["before"].alias("before"), x["text"].alias("text")))
+    led = lambda x: F.coalesce(U.is_document(x["href"]), F.lit(False))
+    back = lambda x: x["href"].startswith("#") | x["href"].rlike(BACK)
+    # By address and then by place, so that each address's first link follows no other of it.
+    ordered = lambda found: X.let(F.array_sort(F.filter(found, lambda x: ~back(x))), lambda s: F.filter(s, lambda x, i: (i == 0) | (x["href"] != F.get(s, i - 1)["href"])))
+    links = lambda found: F.transform(F.array_sort(F.transform(ordered(found), lambda x: F.struct(x["seq"].alias("seq"), x["href"].alias("url"), X.squeeze(x["text"]).alias("txt")))), lambda x: F.struct(x["url"].alias("url"), x["txt"].alias("txt")))
+    rows = inside.unionByName(own).withColumn("_led", F.filter(anchors, led))
     # Unlike the links, the prefix ends at any link that leads to a document, a back-link included.
-    stop = anchors.where(U.is_document(F.col("href"))).groupBy(*by).agg(F.min("seq").alias("stop"))
-    before = rows.join(stop, by).where(run & (F.col("seq") < F.col("stop"))).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("t"))
-    prefix = before.select(*by, X.squeeze(H.decode(F.array_join(F.transform("t", lambda x: x["text"]), ""))).alias("prefix"))
-    out = texts.join(links, by, "left").join(italics, by, "left").join(stop.drop("stop").withColumn("_p", F.lit("")), by, "left").join(prefix, by, "left")
-    return out.select(*by, "text", F.coalesce("links", F.array().cast("array<struct<url:string,txt:string>>")).alias("links"), F.coalesce("italics", F.array().cast("array<string>")).alias("italics"), F.coalesce("prefix", "_p").alias("prefix"))
+    stop = F.get("_led", F.lit(0))["before"]
+    prefix = F.when(stop.isNotNull(), X.squeeze(H.decode(F.array_join(F.slice("runs", F.lit(1), F.coalesce(stop, F.lit(0))), ""))))
+    return rows.select(*by, X.squeeze(F.col("text")).alias("text"), links(F.col("_led")).alias("links"), F.transform("italics", lambda x: X.squeeze(x["text"])).alias("italics"), prefix.alias("prefix"))

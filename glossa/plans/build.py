@@ -20,7 +20,7 @@ def body_of(url: Column) -> Column:
 
 def documents(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_ord, is_source, source_url, url, doc_key, title, raw_title, author, author_key, doc_type, date) of each page."""
-    rows = pages.select("doc_ord", "is_source", F.col("url").alias("source_url")).join(html.meta(tokens, "doc_ord"), "doc_ord", "left")
+    rows = pages.select("doc_ord", "is_source", F.col("url").alias("source_url")).join(html.meta(tokens, "doc_ord").hint("merge"), "doc_ord", "left")
     rows = rows.withColumn("url", html.canonical_url(F.col("canonical"), F.col("og_url"), F.col("source_url"))).withColumn("raw_title", F.coalesce("raw_title", F.lit("")))
     raw = F.coalesce(body_of(F.col("url")), U.pope_name(U.author_slug(F.col("url"))))
     rows = rows.withColumn("author", X.author_display(raw)).withColumn("author_key", X.author_key(raw))
@@ -37,15 +37,17 @@ def parse(pages: DataFrame) -> dict[str, DataFrame]:
     """
     key = "doc_ord"
     texts = pages.select(key, "html")
-    tokens = settle(html.tokens(texts, key), "tokens")
-    docs = settle(documents(pages, tokens), "documents")
-    found = settle(notes.collect(texts, tokens, key), "notes")
-    ident = docs.select(key, "doc_key", "is_source")
-    feats = settle(notes.features(texts, found, tokens, key), "features").join(pages.select(key, "url"), key)
+    heads = settle(html.tokens(texts, key).where(html.in_head()), "heads")
+    docs = settle(documents(pages, heads), "documents")
+    paragraphs = settle(html.paragraphs(texts, [key]), "paragraphs")
+    found = settle(notes.collect(texts, paragraphs, key), "notes")
+    # Tables with a row a page or note are no sides for a broadcast, however few bytes they are as files.
+    ident = docs.select(key, "doc_key", "is_source").hint("merge")
+    feats = settle(notes.features(found, paragraphs, key), "features").join(pages.select(key, "url").hint("merge"), key)
     feats = settle(cite.note_features(feats, F.col("url")).drop("url"), "note-features")
     cites = cite.canonicalise(cite.fold(feats, key)).join(ident, key)
-    refs = scripture.counts(scripture.references(html.page_text(tokens, key), key), key)
-    counts = found.groupBy(key).agg(F.count("*").cast("int").alias("footnote_count"))
+    refs = scripture.counts(scripture.references(html.texts(texts, key), key), key)
+    counts = found.groupBy(key).agg(F.count("*").cast("int").alias("footnote_count")).hint("merge")
     docs = docs.join(counts, key, "left").withColumn("footnote_count", F.coalesce("footnote_count", F.lit(0)))
     return {"documents": docs, "citations": settle(cites, "citations"), "scripture": settle(refs.join(ident, key), "scripture")}
 
@@ -60,9 +62,17 @@ def build(documents_: DataFrame, citations: DataFrame, scripture_: DataFrame) ->
 
 def bad_pages(pages: DataFrame) -> DataFrame:
     """(doc_ord, is_source, url, error): pages that cannot be parsed into a document."""
+    return pages.select("doc_ord", "is_source", "url", _error().alias("error")).where("error is not null")
+
+
+def _error() -> Column:
     empty = F.trim(F.coalesce("html", F.lit(""))) == ""
-    error = F.when(F.coalesce("url", F.lit("")) == "", "no address").when(empty, "no content")
-    return pages.select("doc_ord", "is_source", "url", error.alias("error")).where("error is not null")
+    return F.when(F.coalesce("url", F.lit("")) == "", "no address").when(empty, "no content")
+
+
+def bad() -> Column:
+    """Whether a page is one of ``bad_pages``."""
+    return _error().isNotNull()
 
 
 def build_graph(pages: DataFrame, centre: str | None = None, recurse: bool = True, placed: bool = True, largest: int = 2000) -> dict[str, DataFrame]:
