@@ -40,7 +40,8 @@ def running(
         part = Window.partitionBy(*by, f"_part_{n}").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
         enters = enters.withColumn(f"_out_{n}", F.first(f"_own_{n}", ignorenulls=True).over(part))
     enters = enters.select(*by, "_block", *[F.lag(f"_out_{n}").over(key).alias(f"_in_{n}") for n in states], *[f"_in_{n}" for n in sums])
-    out = out.join(enters, [*by, "_block"])
+    # A row a block and key: many keys make it large, however few bytes it has as a shuffle.
+    out = out.join(enters.hint("merge"), [*by, "_block"])
     after = {n: F.when(F.col(f"_since_{n}") > 0, F.col(f"_own_{n}")).otherwise(F.coalesce(f"_in_{n}", f"_own_{n}")) for n in states}
     out = out.withColumns(after | {n: F.col(f"_in_{n}") + F.col(f"_sum_{n}") - F.col(f"_add_{n}") for n in sums})
     out = out.withColumns({f"{n}_before": F.when(F.row_number().over(inside) == 1, F.col(f"_in_{n}")).otherwise(F.lag(n).over(inside)) for n in states})

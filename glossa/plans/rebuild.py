@@ -50,7 +50,7 @@ def latest(spark: SparkSession, store: str) -> int:
 
 def live(spark: SparkSession, store: str, table: str) -> DataFrame:
     """The rows of a table that count now, with their page's ``_url``."""
-    now = state(spark, store).select(F.col("url").alias("_url"), "version")
+    now = state(spark, store).select(F.col("url").alias("_url"), "version").hint("merge")
     return spark.read.option("mergeSchema", "false").parquet(f"{store}/{table}").join(now, ["_url", "version"]).drop("version")
 
 
@@ -76,20 +76,21 @@ def update(spark: SparkSession, store: str, pages: DataFrame, whole: bool = True
     """
     version = latest(spark, store) + 1
     # Whoever parses a page anew needs its text: the digests alone are compared, and texts are joined to what has changed.
-    skipped = build.bad_pages(pages).select("doc_ord")
-    good = pages.join(skipped, "doc_ord", "left_anti")
+    good = pages.where(~build.bad())
     now = settle(good.select("url", F.col("doc_ord").cast("long").alias("doc_ord"), "is_source", F.sha2("html", 256).alias("digest")), "digests")
-    before = settle(state(spark, store), "page-state")
+    before = settle(state(spark, store), "page-state").hint("merge")
     same = [now[c].eqNullSafe(before[c]) for c in ("url", "doc_ord", "is_source", "digest")]
     fresh = settle(now.join(before, same[0] & same[1] & same[2] & same[3], "left_anti"), "pages-fresh")
+    now = now.hint("merge")
     gone = before.join(now, "url", "left_anti") if whole else before.where("false")
-    changed = settle(before.join(fresh.select("url"), "url", "left_semi").unionByName(gone).select(F.col("url").alias("_url"), "version"), "pages-changed")
+    changed = settle(before.join(fresh.select("url").hint("merge"), "url", "left_semi").unionByName(gone).select(F.col("url").alias("_url"), "version"), "pages-changed")
     counts = {"version": version, "parsed": fresh.count(), "gone": gone.count()}
     counts["kept"] = now.count() - counts["parsed"]
     if not counts["parsed"] and not counts["gone"]:
         return counts | {"version": version - 1}
-    parsed = build.parse(good.join(fresh.select("url"), "url", "left_semi"))
-    address = parsed["documents"].select("doc_ord", F.col("source_url").alias("_url"))
+    # A parse reads its pages several times; they are made once.
+    parsed = build.parse(settle(good.join(fresh.select("url").hint("merge"), "url", "left_semi"), "pages-parsed"))
+    address = parsed["documents"].select("doc_ord", F.col("source_url").alias("_url")).hint("merge")
     written = {}
     for name in TABLES:
         path = f"{store}/{name}/version={version}"
@@ -97,7 +98,7 @@ def update(spark: SparkSession, store: str, pages: DataFrame, whole: bool = True
         written[name] = spark.read.parquet(path)
     total = sums(*(written[name] for name in TABLES))
     if version and not changed.isEmpty():
-        old = {name: spark.read.parquet(f"{store}/{name}").join(changed, ["_url", "version"]) for name in TABLES}
+        old = {name: spark.read.parquet(f"{store}/{name}").join(changed.hint("merge"), ["_url", "version"]) for name in TABLES}
         total = total.unionByName(sums(*(old[name] for name in TABLES), sign=-1)).groupBy(*SUMS).agg(F.sum("n").alias("n")).where("n <> 0")
     total.write.mode("overwrite").parquet(f"{store}/sums/version={version}")
     entries = fresh.withColumn("live", F.lit(True)).unionByName(gone.drop("version").withColumn("live", F.lit(False)))
