@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa import dims
 from glossa.functions import text as X
 from glossa.functions import url as U
 from glossa.operators import scan
-from glossa.sources.work import settle
 
 
 def note_features(notes: DataFrame, source: Column | None = None) -> DataFrame:
@@ -58,10 +57,16 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
     unnamed = lambda x: (x["title"] == "") | x["title"].rlike(r"(?iU)\bibid\b")
     bound = n("is_ibid") | n("is_idem") | F.coalesce(n("own.author_key").isin("ibid", "idem", "id"), F.lit(False))
     rows = features.select(key, "note_seq", "number", "is_ibid", "own", "full", "first_title", bound.alias("bound"), linked.alias("linked"), titled.alias("titled"))
-    step = lambda df, states, sums=None: settle(scan.running(df, [key], "note_seq", states, sums, size), "notes-scan")
-    rows = step(rows, {"some": (F.lit(False), F.when(n("linked") | n("titled"), True))})
-    follows = n("is_ibid") & n("some_before").isNotNull()
-    rows = rows.withColumns({"follows": follows, "again": ~n("linked") & follows, "sets": n("linked") | n("titled") & ~follows})
+    rows = scan.blocks(rows.where(n(key).isNotNull()), "note_seq", size)
+    step = lambda df, states, sums=None: scan.running(df, [key], "note_seq", states, sums, size, store="notes-enter")
+    # Whether a note before has named a work needs no value: a flag a block tells it, so no row is dealt for it.
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    named = n("linked") | n("titled")
+    some = rows.groupBy(key, "_block").agg(F.max(named).alias("_named")).select(key, "_block", F.max("_named").over(earlier([key], "_block")).alias("_some")).where("_some")
+    rows = rows.join(some.hint("shuffle_hash"), [key, "_block"], "left")
+    rows = rows.withColumn("_some", F.coalesce("_some", F.max(named).over(earlier([key, "_block"], "note_seq")), F.lit(False)))
+    follows = n("is_ibid") & n("_some")
+    rows = rows.withColumns({"follows": follows, "again": ~n("linked") & follows, "sets": n("linked") | n("titled") & ~follows}).drop("_some")
     nobody = F.struct(F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("author_key"))
     own = F.when(~n("linked") & same(n("own.author")), nobody).otherwise(F.struct("own.author", "own.author_key"))
     first = F.try_element_at("full", F.lit(1))
@@ -69,7 +74,7 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
     number = F.when(n("linked"), F.size("full")).when(n("again") | n("titled"), 1).otherwise(0)
     rows = step(
         rows,
-        {"who": (n("sets") & ~n("bound"), F.when(n("sets") & ~n("bound"), own)), "name": (n("sets") & title.isNotNull(), F.when(n("sets"), F.coalesce(title, F.nullif(U.slug_title(first["target_key"]), F.lit(""))))), "at": (n("sets"), F.when(n("sets"), F.struct(n("linked").alias("linked"), first["target_key"].alias("key"), first["url"].alias("url"))))},
+        {"who": (None, F.when(n("sets") & ~n("bound"), own)), "name": (n("sets") & title.isNotNull(), F.when(n("sets"), F.coalesce(title, F.nullif(U.slug_title(first["target_key"]), F.lit(""))))), "at": (None, F.when(n("sets"), F.struct(n("linked").alias("linked"), first["target_key"].alias("key"), first["url"].alias("url"))))},
         {"cite_seq": number},
     )
     told = F.when(n("linked"), X.detect_type(n("name"))["type"])
@@ -96,9 +101,9 @@ def fold(features: DataFrame, key: str = "url", size: int = scan.BLOCK) -> DataF
 
 def lookup_work(title: Column) -> Column:
     """struct(work_title, work_author, work_type) of the first curated work whose pattern the normalised title contains; null without one."""
-    norm = X.norm_title(title)
-    known = [F.when(norm.contains(p), F.struct(F.lit(t).alias("work_title"), F.lit(a).alias("work_author"), F.lit(k).alias("work_type"))) for p, t, a, k in dims.records(dims.WORKS)]
-    return F.coalesce(*known)
+    works = dims.records(dims.WORKS)
+    known = lambda norm: F.coalesce(*[F.when(norm.contains(p), F.struct(F.lit(t).alias("work_title"), F.lit(a).alias("work_author"), F.lit(k).alias("work_type"))) for p, t, a, k in works])
+    return X.let(X.norm_title(title), known)
 
 
 def canonicalise(citations: DataFrame) -> DataFrame:
