@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from glossa import dims
 from glossa.functions import text as X
 from glossa.functions import url as U
+from glossa.sources.work import settle
 
 FIELDS = ["label", "title", "author", "author_key", "doc_type", "url", "date"]
 BOOK = ["cite", "book", "testament", "ord"]
@@ -59,6 +60,26 @@ def hub_join(rows: DataFrame, side: DataFrame, key: str, spread: list[str]) -> D
     return out.withColumns({c: F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")) for c in side.columns if c != key}).drop("_key", "_hub", "_hot", "_cold")
 
 
+#: Bits of a map by which ``may_meet`` tells rows: 16 MB at most, however many keys there are.
+MAP_BITS = 1 << 27
+
+
+def may_meet(rows: DataFrame, *sides: tuple[DataFrame, list[str]]) -> DataFrame:
+    """The ``rows`` that may have their keys in one of the ``sides``, each (table, keys): all that have, and a few others.
+
+    Rows stay where they are: a map of the hashes of each side's keys is broadcast. The more keys it holds the more others stay; none that has its keys there is lost.
+    """
+    out, hits = rows, []
+    for k, (side, keys) in enumerate(sides):
+        bit, of = F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS)) + 1, f"_of{k}"
+        maps = side.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias(of)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias(f"_map{k}"))
+        out = out.withColumn(of, F.bitmap_bucket_number(bit)).join(F.broadcast(maps), of, "left")
+        at = F.bitmap_bit_position(bit)
+        byte = F.conv(F.hex(F.substring(f"_map{k}", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hits.append(F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    return out.where(reduce(lambda a, b: a | b, hits)).select(*rows.columns)
+
+
 def canonical_by_title(citations: DataFrame, index: DataFrame, linked: Column) -> DataFrame:
     """Citations (target_key, norm_title) that are not ``linked`` under the node that shares their title, if there is one."""
     rows = citations.withColumn("_title", F.when(~linked, F.col("norm_title")))
@@ -109,42 +130,58 @@ def node_events(documents: DataFrame, citations: DataFrame, scripture: DataFrame
     return doc.unionByName(person(documents, 1, zero, 0)).unionByName(cited).unionByName(person(citations, 2, F.col("cite_seq"), 1)).unionByName(passage)
 
 
-def _firsts(events: DataFrame) -> DataFrame:
+def _first(name: str) -> Column:
+    return F.when(given(name), F.col("seq"))
+
+
+def _firsts(events: DataFrame, fields: list[str]) -> DataFrame:
     """Per node the first value given of each field, its first type and place; partial firsts meet, not events."""
-    first = lambda f: F.min_by(F.when(given(f), F.col(f)), F.when(given(f), F.col("seq"))).alias(f)
-    return events.groupBy("id").agg(F.min_by("type", "seq").alias("type"), *map(first, [*FIELDS, *BOOK]), F.max("is_source").alias("is_source"), F.min("seq").alias("first_seq"))
+    first = lambda f: F.min_by(F.when(given(f), F.col(f)), _first(f)).alias(f)
+    return events.groupBy("id").agg(F.min_by("type", "seq").alias("type"), *map(first, fields), F.max("is_source").alias("is_source"), F.min("seq").alias("first_seq"))
+
 
+def _places(events: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, seq) of the events that ``_firsts`` takes something from; only numbers are merged."""
+    places = events.groupBy("id").agg(F.min("seq").alias("_seq"), F.min(F.when(F.col("is_source"), F.col("seq"))).alias("_source"), *[F.min(_first(f)).alias(f) for f in fields])
+    return places.select("id", F.explode(F.array_distinct(F.array("_seq", "_source", *fields))).alias("seq")).where("seq is not null")
 
-def merge_nodes(events: DataFrame) -> DataFrame:
-    """One row per node: of each field the first value given; a parsed document starts its fields anew.
+
+def merge_nodes(events: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row per node: of each field the first value given; a parsed document starts its fields anew. ``fields`` names those that are wanted, else all are.
 
     Events of parses and others are merged apart. Of a parsed document the last parse counts, and for fields it does not give the events behind it; only
-    these events meet a table by node, if there is such a document at all.
+    these events meet a table by node, if there is such a document at all. As events are read several times then, they are written once, and places are merged
+    before texts: only events that may count are sorted or shuffled with their texts.
     """
+    wanted = fields or [*FIELDS, *BOOK]
+    fields, book = [f for f in FIELDS if f in wanted], [f for f in BOOK if f in wanted]
+    both, any_of = [*fields, *book], lambda conditions: reduce(lambda a, b: a | b, conditions)
     told, parses = events.where(~F.col("parsed")), events.where("parsed")
-    own_of = lambda f: F.max_by(F.when(given(f), F.col(f)), "seq").alias(f"_own_{f}")
-    last = parses.groupBy("id").agg(*map(own_of, [*FIELDS, *BOOK]), F.max("seq").alias("_last"), F.min("seq").alias("_from"), F.min_by("type", "seq").alias("_type"), F.max("is_source").alias("_source"))
-    own = {f: F.col(f"_own_{f}") for f in [*FIELDS, *BOOK]}
-    lacks = parses.where(reduce(lambda a, b: a | b, [~given(f) for f in FIELDS]))
-    out = _firsts(told).join(last, "id", "full")
-    if lacks.isEmpty():
-        later = {f: F.lit(None) for f in FIELDS}
+    last = parses.groupBy("id").agg(
+        F.max_by(F.struct(*both), "seq").alias("_own"), F.max("seq").alias("_last"), F.min("seq").alias("_from"), F.min_by("type", "seq").alias("_type"), F.max("is_source").alias("_source")
+    )
+    own = {f: F.when(given(f"_own.{f}"), F.col(f"_own.{f}")) for f in both}
+    lacks = any_of(~given(f) for f in fields)
+    if parses.where(lacks).isEmpty():
+        out = _firsts(told, both).join(last, "id", "full")
+        later = {f: F.lit(None) for f in fields}
     else:
-        lacking = last.where(reduce(lambda a, b: a | b, [own[f].isNull() for f in FIELDS])).select("id", "_last")
-        rows = hub_join(told.where(reduce(lambda a, b: a | b, map(given, FIELDS))), lacking, "id", ["id", "seq"]).where(F.col("seq") >= F.col("_last")).drop("_last")
-        out = out.join(_firsts(rows).select("id", F.struct(*FIELDS).alias("_later")), "id", "left")
-        later = {f: F.col(f"_later.{f}") for f in FIELDS}
+        told = settle(told.select("id", "type", "seq", "is_source", *both), "told")
+        lacking = parses.groupBy("id").agg(F.max("seq").alias("_last"), F.max_by(lacks, "seq").alias("_lacks")).where("_lacks").drop("_lacks")
+        told = settle(may_meet(told, (_places(told, both), ["id", "seq"]), (lacking, ["id"])), "told-first")
+        rows = hub_join(told.where(any_of(map(given, fields))), lacking, "id", ["id", "seq"]).where(F.col("seq") >= F.col("_last")).drop("_last")
+        out = _firsts(told, both).join(last, "id", "full").join(_firsts(rows, fields).select("id", F.struct(*fields).alias("_later")), "id", "left")
+        later = {f: F.col(f"_later.{f}") for f in fields}
     parsed = F.col("_last").isNotNull()
     before = F.col("first_seq").isNull() | (F.col("_from") < F.col("first_seq"))
-    fields = [F.when(parsed, F.coalesce(own[f], later[f])).otherwise(F.col(f)).alias(f) for f in FIELDS]
     # What stands in no page of its own keeps its first values.
-    book = [F.when(parsed & before, F.coalesce(own[f], F.col(f))).otherwise(F.coalesce(F.col(f), own[f])).alias(f) for f in BOOK]
     out = out.select(
-        "id", F.when(parsed & before, F.col("_type")).otherwise(F.col("type")).alias("type"), *fields, parsed.alias("in_corpus"),
-        F.coalesce(F.greatest("is_source", "_source"), F.lit(False)).alias("is_source"), *book, F.least("first_seq", "_from").alias("first_seq"),
+        "id", F.when(parsed & before, F.col("_type")).otherwise(F.col("type")).alias("type"), *[F.when(parsed, F.coalesce(own[f], later[f])).otherwise(F.col(f)).alias(f) for f in fields],
+        parsed.alias("in_corpus"), F.coalesce(F.greatest("is_source", "_source"), F.lit(False)).alias("is_source"),
+        *[F.when(parsed & before, F.coalesce(own[f], F.col(f))).otherwise(F.coalesce(F.col(f), own[f])).alias(f) for f in book], F.least("first_seq", "_from").alias("first_seq"),
     )
     # A person's name is its label's text.
-    return out.withColumn("name", F.when(F.col("type") == "author", F.col("label")))
+    return out.withColumn("name", F.when(F.col("type") == "author", F.col("label"))) if "label" in fields else out
 
 
 def edge_events(documents: DataFrame, citations: DataFrame, scripture: DataFrame) -> DataFrame:
